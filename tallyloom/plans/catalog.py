@@ -2,5 +2,6 @@
 
 from tallyloom.plans import (  # noqa: F401
     clickstream,
+    retail,
 )
 from tallyloom.plans.registry import oracle_sql, queries  # noqa: F401
