@@ -125,6 +125,10 @@ def value_at_rank(
         tagged = present
         bounds = present.agg(F.percentile_approx(value, band, F.lit(accuracy)).alias("_band")).first()["_band"]
         low, high = (F.lit(b) for b in bounds) if bounds else (F.lit(None), F.lit(None))
+    if dict(df.dtypes)[value] in ("double", "float"):
+        # A recomputed float may differ in its last bits; the bracket must still hold it.
+        slack = 1e-9
+        low, high = low - F.abs(low) * slack, high + F.abs(high) * slack
     side = F.when(F.col(value) < low, -1).when(F.col(value) > high, 1).otherwise(0)
     cells = (
         tagged.select(*keys, side.alias("_side"), F.when(side == 0, F.col(value)).alias("_v"))

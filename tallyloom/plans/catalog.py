@@ -3,5 +3,7 @@
 from tallyloom.plans import (  # noqa: F401
     clickstream,
     retail,
+    series,
+    transit,
 )
 from tallyloom.plans.registry import oracle_sql, queries  # noqa: F401
