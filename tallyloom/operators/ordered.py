@@ -115,16 +115,22 @@ def value_at_rank(
     steers the work: ranks are counted exactly.
     """
     eps = 2.5 / accuracy
+    # Below this size a rank may sit outside the bracket by rounding alone; such groups are small enough to keep whole.
+    small = int(4 / eps)
     band = F.array(F.lit(max(0.0, near - eps)), F.lit(min(1.0, near + eps)))
     present = df.filter(F.col(value).isNotNull())
     if keys:
-        sketch = present.groupBy(*keys).agg(F.percentile_approx(value, band, F.lit(accuracy)).alias("_band"))
+        sketch = present.groupBy(*keys).agg(
+            F.percentile_approx(value, band, F.lit(accuracy)).alias("_band"), F.count("*").alias("_size")
+        )
         tagged = present.join(sketch, keys)
-        low, high = F.col("_band")[0], F.col("_band")[1]
+        low, high = (F.when(F.col("_size") >= small, F.col("_band")[i]) for i in (0, 1))
     else:
         tagged = present
-        bounds = present.agg(F.percentile_approx(value, band, F.lit(accuracy)).alias("_band")).first()["_band"]
-        low, high = (F.lit(b) for b in bounds) if bounds else (F.lit(None), F.lit(None))
+        sketch = present.agg(
+            F.percentile_approx(value, band, F.lit(accuracy)).alias("_band"), F.count("*").alias("_size")
+        ).first()
+        low, high = (F.lit(b) for b in (sketch["_band"] if sketch["_size"] >= small else (None, None)))
     if dict(df.dtypes)[value] in ("double", "float"):
         # A recomputed float may differ in its last bits; the bracket must still hold it.
         slack = 1e-9

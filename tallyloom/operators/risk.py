@@ -243,7 +243,7 @@ def long_short_factor(z_scores: DataFrame, returns: DataFrame, n_buckets: int =
     days = returns.select("date").distinct()
     previous = days.withColumn("prev_date", F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")))
     previous = previous.filter("prev_date is not null")
-    source = asof_dates(previous, z_scores, "prev_date", "score_date")
+    source = asof_dates(previous, z_scores.select(F.col("date").alias("score_date")), "prev_date", "score_date")
     plan = previous.join(source, "prev_date").filter("score_date is not null").select("date", "score_date")
     scored = plan.join(z_scores.withColumnRenamed("date", "score_date"), "score_date").select("date", "ticker", "z")
     cross = scored.join(returns, ["date", "ticker"])

@@ -5,5 +5,6 @@ from tallyloom.plans import (  # noqa: F401
     retail,
     series,
     transit,
+    risk,
 )
 from tallyloom.plans.registry import oracle_sql, queries  # noqa: F401

@@ -200,18 +200,37 @@ def components(t: Tables) -> DataFrame:
     return s.full_periodogram(filled(t), keys=KEY, order=TS, value="value")
 
 
-@query("ts_periodogram_full")
+DFT_SQL = f"""{HOURLY_SQL}, st AS (SELECT event_type, min(ts) AS t0, avg(value) AS mu, count(*) AS n FROM filled GROUP BY 1),
+dft AS (SELECT f.event_type, k, max(n) AS n, sum((value - mu) * cos(2 * pi() * k * (epoch(ts) - epoch(t0)) / 3600 / n)) AS c,
+  sum((value - mu) * sin(2 * pi() * k * (epoch(ts) - epoch(t0)) / 3600 / n)) AS s
+  FROM filled f JOIN st USING (event_type), range(1, 100000) r(k) WHERE k <= n / 6.0 AND n / k <= 10000 GROUP BY 1, 2),
+bins AS (SELECT *, 2 * sqrt(c * c + s * s) / n AS amplitude, row_number() OVER (PARTITION BY event_type ORDER BY c * c + s * s DESC) AS rank FROM dft)"""
+
+
+@query("ts_periodogram_full", f"""WITH {DFT_SQL}
+SELECT event_type, CAST(rank AS INTEGER) AS rank, round(n / k, 6) AS period_h, round(amplitude * amplitude, 5) AS power FROM bins WHERE rank <= 10""")
 def ts_periodogram_full(t: Tables) -> DataFrame:
-    """Top ten bins of the Fourier transform per series; checked against a direct sum in the tests."""
-    return components(t).select("event_type", "rank", F.round("period_h", 6).alias("period_h"), F.round("power", 6).alias("power"), "label")
+    """Top ten bins of the Fourier transform per series."""
+    return components(t).select("event_type", "rank", F.round("period_h", 6).alias("period_h"), F.round("power", 5).alias("power"))
+
+
+SPECTRAL_COLS = ", ".join(
+    f"round(max(CASE WHEN rank = {r} THEN amplitude * {fn}(2 * pi() * k * (epoch(ts) - epoch(t0)) / 3600 / b.n + atan2(-s, c)) END), 4) AS spectral_{r}_{fn}"
+    for r in (1, 2, 3)
+    for fn in ("sin", "cos")
+)
 
 
-@query("ts_spectral_features")
+@query("ts_spectral_features", f"""WITH {DFT_SQL}
+SELECT event_type, ts, max(value) AS value, {SPECTRAL_COLS} FROM filled JOIN st USING (event_type) JOIN bins b USING (event_type)
+WHERE rank <= 3 GROUP BY 1, 2""")
 def ts_spectral_features(t: Tables) -> DataFrame:
-    """Sine and cosine features of the top three components; checked in the tests."""
+    """Sine and cosine features of the top three components."""
     base = filled(t)
     parts = s.full_periodogram(base, keys=KEY, order=TS, value="value", top=3)
-    return s.spectral_features(base, parts, keys=KEY, order=TS, top=3)
+    out = s.spectral_features(base, parts, keys=KEY, order=TS, top=3)
+    names = [c for c in out.columns if c.startswith("spectral_")]
+    return out.select("event_type", "ts", "value", *[F.round(c, 4).alias(c) for c in names])
 
 
 @query("join_spectral_left", f"""WITH {HOURLY_SQL}
