@@ -271,7 +271,9 @@ def yoy_by(filings: DataFrame, state: str, year: str, org: str, amount: str) ->
     The window runs over the aggregate: one row per state and year.
     """
     totals = filings.groupBy(state, year).agg(
-        F.countDistinct(org).alias("num_orgs"), F.sum(amount).alias("total"), F.avg(F.col(amount).cast("double")).alias("average")
+        F.countDistinct(org).alias("num_orgs"),
+        F.sum(amount).alias("total"),
+        F.try_divide(F.sum(amount).cast("double"), F.count(amount)).alias("average"),
     )
     previous = F.lag("total").over(Window.partitionBy(state).orderBy(year))
     return totals.withColumn("yoy_change", F.col("total") - previous)

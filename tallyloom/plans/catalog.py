@@ -6,5 +6,9 @@ from tallyloom.plans import (  # noqa: F401
     series,
     transit,
     risk,
+    loans,
+    nonprofit,
+    texts,
+    finance,
 )
 from tallyloom.plans.registry import oracle_sql, queries  # noqa: F401
