@@ -10,5 +10,6 @@ from tallyloom.plans import (  # noqa: F401
     nonprofit,
     texts,
     finance,
+    checks,
 )
 from tallyloom.plans.registry import oracle_sql, queries  # noqa: F401

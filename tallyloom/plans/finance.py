@@ -112,13 +112,13 @@ PV_SQL = """pv AS (SELECT uf.ticker, max(wacc) AS wacc, sum(ufcf / pow(1 + wacc,
 vl AS (SELECT *, pvf + last_f * (1 + tg) / (wacc - tg) / pow(1 + wacc, 8) AS ev FROM pv)"""
 
 
-@query("fin_statement_wide", f"""WITH {CO_SQL} SELECT ticker, fiscal_year, round(rev, 4) AS total_revenue, round(gp, 4) AS gross_profit, round(ebit, 4) AS ebit, round(cd, 4) AS current_debt,
-  round(gp / rev, 8) AS gross_margin, round(ebit / rev, 8) AS ebit_margin, round(ebit * (1 - coalesce(taxp / nullif(ebit, 0), 0)) + da - capex + dwc, 4) AS free_cash_flow FROM wd""")
+@query("fin_statement_wide", f"""WITH {CO_SQL} SELECT ticker, fiscal_year, round(rev, 7) AS total_revenue, round(gp, 7) AS gross_profit, round(ebit, 7) AS ebit, round(cd, 7) AS current_debt,
+  round(gp / rev, 8) AS gross_margin, round(ebit / rev, 8) AS ebit_margin, round(ebit * (1 - coalesce(taxp / nullif(ebit, 0), 0)) + da - capex + dwc, 7) AS free_cash_flow FROM wd""")
 def fin_statement_wide(t: Tables) -> DataFrame:
     w = wide(t)
     return w.select(
-        "ticker", "fiscal_year", *[F.round(c, 4).alias(c) for c in ("total_revenue", "gross_profit", "ebit", "current_debt")],
-        F.round("gross_margin", 8).alias("gross_margin"), F.round("ebit_margin", 8).alias("ebit_margin"), F.round("free_cash_flow", 4).alias("free_cash_flow"),
+        "ticker", "fiscal_year", *[F.round(c, 7).alias(c) for c in ("total_revenue", "gross_profit", "ebit", "current_debt")],
+        F.round("gross_margin", 8).alias("gross_margin"), F.round("ebit_margin", 8).alias("ebit_margin"), F.round("free_cash_flow", 7).alias("free_cash_flow"),
     )
 
 
@@ -159,9 +159,9 @@ def fin_projection(t: Tables) -> DataFrame:
     return rows.select("ticker", "year", *[F.round(c, 3).alias(c) for c in ("revenue", "gross_profit", "ebit", "nopat", "ufcf")])
 
 
-@query("fin_wacc", f"WITH {CO_SQL}, {WACC_SQL} SELECT ticker, round(ke, 8) AS cost_of_equity, CASE WHEN estimated THEN 'estimated' ELSE 'reported' END AS interest_source, round(wacc, 8) AS wacc FROM wr")
+@query("fin_wacc", f"WITH {CO_SQL}, {WACC_SQL} SELECT ticker, round(ke, 12) AS cost_of_equity, CASE WHEN estimated THEN 'estimated' ELSE 'reported' END AS interest_source, round(wacc, 8) AS wacc FROM wr")
 def fin_wacc(t: Tables) -> DataFrame:
-    return v.wacc(derived(t)).select("ticker", F.round("cost_of_equity", 8).alias("cost_of_equity"), "interest_source", F.round("wacc", 8).alias("wacc"))
+    return v.wacc(derived(t)).select("ticker", F.round("cost_of_equity", 12).alias("cost_of_equity"), "interest_source", F.round("wacc", 8).alias("wacc"))
 
 
 @query("fin_dcf", f"""WITH {CO_SQL}, {PATH_SQL}, {WACC_SQL}, {PV_SQL} SELECT ticker, CASE WHEN shares = 0 THEN 'shares is missing or zero' WHEN wacc <= tg THEN 'wacc must be greater than terminal_growth' END AS dcf_error,
