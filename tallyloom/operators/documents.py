@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import lexicons as lx
 from tallyloom.operators.ordered import top_by
+from tallyloom.session import frozen
 
 
 def _c(value: Column | str) -> Column:
@@ -27,8 +28,8 @@ def _strip(value: Column) -> Column:
 
 
 def _words(words: tuple[str, ...]) -> str:
-    """A case-blind pattern for whole words, accented letters counting as letters."""
-    return r"(?iU)\b(" + "|".join(words) + r")\b"
+    """A pattern for whole words of lower-cased text, accented letters counting as letters."""
+    return r"(?U)\b(?:" + "|".join(words) + r")\b"
 
 
 def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
@@ -93,31 +94,40 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_bl
 
 
 # --- per-paragraph analysis ----------------------------------------------------------------------
+# The functions below take text that is already lower-cased, so that a table lower-cases its text
+# once (``lowered``) and not once per keyword.
 
+LOW = "_low"
 
-def temporality(text: Column | str) -> Column:
+
+def lowered(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the lower-cased text the analysis functions read."""
+    return df.withColumn(LOW, F.lower(text))
+
+
+def temporality(low: Column | str = LOW) -> Column:
     """``forward_looking``, ``historical``, ``mixed`` or ``neutral``."""
-    forward, back = _c(text).rlike(_words(lx.FORWARD)), _c(text).rlike(_words(lx.HISTORICAL))
-    return (
-        F.when(forward & back, "mixed").when(forward, "forward_looking").when(back, "historical").otherwise("neutral")
+    forward, back = _c(low).rlike(_words(lx.FORWARD)), _c(low).rlike(_words(lx.HISTORICAL))
+    return F.element_at(
+        F.array(F.lit("neutral"), F.lit("historical"), F.lit("forward_looking"), F.lit("mixed")),
+        1 + back.cast("int") + 2 * forward.cast("int"),
     )
 
 
-def topics(text: Column | str, keywords: dict[str, tuple[str, ...]] = lx.TOPICS, whole_words: bool = False) -> Column:
+def topics(low: Column | str = LOW, keywords: dict[str, tuple[str, ...]] = lx.TOPICS, whole_words: bool = False) -> Column:
     """Labels whose keywords occur; plain substrings unless ``whole_words``."""
-    lowered = F.lower(_c(text))
 
     def hit(words: tuple[str, ...]) -> Column:
-        return lowered.rlike(_words(tuple(f"\\Q{w}\\E" for w in words))) if whole_words else _any_of(lowered, words)
+        return _c(low).rlike(_words(tuple(f"\\Q{w}\\E" for w in words))) if whole_words else _any_of(_c(low), words)
 
     return F.array_compact(F.array(*[F.when(hit(words), F.lit(label)) for label, words in keywords.items()]))
 
 
-def amount_flags(text: Column | str) -> dict[str, Column]:
+def amount_flags(low: Column | str = LOW) -> dict[str, Column]:
     """Dollar and percent amounts, and the material, significant and change words."""
-    t = _c(text)
+    t = _c(low)
     return {
-        "has_dollar": t.rlike("(?i)" + lx.DOLLAR),
+        "has_dollar": t.rlike(lx.DOLLAR),
         "has_percent": t.rlike(lx.PERCENT),
         "is_material": t.rlike(_words(lx.MATERIAL)),
         "is_significant": t.rlike(_words(lx.SIGNIFICANT)),
@@ -125,30 +135,27 @@ def amount_flags(text: Column | str) -> dict[str, Column]:
     }
 
 
-def is_boilerplate(text: Column | str) -> Column:
-    return _any_of(F.lower(_c(text)), lx.BOILERPLATE)
+def is_boilerplate(low: Column | str = LOW) -> Column:
+    return _any_of(_c(low), lx.BOILERPLATE)
 
 
-def word_hits(text: Column | str, words: tuple[str, ...]) -> Column:
+def _occurrences(low: Column, word: str) -> Column:
+    """Non-overlapping occurrences, from the bytes a removal saves."""
+    saved = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(word), F.lit("")))
+    return (saved / len(word.encode())).cast("bigint")
+
+
+def word_hits(low: Column | str, words: tuple[str, ...]) -> Column:
     """``array<struct<word, n>>`` of the words that occur; occurrences of one word do not overlap."""
-    lowered = F.lower(_c(text))
-    counted = [
-        F.struct(
-            F.lit(w).alias("word"),
-            ((F.length(lowered) - F.length(F.replace(lowered, F.lit(w), F.lit("")))) / len(w)).cast("bigint").alias("n"),
-        )
-        for w in words
-    ]
+    counted = [F.struct(F.lit(w).alias("word"), _occurrences(_c(low), w).alias("n")) for w in words]
     return F.filter(F.array(*counted), lambda h: h["n"] > 0)
 
 
-def hit_count(text: Column | str, words: tuple[str, ...]) -> Column:
+def hit_count(low: Column | str, words: tuple[str, ...]) -> Column:
     """Total occurrences of the words."""
-    lowered = F.lower(_c(text))
     total = F.lit(0).cast("bigint")
     for w in words:
-        gone = F.length(lowered) - F.length(F.replace(lowered, F.lit(w), F.lit("")))
-        total = total + (gone / len(w)).cast("bigint")
+        total = total + _occurrences(_c(low), w)
     return total
 
 
@@ -158,8 +165,8 @@ def with_tone(
     """Word counts, share of positive words (null without any) and label."""
     share = F.try_divide(F.col("positive_count"), F.col("positive_count") + F.col("negative_count"))
     label = F.when(F.col("tone") > 0.6, "positive").when(F.col("tone") < 0.4, "negative").otherwise("neutral")
-    counted = df.withColumns({"positive_count": hit_count(text, positive), "negative_count": hit_count(text, negative)})
-    return counted.withColumn("tone", share).withColumn("tone_label", label)
+    counts = {"positive_count": hit_count(LOW, positive), "negative_count": hit_count(LOW, negative)}
+    return lowered(df, text).withColumns(counts).withColumn("tone", share).withColumn("tone_label", label).drop(LOW)
 
 
 def analyze(
@@ -170,11 +177,14 @@ def analyze(
     keywords: dict[str, tuple[str, ...]] = lx.TOPICS,
 ) -> DataFrame:
     """All paragraph attributes, the relevance score included."""
-    flagged = with_tone(paras, text, positive, negative).withColumns(
-        {"temporality": temporality(text), "topics": topics(text, keywords), "is_boilerplate": is_boilerplate(text)}
-        | amount_flags(text)
-    )
-    return flagged.withColumn("relevance", relevance())
+    flags = {"temporality": temporality(), "topics": topics(LOW, keywords), "is_boilerplate": is_boilerplate()}
+    counts = {"positive_count": hit_count(LOW, positive), "negative_count": hit_count(LOW, negative)}
+    # One generator row carries all flags: whatever reads them later, each pattern runs once per paragraph.
+    packed = F.struct(*[c.alias(n) for n, c in (flags | counts | amount_flags()).items()])
+    flagged = lowered(paras, text).select("*", F.inline_outer(F.array(packed))).drop(LOW)
+    share = F.try_divide(F.col("positive_count"), F.col("positive_count") + F.col("negative_count"))
+    label = F.when(F.col("tone") > 0.6, "positive").when(F.col("tone") < 0.4, "negative").otherwise("neutral")
+    return flagged.withColumn("tone", share).withColumns({"tone_label": label, "relevance": relevance()})
 
 
 def relevance() -> Column:
@@ -197,7 +207,8 @@ def relevance() -> Column:
 
 def guidance(paras: DataFrame, text: str = "text", keywords: tuple[str, ...] = lx.GUIDANCE_KEYWORDS, longest: int = 2000) -> DataFrame:
     """Non-heading paragraphs of moderate length that mention any guidance keyword."""
-    return paras.filter(~F.col("is_heading") & (F.length(text) <= longest) & _any_of(F.lower(F.col(text)), keywords))
+    short = lowered(paras.filter(~F.col("is_heading") & (F.length(text) <= longest)), text)
+    return short.filter(_any_of(F.col(LOW), keywords)).drop(LOW)
 
 
 def document_tone(analyzed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -220,7 +231,7 @@ def relevant_paragraphs(analyzed: DataFrame, key: str = "doc_id", n: int = 5) ->
 
 def top_words(docs: DataFrame, words: tuple[str, ...], text: str = "text", n: int = 5) -> DataFrame:
     """The ``n`` most frequent of the listed words over the corpus."""
-    hits = docs.select(F.explode(word_hits(text, words)).alias("h"))
+    hits = lowered(docs, text).select(F.explode(word_hits(LOW, words)).alias("h"))
     return hits.groupBy("h.word").agg(F.sum("h.n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 
@@ -241,16 +252,17 @@ def anchors(docs: DataFrame, specs: list[dict], key: str = "doc_id", text: str =
     def find(texts: pd.Series) -> pd.Series:
         import re
 
-        flags = re.IGNORECASE | re.MULTILINE
+        # A newline is put in front and every pattern starts with one: the search then jumps from
+        # line to line, and a match in the longer text starts where the line starts in the original.
         tail = r"[.:\s\xa0—–-]"
-        any_item = re.compile(r"^item\s*\d", flags)
+        any_item = re.compile(r"\nitem\s*\d", re.IGNORECASE)
         compiled = [
             (
                 s["section"],
-                re.compile(rf"^item\s*{s['item']}{tail}", flags),
-                re.compile(rf"^item\s*{s['next_item']}{tail}", flags),
+                re.compile(rf"\nitem\s*{s['item']}{tail}", re.IGNORECASE),
+                re.compile(rf"\nitem\s*{s['next_item']}{tail}", re.IGNORECASE),
                 re.compile(s["title"], re.IGNORECASE),
-                re.compile(rf"^(?:item\s*{s['item']}{tail}*)?{s['title']}", flags),
+                re.compile(rf"\n(?:item\s*{s['item']}{tail}*)?({s['title']})", re.IGNORECASE),
             )
             for s in specs
         ]
@@ -258,15 +270,14 @@ def anchors(docs: DataFrame, specs: list[dict], key: str = "doc_id", text: str =
         def spans(value):
             if value is None:
                 return []
-            out = [("", "any", m.start(), m.end()) for m in any_item.finditer(value)]
+            lined = "\n" + value
+            out = [("", "any", m.start(), m.end() - 1) for m in any_item.finditer(lined)]
             for name, item, following, title, title_line in compiled:
-                for m in item.finditer(value):
-                    near = title.search(value, m.end(), m.end() + look_ahead)
-                    out.append((name, "titled" if near else "untitled", m.start(), m.end()))
-                for m in title_line.finditer(value):
-                    at = title.search(value, m.start())
-                    out.append((name, "title", at.start(), at.end()))
-                out += [(name, "next", m.start(), m.end()) for m in following.finditer(value)]
+                for m in item.finditer(lined):
+                    near = title.search(lined, m.end(), m.end() + look_ahead)
+                    out.append((name, "titled" if near else "untitled", m.start(), m.end() - 1))
+                out += [(name, "title", m.start(1) - 1, m.end(1) - 1) for m in title_line.finditer(lined)]
+                out += [(name, "next", m.start(), m.end() - 1) for m in following.finditer(lined)]
             return [dict(zip(("section", "kind", "start", "stop"), o)) for o in out]
 
         return texts.map(spans)
@@ -296,7 +307,8 @@ def sections(docs: DataFrame, specs: list[dict], key: str = "doc_id", text: str
     those without, then bare titles; within a tier the first start with a later heading
     at least ``min_length`` characters on wins, and ends at the first such heading.
     """
-    found = anchors(docs, specs, key, text)
+    # The positions are few next to the text; written once, they spare a second pass over it.
+    found = frozen(anchors(docs, specs, key, text), "anchors")
     placed = found.filter("kind <> 'any'").join(body_start(found, key), key, "left").filter("start >= coalesce(body, 0)")
     tier = F.when(F.col("kind") == "titled", 1).when(F.col("kind") == "untitled", 2).otherwise(3)
     starts = placed.filter("kind <> 'next'").select(key, "section", tier.alias("tier"), "start", F.col("end").alias("_after"))
@@ -338,9 +350,8 @@ def ticker_mentions(
     found = F.array_except(found, F.array(*[F.lit(w) for w in stop_words]))
     if universe is not None:
         found = F.array_intersect(found, F.array(*[F.lit(u) for u in universe]))
-    lowered = F.lower(t)
-    named = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(c)), F.lit(sym)) for c, sym in companies.items()]))
-    return texts.select("*", F.explode_outer(F.array_union(found, named)).alias("ticker"))
+    named = F.array_compact(F.array(*[F.when(F.contains(F.col(LOW), F.lit(c)), F.lit(sym)) for c, sym in companies.items()]))
+    return lowered(texts, text).select("*", F.explode_outer(F.array_union(found, named)).alias("ticker")).drop(LOW)
 
 
 def long_enough(df: DataFrame, title: str, summary: str, minimum: int = 10) -> DataFrame:

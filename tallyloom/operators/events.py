@@ -41,14 +41,11 @@ def parse(messages: DataFrame) -> DataFrame:
     """Broker rows to the payload text, its parsed envelope ``e`` and the broker coordinates.
 
     All envelope fields stay strings so that "absent" and "wrong type" remain two defects.
-    ``is_object`` tells whether the text is a JSON object at all. Both come out of a
-    generator, which filters are not pushed through: each payload is parsed once, however
-    many rules and branches read ``e``.
+    The envelope comes out of a generator, which filters are not pushed through: each
+    payload is parsed once, however many rules and branches read ``e``.
     """
     text = F.col("value").cast("string")
-    parsed = F.struct(
-        F.from_json(text, ENVELOPE).alias("e"), F.from_json(text, "map<string,string>").isNotNull().alias("is_object")
-    )
+    parsed = F.struct(F.from_json(text, ENVELOPE).alias("e"))
     return messages.select(
         F.col("key").cast("string").alias("kafka_key"),
         text.alias("raw_value"),
@@ -76,9 +73,10 @@ def classify(parsed: DataFrame, event_types: tuple[str, ...] = EVENT_TYPES) -> D
     """
     e, raw = F.col("e"), F.col("raw_value")
     blank = raw.isNull() | (F.trim(raw) == "")
-    # A malformed payload parses to a struct of nulls, and so does an empty object.
+    # A malformed payload parses to a struct of nulls, and so does an empty object. Only such
+    # rows are parsed again, as a plain map, to tell the two apart.
     required = F.coalesce(e["event_id"], e["event_time"], e["visitor_id"], e["event_type"], e["item_id"])
-    hollow = required.isNull() & ~F.col("is_object")
+    hollow = F.when(required.isNull(), F.from_json(raw, "map<string,string>").isNull()).otherwise(F.lit(False))
     rules: list[tuple[Column, str]] = [
         (blank, "empty_payload"),
         (e.isNull() | hollow, "unparseable_json"),

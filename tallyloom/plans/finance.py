@@ -70,7 +70,7 @@ def companies(t: Tables) -> DataFrame:
 
 
 def derived(t: Tables) -> DataFrame:
-    return v.assumptions(wide(t)).join(companies(t), "ticker")
+    return t.once("derived", lambda t: v.assumptions(wide(t)).join(companies(t), "ticker"))
 
 
 def valued(t: Tables) -> DataFrame:

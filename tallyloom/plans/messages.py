@@ -133,7 +133,7 @@ def category_edges(t: Tables) -> DataFrame:
 
 
 def dim_items(t: Tables) -> DataFrame:
-    return item_dimension(item_changes(t), category_edges(t))
+    return t.once("items", lambda t: item_dimension(item_changes(t), category_edges(t)))
 
 
 FAULT_CASE = "CASE " + " ".join(f"WHEN k < {upto} THEN '{name}'" for upto, name in FAULTS) + " END"

@@ -26,6 +26,10 @@ def prices(t: Tables) -> DataFrame:
 
 
 def returns(t: Tables) -> DataFrame:
+    return t.once("returns", _returns)
+
+
+def _returns(t: Tables) -> DataFrame:
     full = series.pct_return(prices(t), keys=["ticker"], order="date", price="price")
     return series.complete_dates(full, key="ticker", date="date", value="ret").select("ticker", "date", "price", "ret")
 
@@ -38,7 +42,7 @@ def weights(t: Tables) -> DataFrame:
 
 
 def portfolios(t: Tables) -> DataFrame:
-    return risk.portfolio_returns(returns(t), weights(t))
+    return t.once("portfolios", lambda t: risk.portfolio_returns(returns(t), weights(t)))
 
 
 def benchmark(t: Tables) -> DataFrame:
@@ -61,8 +65,10 @@ def factors(t: Tables) -> DataFrame:
 
 
 def with_factors(t: Tables) -> DataFrame:
-    joined = portfolios(t).join(factors(t), "date").na.drop()
-    return joined.withColumn("excess", F.col("ret") - F.col("rf"))
+    def joined(t: Tables) -> DataFrame:
+        return portfolios(t).join(factors(t), "date").na.drop().withColumn("excess", F.col("ret") - F.col("rf"))
+
+    return t.once("with_factors", joined)
 
 
 RET_SQL = """px AS (SELECT n_name AS ticker, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
@@ -239,10 +245,14 @@ def scores(t: Tables) -> DataFrame:
 
 
 def daily_scores(t: Tables) -> DataFrame:
-    return risk.weighted_scores(scores(t))
+    return t.once("scores", lambda t: risk.weighted_scores(scores(t)))
 
 
 def user_returns(t: Tables) -> DataFrame:
+    return t.once("user_returns", _user_returns)
+
+
+def _user_returns(t: Tables) -> DataFrame:
     """Daily returns ``(date, ticker, ret)`` of each user's event value over the user's active days."""
     total = F.sum(F.col("value").cast("decimal(12,2)")).cast("double")
     daily = t.events.groupBy(F.concat(F.lit("U"), "user_id").alias("ticker"), F.to_date("ts").alias("date")).agg(total.alias("price"))

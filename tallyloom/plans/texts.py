@@ -90,24 +90,24 @@ def txt_paragraphs(t: Tables) -> DataFrame:
 
 @query("txt_temporality", f"WITH {AN_SQL} SELECT temporality, count(*) AS paragraphs FROM an GROUP BY 1")
 def txt_temporality(t: Tables) -> DataFrame:
-    return paras(t).groupBy(d.temporality("text").alias("temporality")).agg(F.count("*").alias("paragraphs"))
+    return d.lowered(paras(t)).groupBy(d.temporality().alias("temporality")).agg(F.count("*").alias("paragraphs"))
 
 
 @query("txt_topics", f"WITH {AN_SQL} SELECT doc_id, pos, array_to_string(topics, ',') AS topics FROM an WHERE len(topics) > 0")
 def txt_topics(t: Tables) -> DataFrame:
-    found = paras(t).select("doc_id", "pos", d.topics("text").alias("topics")).filter(F.size("topics") > 0)
+    found = analyzed(t).select("doc_id", "pos", "topics").filter(F.size("topics") > 0)
     return found.withColumn("topics", F.array_join("topics", ","))
 
 
 @query("txt_amount_flags", f"WITH {AN_SQL} SELECT has_dollar, has_percent, is_material, is_significant, is_change, count(*) AS paragraphs FROM an GROUP BY 1, 2, 3, 4, 5")
 def txt_amount_flags(t: Tables) -> DataFrame:
-    flags = d.amount_flags("text")
-    return paras(t).select(*[c.alias(n) for n, c in flags.items()]).groupBy(*flags).agg(F.count("*").alias("paragraphs"))
+    flags = d.amount_flags()
+    return d.lowered(paras(t)).select(*[c.alias(n) for n, c in flags.items()]).groupBy(*flags).agg(F.count("*").alias("paragraphs"))
 
 
 @query("txt_boilerplate", f"WITH {AN_SQL} SELECT is_boilerplate, count(*) AS paragraphs FROM an GROUP BY 1")
 def txt_boilerplate(t: Tables) -> DataFrame:
-    return paras(t).groupBy(d.is_boilerplate("text").alias("is_boilerplate")).agg(F.count("*").alias("paragraphs"))
+    return d.lowered(paras(t)).groupBy(d.is_boilerplate().alias("is_boilerplate")).agg(F.count("*").alias("paragraphs"))
 
 
 @query("txt_relevance", f"WITH {AN_SQL} SELECT relevance, is_heading, count(*) AS paragraphs FROM an GROUP BY 1, 2")

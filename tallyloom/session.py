@@ -63,10 +63,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def frozen(df):
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+def frozen(df, label: str = "frozen"):
+    """``df`` computed once into a table in the shared folder and read back.
+
+    Cuts the lineage and survives lost executors. Later passes read columns of the
+    written table instead of repeating the work, and all see the same values.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

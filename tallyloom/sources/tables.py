@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import frozen
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -36,12 +38,19 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._once: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
+    def once(self, name: str, build) -> DataFrame:
+        """An intermediate table that several branches of a query read, written once."""
+        if name not in self._once:
+            self._once[name] = frozen(build(self), name)
+        return self._once[name]
+
 
 def money(value: Column | str, scale: int = 2) -> Column:
     """Fixed-point money, never binary floating point: ``decimal(12, 2)`` by default."""
