@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import lexicons as lx
+from tallyloom.operators.layout import spread
 from tallyloom.operators.ordered import top_by
 from tallyloom.session import frozen
 
@@ -23,8 +24,11 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+WHITESPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
+
+
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def _words(words: tuple[str, ...]) -> str:
@@ -89,7 +93,9 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_bl
     chunks = F.filter(F.transform(F.split(_c(text), r"\n{2,}"), _strip), lambda c: c != "")
     first = F.element_at("_chunks", 1)
     parts = F.when((F.size("_chunks") == 1) & (F.length(first) > long_block), _by_heading_lines(first)).otherwise(F.col("_chunks"))
-    exploded = docs.select(key, chunks.alias("_chunks")).filter(F.size("_chunks") > 0).select(key, F.posexplode(parts).alias("pos", "text"))
+    # Outer generators, as an inner one adds a filter that computes its array a second time.
+    once = spread(docs.select(key, text), key).select(key, F.inline_outer(F.array(F.struct(chunks.alias("_chunks")))))
+    exploded = once.select(key, F.posexplode_outer(parts).alias("pos", "text")).filter("text is not null")
     return exploded.withColumn("is_heading", is_heading(F.col("text")) & (F.length("text") > 0))
 
 
@@ -282,7 +288,7 @@ def anchors(docs: DataFrame, specs: list[dict], key: str = "doc_id", text: str =
 
         return texts.map(spans)
 
-    found = docs.select(key, F.explode(find(F.col(text))).alias("a"))
+    found = spread(docs.select(key, text), key).select(key, F.explode(find(F.col(text))).alias("a"))
     return found.select(key, "a.section", "a.kind", "a.start", F.col("a.stop").alias("end"))
 
 

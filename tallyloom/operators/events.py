@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.layout import spread
 from tallyloom.operators.ordered import first_by
 
 # The message contract shared with the producers.
@@ -46,7 +47,7 @@ def parse(messages: DataFrame) -> DataFrame:
     """
     text = F.col("value").cast("string")
     parsed = F.struct(F.from_json(text, ENVELOPE).alias("e"))
-    return messages.select(
+    return spread(messages, "partition", "offset").select(
         F.col("key").cast("string").alias("kafka_key"),
         text.alias("raw_value"),
         F.col("topic").alias("kafka_topic"),

@@ -38,36 +38,37 @@ def with_category_since(wide: DataFrame, current: DataFrame) -> DataFrame:
     return wide.join(since, "item_id", "left")
 
 
+LEVELS_PER_ROUND = 4
+
+
 def resolve_roots(edges: DataFrame, max_depth: int = 20) -> DataFrame:
     """``(category_id, parent_category_id)`` edges plus the root each node leads to.
 
-    All unfinished nodes climb one level per round. A climb ends at a node without a
+    All nodes climb together, a few levels per round. A climb ends at a node without a
     parent or outside the tree, at the first node met twice, or after ``max_depth``
-    moves. Each round's small frontier is checkpointed, so the plan stays flat.
+    moves. Each round's result is written out, so the plan stays flat, and the rounds
+    stop as soon as every climb has ended.
     """
     parents = edges.select(F.col("category_id").alias("_at"), F.col("parent_category_id").alias("_up"))
-    climbing = edges.select("category_id", F.col("category_id").alias("_here"), F.array("category_id").alias("_seen"))
-    finished = []
-    for depth in range(max_depth):
-        moved = climbing.join(parents, F.col("_here") == F.col("_at"), "left")
-        again = F.array_contains("_seen", F.col("_up"))
-        moved = moved.select(
-            "category_id",
-            F.coalesce("_up", "_here").alias("_here"),
-            F.array_append("_seen", F.col("_up")).alias("_seen"),
-            (F.col("_up").isNull() | again).alias("_done"),
-        )
-        moved = frozen(moved)
-        finished.append(moved.filter("_done").select("category_id", F.col("_here").alias("root_category_id")))
-        climbing = moved.filter("not _done").drop("_done")
-        if climbing.isEmpty():
+    climb = edges.select(
+        "category_id", F.col("category_id").alias("_here"), F.array("category_id").alias("_seen"), F.lit(False).alias("_done")
+    )
+    done_moves = 0
+    while done_moves < max_depth:
+        for _ in range(min(LEVELS_PER_ROUND, max_depth - done_moves)):
+            moved = climb.join(parents, ~F.col("_done") & (F.col("_here") == F.col("_at")), "left")
+            ended = F.col("_done") | F.col("_up").isNull() | F.array_contains("_seen", F.col("_up"))
+            climb = moved.select(
+                "category_id",
+                F.coalesce("_up", "_here").alias("_here"),
+                F.when(ended, F.col("_seen")).otherwise(F.array_append("_seen", F.col("_up"))).alias("_seen"),
+                ended.alias("_done"),
+            )
+            done_moves += 1
+        climb = frozen(climb, "climb")
+        if climb.filter("not _done").isEmpty():
             break
-    else:
-        finished.append(climbing.select("category_id", F.col("_here").alias("root_category_id")))
-    roots = finished[0]
-    for part in finished[1:]:
-        roots = roots.unionByName(part)
-    return edges.join(roots, "category_id")
+    return edges.join(climb.select("category_id", F.col("_here").alias("root_category_id")), "category_id")
 
 
 def join_tree(wide: DataFrame, tree: DataFrame) -> DataFrame:

@@ -83,10 +83,15 @@ def share_within(df: DataFrame, flag: Column, low: float, high: float) -> DataFr
     return df.agg(share.alias("share"), F.count("*").alias("rows")).filter(~F.col("share").between(low, high))
 
 
-def reconcile_counts(classified: DataFrame, clean: DataFrame) -> DataFrame:
-    """Messages read, quarantined and clean, and the duplicates removed between them."""
-    kept = clean.agg(F.count("*").alias("n")).scalar()
-    counts = classified.agg(F.count("*").alias("read"), F.count_if(~F.col("is_valid")).alias("quarantined")).withColumn("clean", kept)
+def reconcile_counts(classified: DataFrame) -> DataFrame:
+    """Messages read, quarantined and kept as clean events, and the duplicates removed between them.
+
+    One aggregation by id gives all four: each valid id is one clean event.
+    """
+    by_id = classified.groupBy(F.when(F.col("is_valid"), F.col("e.event_id")).alias("_id")).agg(
+        F.count("*").alias("_n"), F.count_if(~F.col("is_valid")).alias("_bad")
+    )
+    counts = by_id.agg(F.sum("_n").alias("read"), F.sum("_bad").alias("quarantined"), F.count("_id").alias("clean"))
     removed = F.col("read") - F.col("quarantined") - F.col("clean")
     return counts.withColumn("duplicates_removed", removed).withColumn(
         "quarantined_pct", F.round(F.try_divide(F.col("quarantined") * F.lit(100.0), F.col("read")), 4)

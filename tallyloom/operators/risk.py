@@ -92,22 +92,28 @@ def tracking(returns: DataFrame, benchmark: DataFrame, by: str = "portfolio") ->
 
 
 def all_kpis(returns: DataFrame, benchmark: DataFrame, by: str = "portfolio") -> DataFrame:
-    """Eight measures per portfolio, alpha and beta against the benchmark's excess return."""
-    joined = returns.join(benchmark, "date")
-    y, x = F.col("ret") - _rf(), F.col("bench") - _rf()
-    market = joined.groupBy(by).agg(
-        (F.regr_intercept(y, x) * TRADING_DAYS).alias("alpha"), F.regr_slope(y, x).alias("beta")
+    """Eight measures per portfolio, alpha and beta against the benchmark's excess return.
+
+    One aggregation gives all of them but the tail mean, which needs the quantile first.
+    """
+    fallen = drawdown(returns.join(benchmark, "date", "left"), keys=[by], order="date", ret="ret")
+    y, x, active = F.col("ret") - _rf(), F.col("bench") - _rf(), F.col("ret") - F.col("bench")
+    year = F.sqrt(F.lit(TRADING_DAYS))
+
+    def ratio(mean: Column, deviation: Column) -> Column:
+        return F.when(deviation > 0, mean * TRADING_DAYS / (deviation * year)).otherwise(F.lit(0.0))
+
+    stats = fallen.groupBy(by).agg(
+        (F.regr_intercept(y, x) * TRADING_DAYS).alias("alpha"),
+        F.regr_slope(y, x).alias("beta"),
+        ratio(F.avg(y), F.stddev_samp("ret")).alias("sharpe"),
+        ratio(F.avg(y), F.sqrt(F.avg(F.when(y < 0, y * y)))).alias("sortino"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.percentile("ret", F.lit(0.05)).alias("var_95"),
+        ratio(F.avg(active), F.stddev_samp(active)).alias("information_ratio"),
     )
-    parts = [
-        sharpe_sortino(returns, by),
-        max_drawdown(returns, by),
-        var_cvar(returns, [by]),
-        tracking(returns, benchmark, by).select(by, "information_ratio"),
-    ]
-    out = market
-    for part in parts:
-        out = out.join(part, by)
-    return out
+    tail = returns.join(stats.select(by, "var_95"), by).filter("ret <= var_95").groupBy(by).agg(F.avg("ret").alias("cvar_95"))
+    return stats.join(tail, by)
 
 
 def compare(kpis: DataFrame, portfolios: list[str], by: str = "portfolio") -> DataFrame:

@@ -92,10 +92,7 @@ def dq_unknown_rate(t: Tables) -> DataFrame:
 @query("dq_reconcile_counts", f"""WITH {CLEAN_SQL}, x AS (SELECT (SELECT count(*) FROM msgs) AS "read", (SELECT count(*) FROM msgs WHERE reason IS NOT NULL) AS quarantined, (SELECT count(*) FROM clean) AS clean)
 SELECT "read", quarantined, clean, "read" - quarantined - clean AS duplicates_removed, round(100.0 * quarantined / "read", 4) AS quarantined_pct FROM x""")
 def dq_reconcile_counts(t: Tables) -> DataFrame:
-    # Enrichment keeps every row, so the de-duplicated rows are the clean rows.
-    rows = t.once("classified", classified)
-    unique = ev.dedupe(ev.cast_valid(ev.split(rows)[0]), ["event_id"], ["kafka_partition", "kafka_offset"])
-    return quality.reconcile_counts(rows, unique)
+    return quality.reconcile_counts(classified(t))
 
 
 @query("dq_overlap", """SELECT (SELECT CAST(min(o_orderdate) AS DATE) FROM orders) AS a_first, (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) AS a_last,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import lexicons as lx
 from tallyloom.functions.text import valid_ticker
 from tallyloom.operators import documents as d
+from tallyloom.operators.layout import spread
 from tallyloom.plans.registry import query
 from tallyloom.sources.tables import Tables
 
@@ -168,7 +169,7 @@ e AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10))
 u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM e)
 SELECT page_id, length(x) AS chars, md5(x) AS digest FROM u""")
 def txt_html_to_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", d.html_to_text("html").alias("x")).select("page_id", F.length("x").cast("bigint").alias("chars"), F.md5("x").alias("digest"))
+    return spread(t.pages.select("page_id", "html"), "page_id").select("page_id", d.html_to_text("html").alias("x")).select("page_id", F.length("x").cast("bigint").alias("chars"), F.md5("x").alias("digest"))
 
 
 SPECS = [
