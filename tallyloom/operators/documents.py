@@ -317,9 +317,15 @@ def sections(docs: DataFrame, specs: list[dict], key: str = "doc_id", text: str
     found = frozen(anchors(docs, specs, key, text), "anchors")
     placed = found.filter("kind <> 'any'").join(body_start(found, key), key, "left").filter("start >= coalesce(body, 0)")
     tier = F.when(F.col("kind") == "titled", 1).when(F.col("kind") == "untitled", 2).otherwise(3)
-    starts = placed.filter("kind <> 'next'").select(key, "section", tier.alias("tier"), "start", F.col("end").alias("_after"))
-    ends = placed.filter("kind = 'next'").select(key, "section", F.col("start").alias("stop"))
-    pairs = starts.join(ends, [key, "section"]).filter((F.col("stop") > F.col("_after")) & (F.col("stop") - F.col("_after") >= min_length))
+    # Starts and ends on one line: a start sits where its earliest possible end would, and the first
+    # end at or after that point is its own. No pairs are formed.
+    is_end = F.col("kind") == "next"
+    spot = F.when(is_end, F.col("start")).otherwise(F.col("end") + F.lit(max(min_length, 1)))
+    onward = Window.partitionBy(key, "section").orderBy("_spot", "_is_end").rowsBetween(0, Window.unboundedFollowing)
+    ended = placed.withColumns({"_spot": spot, "_is_end": is_end.cast("int"), "tier": tier}).withColumn(
+        "stop", F.first(F.when(F.col("_is_end") == 1, F.col("start")), ignorenulls=True).over(onward)
+    )
+    pairs = ended.filter("_is_end = 0 and stop is not null")
     best = pairs.groupBy(key, "section").agg(F.min(F.struct("tier", "start", "stop")).alias("b"))
     chosen = best.select(key, "section", F.col("b.start").alias("start"), F.col("b.stop").alias("stop"))
     cut = F.substring(F.col(text), F.col("start") + 1, F.col("stop") - F.col("start"))

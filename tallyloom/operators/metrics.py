@@ -285,19 +285,16 @@ def retention(filings: DataFrame, org: str, year: str, amount: str, literal: boo
     Collapses to one row per organisation and year first. ``literal=True`` keeps one
     row per filing, where two filings in a year break the chain.
     """
-    giving = filings.filter(F.col(amount) > 0).select(org, year)
-    if literal:
-        giving = giving.withColumn("_prev", F.lag(year).over(Window.partitionBy(org).orderBy(year)))
-        retained = F.count_if(F.col("_prev") == F.col(year) - 1)
-    else:
-        # The previous year is an equality, so a join on (org, year) replaces a window over the org.
-        pairs = giving.distinct()
-        shifted = pairs.select(org, (F.col(year) + 1).alias(year), F.lit(True).alias("_kept"))
-        giving = pairs.join(shifted, [org, year], "left")
-        retained = F.count_if("_kept")
+    pairs = filings.filter(F.col(amount) > 0).groupBy(org, year).agg(F.count("*").alias("_m"))
+    # The year before is an equality, so a join on (org, year) replaces a window over the org. Of
+    # several filings in a year only the first can follow the year before, so the literal count
+    # differs in the total alone.
+    shifted = pairs.select(org, (F.col(year) + 1).alias(year), F.lit(True).alias("_kept"))
+    total = F.sum("_m") if literal else F.count("*")
     return (
-        giving.groupBy(year)
-        .agg(F.count("*").alias("total_orgs"), retained.alias("retained"))
+        pairs.join(shifted, [org, year], "left")
+        .groupBy(year)
+        .agg(total.alias("total_orgs"), F.count_if("_kept").alias("retained"))
         .withColumn("retention_pct", F.round(F.try_divide(F.col("retained") * F.lit(100.0), F.col("total_orgs")), 1))
     )
 

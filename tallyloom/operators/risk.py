@@ -147,15 +147,23 @@ def stress_impact(betas: DataFrame, shocks: list[float], beta: str = "beta", ann
     return out.withColumn("impact", F.col(beta) * F.col("shock") * F.col(annual_vol) / F.sqrt(F.lit(TRADING_DAYS)))
 
 
-def pair_correlations(returns: DataFrame, key: str = "ticker") -> DataFrame:
-    """Pearson correlation of every pair of series over their shared dates.
+def correlations(returns: DataFrame, names: list[str], key: str = "ticker") -> DataFrame:
+    """Pearson correlation of every pair of the named series over the dates all of them share.
 
-    Each date meets the others' values of the same date only, and both sides are one
-    row per series and date; sums are combined before the shuffle.
+    The named series become one vector per date; partial K x K sums are added up, so no
+    pair is ever emitted per date. The matrix is bounded by the list of names.
     """
-    a = returns.select("date", F.col(key).alias("a"), F.col("ret").alias("ra"))
-    b = returns.select("date", F.col(key).alias("b"), F.col("ret").alias("rb"))
-    return a.join(b, "date").filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n"))
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    if len(names) > 1_000:
+        raise ValueError("more than a thousand series in one matrix")
+    wide = returns.groupBy("date").pivot(key, names).agg(F.first("ret")).na.drop()
+    columns = [f"_x{i}" for i in range(len(names))]
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(wide.toDF("date", *columns)).select("v")
+    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+    pairs = sorted((min(x, y), max(x, y), float(matrix[i, j])) for i, x in enumerate(names) for j, y in enumerate(names) if i < j)
+    return returns.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
 
 
 def weighted_scores(scores: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0) -> DataFrame:

@@ -42,7 +42,7 @@ def dq_relationships(t: Tables) -> DataFrame:
     return quality.relationships(t.events, "user_id", dim, "c_custkey")
 
 
-@query("dq_freshness", "SELECT round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(max(ts))) / 3600.0, 4) AS age_hours, 'warn' AS level FROM events")
+@query("dq_freshness", "SELECT round((epoch(TIMESTAMP '2024-02-02 00:00:00') - epoch(date_trunc('second', max(ts)))) / 3600.0, 4) AS age_hours, 'warn' AS level FROM events")
 def dq_freshness(t: Tables) -> DataFrame:
     out = quality.freshness(t.events.select(F.date_trunc("second", "ts").alias("ts")), "ts", "2024-02-02 00:00:00")
     return out.select(F.round("age_hours", 4).alias("age_hours"), "level")

@@ -204,10 +204,11 @@ def win_last_n(t: Tables) -> DataFrame:
     return rounded(series.last_n(portfolios(t), keys=["portfolio"], order="date", n=10), 9, "portfolio", "date")
 
 
-@query("agg_corr_matrix", f"""WITH {RET_SQL} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 8) AS corr, count(*) AS n
+@query("agg_corr_matrix", f"""WITH {RET_SQL} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 8) AS corr
 FROM rt a JOIN rt b ON a.date = b.date AND a.ticker < b.ticker GROUP BY 1, 2""")
 def agg_corr_matrix(t: Tables) -> DataFrame:
-    return risk.pair_correlations(returns(t)).select("a", "b", F.round("corr", 8).alias("corr"), "n")
+    names = [r[0] for r in t.nation.select("n_name").limit(1_001).collect()]
+    return risk.correlations(returns(t), names).select("a", "b", F.round("corr", 8).alias("corr"))
 
 
 @query("pf_hist", f"""WITH {RET_SQL}, b AS (SELECT portfolio, min(ret) AS lo, max(ret) AS hi, count(*) AS total FROM pf GROUP BY 1)
