@@ -339,3 +339,28 @@ def st_reset(t: Tables) -> DataFrame:
     again = ev.clean_events(readers.landed_stream(t.spark, f"{root}/landed", 2), t.spark.read.parquet(f"{root}/items"), "60 days").clean
     jobs.drain({"clean": jobs.to_parquet(again, targets, name, "event_date")})
     return jobs.written(t.spark, targets, name).agg(F.count("*").alias("events"))
+
+
+def landed_stream(t: Tables, name: str):
+    """Lands the messages and copies them through a bounded stream; returns the run and its output."""
+    root = scratch(t.spark, name)
+    messages(t).repartitionByRange(4, "offset").write.parquet(f"{root}/landed")
+    targets = jobs.Targets(root)
+    run = {"copy": jobs.to_parquet(readers.landed_stream(t.spark, f"{root}/landed", 2), targets, root.rsplit("/", 1)[-1])}
+    jobs.drain(run)
+    return run, t.spark.read.schema(readers.BROKER_SCHEMA).parquet(targets.data(root.rsplit("/", 1)[-1]))
+
+
+@query("src_kafka_stream", f"WITH {BASE_SQL} SELECT CAST(user_id % 4 AS INTEGER) AS partition, count(*) AS messages, max(off) AS last_offset FROM msgs GROUP BY 1")
+def src_kafka_stream(t: Tables) -> DataFrame:
+    """An unbounded read with bounded micro-batches; landed files stand in for the broker."""
+    _, out = landed_stream(t, "stream-read")
+    return out.groupBy("partition").agg(F.count("*").alias("messages"), F.max("offset").alias("last_offset"))
+
+
+@query("st_drain_idle", f"WITH {BASE_SQL} SELECT false AS active, count(*) AS rows_in FROM msgs")
+def st_drain_idle(t: Tables) -> DataFrame:
+    """A drained query has read everything there was and has stopped by itself."""
+    run, _ = landed_stream(t, "stream-drain")
+    figures = jobs.progress(t.spark, run)
+    return figures.agg(F.sum("rows_in").alias("rows_in")).select(F.lit(run["copy"].isActive).alias("active"), "rows_in")

@@ -215,3 +215,15 @@ FROM (SELECT c_mktsegment, abs(c_acctbal) / 50000 AS p FROM customer) x GROUP BY
 def sig_stars(t: Tables) -> DataFrame:
     p = F.abs("c_acctbal") / 50_000
     return t.customer.groupBy("c_mktsegment", bands.significance_stars(p).alias("sig")).agg(F.count("*").alias("n"))
+
+
+@query("temp_c_to_f", f"WITH {WX_SQL} SELECT date, round(tmax * 9 / 5 + 32, 6) AS tmax_f FROM wx WHERE tmax IS NOT NULL")
+def temp_c_to_f(t: Tables) -> DataFrame:
+    wide = m.pivot_mean(weather_long(t), "date", ["TMAX"]).filter("TMAX is not null")
+    return wide.select("date", F.round(bands.celsius_to_fahrenheit("TMAX"), 6).alias("tmax_f"))
+
+
+@query("rain_day", f"WITH {WX_SQL} SELECT prcp > 0 AS rain_day, count(*) AS days FROM wx GROUP BY 1")
+def rain_day(t: Tables) -> DataFrame:
+    wide = m.pivot_mean(weather_long(t), "date", ["TMAX", "TMIN", "PRCP"])
+    return wide.groupBy(bands.rain_day("PRCP").alias("rain_day")).agg(F.count("*").alias("days"))
