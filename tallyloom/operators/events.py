@@ -75,9 +75,9 @@ def classify(parsed: DataFrame, event_types: tuple[str, ...] = EVENT_TYPES) -> D
     e, raw = F.col("e"), F.col("raw_value")
     blank = raw.isNull() | (F.trim(raw) == "")
     # A malformed payload parses to a struct of nulls, and so does an empty object. Only such
-    # rows are parsed again, as a plain map, to tell the two apart.
+    # rows are read again, for their keys, to tell the two apart.
     required = F.coalesce(e["event_id"], e["event_time"], e["visitor_id"], e["event_type"], e["item_id"])
-    hollow = F.when(required.isNull(), F.from_json(raw, "map<string,string>").isNull()).otherwise(F.lit(False))
+    hollow = F.when(required.isNull(), F.json_object_keys(raw).isNull()).otherwise(F.lit(False))
     rules: list[tuple[Column, str]] = [
         (blank, "empty_payload"),
         (e.isNull() | hollow, "unparseable_json"),
