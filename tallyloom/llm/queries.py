@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.plans.registry import query
 from tallyloom.sources.tables import Tables
@@ -17,3 +18,8 @@ def op2(t: Tables) -> DataFrame:
     return suffix_dedup(t.documents, span=200).select(
         "doc_id", "n_bytes", _N_REMOVED.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_automaton_dedup")
+def op10(t: Tables) -> DataFrame:
+    return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _N_REMOVED.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
