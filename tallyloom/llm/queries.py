@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.suffix_dedup import suffix_dedup
+from tallyloom.llm.token_counts import token_counts
+from tallyloom.llm.token_output import token_output
 from tallyloom.plans.registry import query
+from tallyloom.session import scratch
 from tallyloom.sources.tables import Tables
 
 _N_REMOVED = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.stop - r.start)
 
+#: Token ids of the vocabulary file below 49,408; 16 bits each.
+VOCABULARY = 49_408
+
+
+def word_vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_token_counts")
+def op1(t: Tables) -> DataFrame:
+    return token_counts(t.documents, tokenizer=word_vocabulary(), limit=2048)
+
 
 @query("op2_suffix_dedup")
 def op2(t: Tables) -> DataFrame:
@@ -20,6 +36,11 @@ def op2(t: Tables) -> DataFrame:
     )
 
 
+@query("op5_token_output")
+def op5(t: Tables) -> DataFrame:
+    return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
+
+
 @query("op10_automaton_dedup")
 def op10(t: Tables) -> DataFrame:
     return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _N_REMOVED.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
