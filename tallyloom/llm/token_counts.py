@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from tallyloom.llm.blocks import text_blocks
 
 #: Chunks and words whose counts a worker keeps; a full memory is dropped and filled anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def byte_symbols() -> list[str]:

@@ -17,7 +17,7 @@ from tallyloom.llm.bitpacking import bits_for, pack, unpack
 from tallyloom.llm.blocks import text_blocks
 
 #: Stretches of text whose ids a worker keeps; a full memory is dropped and filled anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 class ChunkIds(dict):
