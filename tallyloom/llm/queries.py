@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton_dedup import automaton_dedup
+from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.token_output import token_output
 from tallyloom.plans.registry import query
-from tallyloom.session import scratch
+from tallyloom.session import frozen, scratch
 from tallyloom.sources.tables import Tables
 
 _N_REMOVED = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.stop - r.start)
@@ -41,6 +42,36 @@ def op5(t: Tables) -> DataFrame:
     return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
 
 
+MIX_SQL = r"""
+with d as (
+  select doc_id, case when source is null then 'z' else 'a' || source end as src,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents
+), s as (
+  select src, sum(size)::bigint as source_size, ((row_number() over (order by src) - 1) % 3 + 1)::bigint as w from d group by src
+), lv as (
+  select *, 3 * source_size as cap,
+    ((sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / w, src rows between unbounded preceding and 1 preceding), 0))::double
+      / (sum(w) over (order by 3 * source_size / w, src rows between current row and unbounded following))::double) as lvl,
+    row_number() over (order by 3 * source_size / w, src) as pos from s
+), t as (
+  select src, source_size, least(cap::double, (select arg_min(lvl, pos) from lv where lvl <= cap / w) * w) as target from lv
+), r as (
+  select d.doc_id, d.size, t.source_size, t.target, t.target / t.source_size as rate,
+    ('0x' || substr(md5('mix' || d.src), 1, 8))::bigint::double / 4294967296.0::double as u,
+    row_number() over (partition by d.src order by length(bin(d.size)) * 64 + (d.size >> greatest(length(bin(d.size)) - 6, 0)::bigint), d.h, d.doc_id, d.size) as k
+  from d join t using (src)
+)
+select doc_id, size, source_size, target, (least(floor(u + rate * k) - floor(u + rate * (k - 1)), 3))::bigint * size as taken from r
+"""
+
+
+@query("op9_mix_sources", MIX_SQL)
+def op9(t: Tables) -> DataFrame:
+    sized = frozen(t.documents.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    mixed = mix_sources(sized, doc_id="doc_id", source="source", size=F.col("size"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op10_automaton_dedup")
 def op10(t: Tables) -> DataFrame:
     return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _N_REMOVED.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
