@@ -217,7 +217,7 @@ class Anchors:
         at = pick[valid]
         if len(valid) == 0:
             empty = np.zeros(0, np.int64)
-            self.lo = self.hi = self.row = empty
+            self.lo = self.hi = self.row = self.at = empty
             self.anchor = self.fragment = np.zeros(0, U64)
             return
         row = np.searchsorted(first, valid, side="right") - 1
@@ -226,7 +226,7 @@ class Anchors:
         lead = np.flatnonzero(new)
         tail = np.append(lead[1:], len(valid)) - 1
         self.lo, self.hi, self.row = valid[lead], valid[tail], row[lead]
-        picked = at[lead]
+        self.at = picked = at[lead]
         self.anchor = order[picked]
         whole = rolling.ranges(self.lo, self.hi + span)
         shape = (picked - self.lo).astype(U64) * U64(1 << 32) + (self.hi - self.lo).astype(U64)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton_dedup import automaton_dedup
+from tallyloom.llm.decontamination import contamination, words_covered
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
@@ -42,6 +43,43 @@ def op5(t: Tables) -> DataFrame:
     return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
 
 
+DECONTAMINATE_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), iw as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as p from i where len(w) > 0)
+), dw as (
+  select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from iw) where len(w) >= n)
+), hit as (
+  select doc_id, p, dw.n, item_id from dw join iw using (win, n)
+), cover as (
+  select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from (select distinct doc_id, p, n from hit)) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as items_sha256 from (select distinct doc_id, item_id from hit) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cover using (doc_id) left join named using (doc_id)
+"""
+
+
+@query("op8_decontaminate", DECONTAMINATE_SQL)
+def op8(t: Tables) -> DataFrame:
+    found = contamination(t.documents, t.benchmark, span=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        words_covered("hits").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 MIX_SQL = r"""
 with d as (
   select doc_id, case when source is null then 'z' else 'a' || source end as src,
