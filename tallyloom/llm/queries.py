@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.decontamination import contamination, words_covered
+from tallyloom.llm.jaccard import similarity_classes
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
@@ -38,6 +39,11 @@ def op2(t: Tables) -> DataFrame:
     )
 
 
+@query("op3_jaccard_join")
+def op3(t: Tables) -> DataFrame:
+    return similarity_classes(t.documents, words=5, percent=75)
+
+
 @query("op5_token_output")
 def op5(t: Tables) -> DataFrame:
     return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
