@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.decontamination import contamination, words_covered
 from tallyloom.llm.jaccard import similarity_classes
+from tallyloom.llm.language_model import context_tree_scores
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
@@ -44,6 +45,19 @@ def op3(t: Tables) -> DataFrame:
     return similarity_classes(t.documents, words=5, percent=75)
 
 
+def fold_of(name: str = "doc_id"):
+    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % 5
+
+
+@query("op4_context_tree")
+def op4(t: Tables) -> DataFrame:
+    scores = context_tree_scores(t.documents, train=fold_of() != 1)
+    return scores.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 @query("op5_token_output")
 def op5(t: Tables) -> DataFrame:
     return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
