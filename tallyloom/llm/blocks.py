@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 SPACES = [0x20, *range(0x09, 0x0E)]
 

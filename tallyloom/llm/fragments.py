@@ -27,7 +27,7 @@ from tallyloom.llm.blocks import SPACES, Anchors, Block, Rolling, Words, byte_ha
 SEPARATORS = separators(SPACES)
 
 #: More distinct fragments than this around one anchor are split by window instead of being compared in one task.
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 2048
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tallyloom.llm.suffixes import SuffixOrder, previous_factors
 from tallyloom.session import frozen
 
 #: Fragment bytes whose suffixes are sorted together.
-SORT_BYTES = 400_000
+SORT_BYTES = 300_000
 
 
 def _ragged(sizes: np.ndarray) -> np.ndarray:
