@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton_dedup import automaton_dedup
@@ -11,6 +11,8 @@ from tallyloom.llm.decontamination import contamination, words_covered
 from tallyloom.llm.jaccard import similarity_classes
 from tallyloom.llm.language_model import context_tree_scores
 from tallyloom.llm.mixing import mix_sources, word_count
+from tallyloom.llm.quality import learn_quality, quality_score
+from tallyloom.llm.quantisation import vector_classes
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.token_output import token_output
@@ -45,9 +47,10 @@ def op3(t: Tables) -> DataFrame:
     return similarity_classes(t.documents, words=5, percent=75)
 
 
-def fold_of(name: str = "doc_id"):
+def fold_of(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % 5
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 5
 
 
 @query("op4_context_tree")
@@ -63,6 +66,18 @@ def op5(t: Tables) -> DataFrame:
     return token_output(t.documents, scratch(t.spark, "token-blocks"), tokenizer=word_vocabulary(), vocabulary=VOCABULARY, end_id=1)
 
 
+@query("op6_vector_classes")
+def op6(t: Tables) -> DataFrame:
+    return vector_classes(t.embeddings, cosine=0.93)
+
+
+@query("op7_quality")
+def op7(t: Tables) -> DataFrame:
+    model = learn_quality(t.documents, t.labels, learn=lambda c: fold_of(c) != 0)
+    scored = t.documents.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), quality_score(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 DECONTAMINATE_SQL = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
