@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.blocks import U64
 from tallyloom.llm.components import components
+from tallyloom.llm.fragments import grouped
 from tallyloom.session import frozen
 
 #: Vectors, at most, on which the rotation is learnt.
@@ -18,6 +19,8 @@ CHUNKS = 5
 ROUNDS = 50
 #: Rows of one bucket or cluster that a task compares at once; larger ones are split into pairs of blocks.
 BLOCK_ROWS = 2_000
+#: Rows handed to one call.
+TASK_ROWS = 20_000
 
 
 class Rotation:
@@ -72,54 +75,59 @@ def paired_blocks(rows: DataFrame, keys: list[str], order: str, limit: int) -> D
     )
 
 
-def _near_codes(limit: int):
-    """Per row of a bucket its smallest and its nearest partner within ``limit`` differing bits."""
-
-    def work(table: pa.Table) -> pa.Table:
-        node, code = table.column("node").to_numpy(), table.column("code").to_numpy().view(U64)
-        side = table.column("_b").to_numpy()
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        out_a, out_b = [], []
-        order = np.argsort(node)
-        node, code, side = node[order], code[order], side[order]
-        for start in range(0, len(node), 512):
-            part = slice(start, start + 512)
-            far = np.bitwise_count(code[part, None] ^ code[None, :]).astype(np.int64)
-            met = (node[part, None] != node[None, :]) & (far <= limit)
-            if i != j:
-                met &= side[part, None] != side[None, :]
-            some = np.flatnonzero(met.any(axis=1))
-            if len(some) == 0:
-                continue
-            smallest = met[some].argmax(axis=1)
-            nearest = np.where(met[some], far[some], 99).argmin(axis=1)
-            for other in (smallest, nearest):
-                out_a.append(node[part][some]), out_b.append(node[other])
-        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (out_a, out_b))
-        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-    return work
-
-
-def _count_links(least: float):
-    """Per vector of a cluster block pair, how many vectors on the other side it links with."""
-
-    def work(table: pa.Table) -> pa.Table:
-        x = _vectors(table.column("embedding").combine_chunks())
-        node, copies, side = (table.column(c).to_numpy() for c in ("node", "copies", "_b"))
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        total = np.zeros(len(node), np.int64)
-        for start in range(0, len(node), 512):
-            part = slice(start, start + 512)
-            hit = x[part] @ x.T >= least
-            hit &= node[part, None] != node[None, :]
-            if i != j:
-                hit &= side[part, None] != side[None, :]
-            total[part] = hit @ copies
-        return pa.table({"node": pa.array(node), "n": pa.array(total)})
-
-    return work
+def _task_rows(dealt: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One 64-bit key per group and pair of blocks; ``across`` where the two blocks differ."""
+    return dealt.select(F.xxhash64(*keys, "_i", "_j").alias("key"), *columns, "_b", (F.col("_i") != F.col("_j")).alias("across"))
+
+
+def _near_codes(columns: dict, limit: int) -> dict:
+    """Per row of a bucket its smallest and its nearest partner within ``limit`` differing bits.
+
+    Rows are sorted by bucket and node. Row ``i`` is compared with row ``i + step`` for growing
+    steps, all buckets at once, until no bucket is that long.
+    """
+    key, node = columns["key"].to_numpy(), columns["node"].to_numpy()
+    code, side = columns["code"].to_numpy().view(U64), columns["_b"].to_numpy()
+    across = columns["across"].to_numpy(zero_copy_only=False)
+    n = len(key)
+    smallest, nearest, best = np.full(n, n), np.full(n, n), np.full(n, 255, np.uint8)
+    left, step = np.arange(n), 0
+    while True:
+        step += 1
+        left = left[left + step < n]
+        left = left[key[left] == key[left + step]]
+        if len(left) == 0:
+            break
+        far = np.bitwise_count(code[left] ^ code[left + step])
+        met = (far <= limit) & (node[left] != node[left + step]) & (~across[left] | (side[left] != side[left + step]))
+        i, far = left[met], far[met]
+        for here, there in ((i, i + step), (i + step, i)):
+            smallest[here] = np.minimum(smallest[here], there)
+            closer = far < best[here]
+            best[here[closer]], nearest[here[closer]] = far[closer], there[closer]
+    row = np.flatnonzero(smallest < n)
+    a, b = np.concatenate([row, row]), np.concatenate([smallest[row], nearest[row]])
+    both = np.unique(np.column_stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=0)
+    return {"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}
+
+
+def _count_links(columns: dict, least: float) -> dict:
+    """Per vector of a cluster block pair, the copies on the other side it links with."""
+    x = _vectors(columns["embedding"])
+    key, node, copies, side = (columns[c].to_numpy() for c in ("key", "node", "copies", "_b"))
+    across = columns["across"].to_numpy(zero_copy_only=False)
+    total = np.zeros(len(node), np.int64)
+    border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for lo, hi in zip(border[:-1].tolist(), border[1:].tolist()):
+        group = slice(lo, hi)
+        for start in range(lo, hi, 512):
+            part = slice(start, min(start + 512, hi))
+            hit = x[part] @ x[group].T >= least
+            hit &= node[part, None] != node[None, group]
+            if across[lo]:
+                hit &= side[part, None] != side[None, group]
+            total[part] = hit @ copies[group]
+    return {"node": columns["node"], "n": pa.array(total)}
 
 
 def vector_classes(
@@ -182,19 +190,17 @@ def vector_classes(
     dealt = paired_blocks(keyed, bucket, "node", block_rows)
     # Buckets of one row have no partner.
     crowd = keyed.groupBy(*bucket).agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    met = dealt.join(crowd, bucket, "left_semi").groupBy(*bucket, "_i", "_j").applyInArrow(_near_codes(BITS * 5 // 16), "a bigint, b bigint").distinct()
+    limit = BITS * 5 // 16
+    rows_met = _task_rows(dealt.join(crowd, bucket, "left_semi"), bucket, ["node", "code"])
+    met = grouped(rows_met, "key", ["node"], lambda c: _near_codes(c, limit), "a bigint, b bigint", TASK_ROWS).distinct()
     left = classes.select(F.col("node").alias("a"), F.col("embedding").alias("x"))
     right = classes.select(F.col("node").alias("b"), F.col("embedding").alias("y"))
     links = met.join(left, "a").join(right, "b").filter(_cosine("x", "y") >= cosine).select("a", "b")
     clusters = components(links, "vector-links")
     members = classes.join(clusters, "node").select("node", "root", "embedding", "copies")
-    counted = (
-        paired_blocks(members, ["root"], "node", block_rows)
-        .groupBy("root", "_i", "_j")
-        .applyInArrow(_count_links(cosine), "node bigint, n bigint")
-        .groupBy("node")
-        .agg(F.sum("n").alias("others"))
-    )
+    blocks = _task_rows(paired_blocks(members, ["root"], "node", block_rows), ["root"], ["node", "embedding", "copies"])
+    links_of = grouped(blocks, "key", ["node"], lambda c: _count_links(c, cosine), "node bigint, n bigint", TASK_ROWS)
+    counted = links_of.groupBy("node").agg(F.sum("n").alias("others"))
     named = classes.select("node", "_label", "embedding", "copies", "smallest").join(clusters, "node", "left").join(counted, "node", "left")
     together = named.filter("root is not null").groupBy("root").agg(F.min("smallest").alias("together"))
     known = named.join(together, "root", "left").select(
