@@ -115,7 +115,7 @@ def contamination(
     span: int = 10,
     k: int = 5,
 ) -> DataFrame:
-    """``doc_id, n_words, hits, items`` per row of ``docs``.
+    """``doc_id, text_hash, n_words, hits, items`` per row of ``docs``.
 
     ``hits`` are word ranges ``start, stop`` (they may overlap) that repeat ``span`` consecutive
     words of an item, or all words of an item with fewer; ``items`` the sorted distinct ids, as
@@ -154,6 +154,7 @@ def contamination(
     joined = scanned.select("_id", "_key", "n_words").join(per_doc, F.expr("_id <=> _rid and _key = _rkey"), "left")
     return joined.select(
         F.col("_id").alias(doc_id),
+        F.col("_key").alias("text_hash"),
         "n_words",
         F.coalesce("hits", F.array().cast("array<struct<start: int, stop: int>>")).alias("hits"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

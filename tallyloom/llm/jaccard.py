@@ -197,10 +197,11 @@ def _probe(percent: int):
 
 
 def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row.
+    """``doc_id, text_hash, n_shingles, component_id, group`` per row.
 
     Two rows link when ``100 * intersection >= percent * union`` of their shingle sets;
-    ``component_id`` is the smallest id reachable by links, the row's own included. Exact:
+    ``component_id`` is the smallest id reachable by links, the row's own included; ``group`` a
+    number all rows of a component share, null for texts without words. Exact:
 
     1. The global shingle order (by hash) is cut into fragments. Overlaps inside the first are
        bounded by how many of a text's shingles repeat at all; what the other fragments can add
@@ -244,11 +245,15 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     names = described.filter("n > 0").groupBy(*classes).agg(F.min("_id").alias("smallest"))
     rooted = names.join(reps.select(*classes, "_ref").join(linked, "_ref"), classes, "left")
     united = rooted.filter("root is not null").groupBy("root").agg(F.min("smallest").alias("together"))
-    component = rooted.join(united, "root", "left").select(*classes, F.coalesce("together", "smallest").alias("component_id"))
+    component = rooted.join(united, "root", "left").select(
+        *classes, F.coalesce("together", "smallest").alias("component_id"), F.coalesce("root", F.xxhash64(*classes)).alias("group")
+    )
     return described.join(component, classes, "left").select(
         F.col("_id").alias(doc_id),
+        F.col("_key").alias("text_hash"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
+        "group",
     )
 
 

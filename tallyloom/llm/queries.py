@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.decontamination import contamination, words_covered
 from tallyloom.llm.jaccard import similarity_classes
@@ -13,6 +13,7 @@ from tallyloom.llm.language_model import context_tree_scores
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.quality import learn_quality, quality_score
 from tallyloom.llm.quantisation import vector_classes
+from tallyloom.llm.settings import GOOD, VOCABULARY, fold_of, word_vocabulary
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.token_output import token_output
@@ -22,14 +23,6 @@ from tallyloom.sources.tables import Tables
 
 _N_REMOVED = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.stop - r.start)
 
-#: Token ids of the vocabulary file below 49,408; 16 bits each.
-VOCABULARY = 49_408
-
-
-def word_vocabulary() -> str:
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op1_token_counts")
 def op1(t: Tables) -> DataFrame:
     return token_counts(t.documents, tokenizer=word_vocabulary(), limit=2048)
@@ -44,13 +37,7 @@ def op2(t: Tables) -> DataFrame:
 
 @query("op3_jaccard_join")
 def op3(t: Tables) -> DataFrame:
-    return similarity_classes(t.documents, words=5, percent=75)
-
-
-def fold_of(doc_id: str | Column = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
-    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 5
+    return similarity_classes(t.documents, words=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op4_context_tree")
@@ -75,7 +62,7 @@ def op6(t: Tables) -> DataFrame:
 def op7(t: Tables) -> DataFrame:
     model = learn_quality(t.documents, t.labels, learn=lambda c: fold_of(c) != 0)
     scored = t.documents.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), quality_score(model, "text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
 DECONTAMINATE_SQL = r"""
@@ -148,3 +135,8 @@ def op9(t: Tables) -> DataFrame:
 @query("op10_automaton_dedup")
 def op10(t: Tables) -> DataFrame:
     return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _N_REMOVED.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(t: Tables) -> DataFrame:
+    return corpus_pipeline.run(t.spark, t.root)
