@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -21,7 +21,10 @@ from tallyloom.plans.registry import query
 from tallyloom.session import frozen, scratch
 from tallyloom.sources.tables import Tables
 
-_N_REMOVED = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.stop - r.start)
+
+def _n_removed() -> Column:
+    return F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r.stop - r.start).alias("n_removed")
+
 
 @query("op1_token_counts")
 def op1(t: Tables) -> DataFrame:
@@ -31,7 +34,7 @@ def op1(t: Tables) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(t: Tables) -> DataFrame:
     return suffix_dedup(t.documents, span=200).select(
-        "doc_id", "n_bytes", _N_REMOVED.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", _n_removed(), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
@@ -134,7 +137,7 @@ def op9(t: Tables) -> DataFrame:
 
 @query("op10_automaton_dedup")
 def op10(t: Tables) -> DataFrame:
-    return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _N_REMOVED.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _n_removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
