@@ -156,8 +156,9 @@ def dedupe(df: DataFrame, keys: list[str], order_cols: list[str] | None = None,
 def split_late(typed: DataFrame, watermark: str) -> tuple[DataFrame, DataFrame]:
     """Rows delivered within ``watermark`` of their event time, and the rest.
 
-    A watermark drops a late row even when its id is new. Sending such rows to
-    their own sink before the stateful step loses none.
+    A watermark drops a late row even when its id is new, so rows late by broker time go to
+    their own sink before the stateful step. Rows of a lagging partition are on time by this
+    measure and may still be dropped; ``jobs.recover_dropped`` finds those after the drain.
     """
     late = F.col("kafka_timestamp") > F.col("event_time") + F.expr(f"interval {watermark}")
     return typed.filter(~F.coalesce(late, F.lit(False))), typed.filter(late)

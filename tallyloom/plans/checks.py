@@ -257,24 +257,58 @@ def sink_csv_outputs(t: Tables) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------
 
 
-def stream_run(t: Tables, watermark: str = "60 days") -> tuple[jobs.Targets, dict]:
-    """Lands the messages in offset order, cleans them as a stream and waits for the end."""
+LAGGING = 3
+LANDINGS = 3
+
+
+def land(t: Tables, root: str) -> None:
+    """Lands three partitions in offset order, a third at a time, and the fourth after all of them."""
+    rows = messages(t)
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    third = F.least(F.floor(F.col("offset") * LANDINGS / (last + 1)), F.lit(LANDINGS - 1))
+    dealt = rows.withColumn("_landing", F.when(F.col("partition") == LAGGING, LANDINGS).otherwise(third))
+    for landing in range(LANDINGS + 1):
+        part = dealt.filter(F.col("_landing") == landing).drop("_landing")
+        part.repartition(FILES_PER_LANDING).sortWithinPartitions("offset").write.mode("append").parquet(f"{root}/landed")
+
+
+FILES_PER_LANDING = 2
+
+
+def stream_run(t: Tables) -> tuple[jobs.Targets, dict]:
+    """Lands the messages with one lagging partition, cleans them as a stream with the default watermark, recovers what it dropped."""
     root = scratch(t.spark, "stream")
-    messages(t).repartitionByRange(4, "offset").sortWithinPartitions("offset").write.parquet(f"{root}/landed")
+    land(t, root)
     targets = jobs.Targets(root)
-    stream = readers.landed_stream(t.spark, f"{root}/landed", files_per_trigger=2)
+    stream = readers.landed_stream(t.spark, f"{root}/landed", files_per_trigger=FILES_PER_LANDING)
     suffix = "_" + root.rsplit("-", 1)[-1]
     items_path = f"{root}/items"
     dim_items(t).write.parquet(items_path)
-    running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, watermark, suffix)
+    running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, suffix=suffix)
     jobs.drain(running)
+    jobs.recover_dropped(readers.landed_batch(t.spark, f"{root}/landed"), targets, suffix)
     return targets, running | {"_suffix": suffix}
 
 
+def streamed(t: Tables, targets: jobs.Targets, suffix: str) -> DataFrame:
+    """The clean sink together with the late rows, enriched alike."""
+    done = jobs.written(t.spark, targets, f"clean{suffix}")
+    late = ev.enrich(jobs.late_rows(t.spark, targets, suffix), t.spark.read.parquet(f"{targets.root}/items"))
+    return done.unionByName(late.withColumn("event_date", F.to_date("event_time")).select(*done.columns))
+
+
 CLEAN_COUNT = f"WITH {CLEAN_SQL} SELECT event_type, count(*) AS events, count(CASE WHEN has_item_metadata THEN 1 END) AS with_metadata FROM clean GROUP BY 1"
 
+#: Rows of the lagging partition at or behind the watermark that holds when it lands. Late rows are judged by the
+#: watermark of the batch before: three days before the latest event of all landings but the last on-time one.
+LATE_SQL = f"""{CLEAN_SQL}, seen AS (
+  SELECT max(event_time_ms) AS latest FROM clean
+  WHERE kafka_partition <> {LAGGING} AND kafka_offset * {LANDINGS} // (SELECT max(event_id) + 1 FROM events) < {LANDINGS - 1}),
+tagged AS (
+  SELECT c.*, kafka_partition = {LAGGING} AND event_time_ms <= (SELECT latest FROM seen) - 3 * 86400000 AS is_late FROM clean c)"""
+
 
-@query("sink_stream_parquet", CLEAN_COUNT)
+@query("sink_stream_parquet", CLEAN_COUNT.replace(CLEAN_SQL, LATE_SQL).replace("FROM clean GROUP", "FROM tagged WHERE NOT is_late GROUP"))
 def sink_stream_parquet(t: Tables) -> DataFrame:
     targets, run = stream_run(t)
     out = jobs.written(t.spark, targets, f"clean{run['_suffix']}")
@@ -289,14 +323,13 @@ def sink_stream_quarantine(t: Tables) -> DataFrame:
 
 @query("st_batch_parity", f"""WITH {CLEAN_SQL} SELECT count(*) AS batch_rows, count(*) AS stream_rows, 0 AS batch_duplicates, 0 AS stream_duplicates, 0 AS batch_only, 0 AS stream_only, 0 AS differing_cells, 'PASS' AS verdict FROM clean""")
 def st_batch_parity(t: Tables) -> DataFrame:
-    """The streamed clean table against the batch job on the same messages."""
+    """Clean and late rows of the stream against the batch job on the same messages."""
     targets, run = stream_run(t)
-    streamed = jobs.written(t.spark, targets, f"clean{run['_suffix']}")
     columns = ["event_time_ms", "visitor_id", "event_type", "item_id", "transaction_id", "category_id", "root_category_id", "has_item_metadata"]
-    return parity.parity(clean(t), streamed, "event_id", columns)
+    return parity.parity(clean(t), streamed(t, targets, run["_suffix"]), "event_id", columns)
 
 
-@query("st_watermark_dedupe", f"WITH {BASE_SQL} SELECT count(*) AS rows, count(DISTINCT event_id) AS ids FROM (SELECT DISTINCT event_id FROM msgs WHERE reason IS NULL) x")
+@query("st_watermark_dedupe", f"WITH {LATE_SQL} SELECT count(*) AS rows, count(DISTINCT event_id) AS ids FROM tagged WHERE NOT is_late")
 def st_watermark_dedupe(t: Tables) -> DataFrame:
     targets, run = stream_run(t)
     out = jobs.written(t.spark, targets, f"clean{run['_suffix']}")
@@ -306,37 +339,45 @@ def st_watermark_dedupe(t: Tables) -> DataFrame:
 @query("st_static_enrich", f"""WITH {CLEAN_SQL} SELECT root_category_id, count(*) AS events FROM clean GROUP BY 1""")
 def st_static_enrich(t: Tables) -> DataFrame:
     targets, run = stream_run(t)
-    out = jobs.written(t.spark, targets, f"clean{run['_suffix']}")
-    return out.groupBy("root_category_id").agg(F.count("*").alias("events"))
+    return streamed(t, targets, run["_suffix"]).groupBy("root_category_id").agg(F.count("*").alias("events"))
 
 
-@query("st_two_sinks", f"""WITH {CLEAN_SQL} SELECT 'clean' AS sink, count(*) AS rows FROM clean
-UNION ALL SELECT 'quarantine', count(*) FROM msgs WHERE reason IS NOT NULL UNION ALL SELECT 'late', 0""")
+@query("st_two_sinks", f"""WITH {LATE_SQL} SELECT 'clean' AS sink, count(*) AS rows FROM tagged WHERE NOT is_late
+UNION ALL SELECT 'quarantine', count(*) FROM msgs WHERE reason IS NOT NULL UNION ALL SELECT 'late', count(*) FROM tagged WHERE is_late""")
 def st_two_sinks(t: Tables) -> DataFrame:
     targets, run = stream_run(t)
-    counts = [
-        jobs.written(t.spark, targets, f"{name}{run['_suffix']}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("sink"), "rows")
-        for name in ("clean", "quarantine", "late")
-    ]
+    suffix = run["_suffix"]
+    sinks = {name: jobs.written(t.spark, targets, f"{name}{suffix}") for name in ("clean", "quarantine")}
+    sinks["late"] = jobs.late_rows(t.spark, targets, suffix)
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("sink"), "rows") for name, df in sinks.items()]
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
-@query("st_late_metrics")
+@query("st_late_metrics", f"""WITH {LATE_SQL}, sums AS (SELECT (SELECT count(*) FROM msgs) AS rows_in, (SELECT count(*) FROM tagged WHERE NOT is_late) AS kept,
+  (SELECT count(*) FROM msgs WHERE reason IS NOT NULL) AS bad, (SELECT count(*) FROM tagged WHERE is_late) AS lost)
+SELECT 'clean' AS query, rows_in, kept AS rows_kept, lost AS rows_recovered FROM sums UNION ALL SELECT 'quarantine', rows_in, bad, 0 FROM sums
+UNION ALL SELECT 'late', rows_in, 0, 0 FROM sums""")
 def st_late_metrics(t: Tables) -> DataFrame:
-    """Rows in and rows dropped behind a one-day watermark per query; late rows went to their own sink, so none drop."""
-    _, run = stream_run(t, watermark="1 day")
-    run.pop("_suffix")
-    return jobs.late_summary(jobs.progress(t.spark, run))
+    """Rows in and kept per query, and how many dropped behind the watermark had to be recovered."""
+    targets, run = stream_run(t)
+    suffix = run.pop("_suffix")
+    figures = jobs.late_summary(jobs.progress(t.spark, run))
+    kept = [
+        jobs.written(t.spark, targets, f"{name}{suffix}").agg(F.count("*").alias("rows_kept")).select(F.lit(name).alias("query"), "rows_kept") for name in run
+    ]
+    found = jobs.written(t.spark, targets, f"recovered{suffix}").agg(F.count("*").alias("n")).select(F.lit("clean").alias("query"), "n")
+    joined = figures.join(kept[0].unionAll(kept[1]).unionAll(kept[2]), "query").join(found, "query", "left")
+    return joined.select("query", "rows_in", "rows_kept", F.coalesce("n", F.lit(0)).alias("rows_recovered"))
 
 
-@query("st_reset", f"WITH {CLEAN_SQL} SELECT count(*) AS events FROM clean")
+@query("st_reset", f"WITH {LATE_SQL} SELECT count(*) AS events FROM tagged WHERE NOT is_late")
 def st_reset(t: Tables) -> DataFrame:
     """Resets a finished clean query and drains it again from the start: nothing is doubled."""
     targets, run = stream_run(t)
     name = f"clean{run['_suffix']}"
     jobs.reset(t.spark, targets, [name])
     root = targets.root
-    again = ev.clean_events(readers.landed_stream(t.spark, f"{root}/landed", 2), t.spark.read.parquet(f"{root}/items"), "60 days").clean
+    again = ev.clean_events(readers.landed_stream(t.spark, f"{root}/landed", FILES_PER_LANDING), t.spark.read.parquet(f"{root}/items")).clean
     jobs.drain({"clean": jobs.to_parquet(again, targets, name, "event_date")})
     return jobs.written(t.spark, targets, name).agg(F.count("*").alias("events"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyloom.operators.events import clean_events
+from tallyloom.operators.events import cast_valid, classify, clean_events, parse, split
+from tallyloom.operators.ordered import first_by
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,28 @@ def drain(queries: dict[str, StreamingQuery]) -> None:
         q.awaitTermination()
 
 
+def recover_dropped(messages: DataFrame, targets: Targets, suffix: str = "") -> None:
+    """Writes to the ``recovered`` folder every valid row whose id neither the clean nor the late sink holds.
+
+    A watermark follows the largest event time seen so far, whatever the partition. Rows of a
+    partition that lags behind by more than the watermark are dropped by the stateful step even if
+    their id is new and the broker stored them on time. ``messages`` are the same landed messages
+    as a batch, read after the drain. Rerunning replaces the folder, so nothing doubles.
+    """
+    spark = messages.sparkSession
+    valid, _ = split(classify(parse(messages)))
+    kept = [written(spark, targets, f"{name}{suffix}").select("event_id") for name in ("clean", "late")]
+    lost = cast_valid(valid).join(kept[0].unionByName(kept[1]), "event_id", "left_anti")
+    once = first_by(lost, ["event_id"], [F.col("kafka_partition"), F.col("kafka_offset")])
+    once.write.mode("overwrite").parquet(targets.data(f"recovered{suffix}"))
+
+
+def late_rows(spark: SparkSession, targets: Targets, suffix: str = "") -> DataFrame:
+    """Rows that came too late for the clean sink: late by broker time, or recovered."""
+    late, recovered = (written(spark, targets, f"{name}{suffix}") for name in ("late", "recovered"))
+    return late.unionByName(recovered.select(*late.columns))
+
+
 def progress(spark: SparkSession, queries: dict[str, StreamingQuery]) -> DataFrame:
     """One row per query and micro-batch: rows in, rate, rows dropped behind the watermark."""
     rows = []
