@@ -101,20 +101,16 @@ def automaton_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     wanted = (
         firsts.filter("mixed").select("rep.*", "anchor", "fragment").withColumn("upto", F.col("hi") + span).drop("hi").join(sizes, "anchor")
     )
-    wanted = frozen(wanted, "distinct")
-    carried = ["anchor", "fragment"]
-    cold = fr.cut(source, wanted.filter(F.col("around") <= group_limit), "words", carried)
+    pieces = frozen(fr.cut(source, wanted, "words", ["anchor", "fragment", "around"]), "pieces")
+    cold = pieces.filter(F.col("around") <= group_limit)
     spans = fr.grouped(
         cold, "anchor", ["_id", "_key", "lo"], lambda c: _earlier_spans(c, span), "anchor bigint, fragment bigint, start int, stop int", SHARD_BYTES
     )
-    crowded = wanted.filter(F.col("around") > group_limit)
+    crowded = pieces.filter(F.col("around") > group_limit)
     if not crowded.isEmpty():
         # Too many different surroundings for one automaton: windows are compared one by one, combined before the shuffle.
         windows = frozen(
-            fr.cut(source, crowded, "words", carried).mapInArrow(
-                _window_rows(span), f"_id {kind}, anchor bigint, fragment bigint, start int, window bigint"
-            ),
-            "windows",
+            crowded.mapInArrow(_window_rows(span), f"_id {kind}, anchor bigint, fragment bigint, start int, window bigint"), "windows"
         )
         seen = windows.groupBy("window").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
         hits = windows.join(seen, "window").filter("_id > _first")

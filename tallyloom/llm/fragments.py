@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.blocks import SPACES, Anchors, Block, Rolling, Words, byte_hash, separators, text_blocks
+from tallyloom.session import frozen
 
 SEPARATORS = separators(SPACES)
 
@@ -72,12 +73,16 @@ def anchors(source: DataFrame, unit: str, span: int, k: int) -> DataFrame:
 
 
 def repeated(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs again, with ``mixed``: does it stand in different fragments?"""
-    seen = (
+    """Runs whose anchor occurs again, with ``mixed``: does it stand in different fragments?
+
+    The counts are written first: a join of two plain shuffles is one whose hot anchors get split.
+    """
+    seen = frozen(
         runs.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("fragment").alias("a"), F.max("fragment").alias("b"))
         .filter("n > 1")
-        .select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+        .select("anchor", (F.col("a") != F.col("b")).alias("mixed")),
+        "seen",
     )
     return runs.join(seen, "anchor")
 
@@ -127,7 +132,7 @@ def on_document() -> Column:
 
 
 def grouped(rows: DataFrame, key: str, order: list[str], work: Callable[[dict], dict], schema: str, size: int) -> DataFrame:
-    """Feeds ``work`` with column lists that hold whole groups of ``key``, about ``size`` payload bytes at a time.
+    """Feeds ``work`` with columns that hold whole groups of ``key``, about ``size`` bytes of column ``bytes``, or rows, at a time.
 
     Unlike one call per group, many small groups share one call. Groups are bounded by the caller.
     """
@@ -146,7 +151,8 @@ def grouped(rows: DataFrame, key: str, order: list[str], work: Callable[[dict],
         for batch in batches:
             at = 0
             keys = batch.column(key).to_numpy(zero_copy_only=False)
-            sizes = np.cumsum(np.diff(text_offsets(batch.column("bytes"))))
+            weighed = "bytes" in batch.schema.names
+            sizes = np.cumsum(np.diff(text_offsets(batch.column("bytes")))) if weighed else np.arange(1, batch.num_rows + 1)
             borders = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             if held and len(keys) and keys[0] != held[-1].column(key)[-1].as_py():
                 borders = np.concatenate([[0], borders])
