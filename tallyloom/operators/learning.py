@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -14,24 +16,21 @@ from tallyloom.operators.ordered import range_bucket, running, value_at_rank
 from tallyloom.operators.series import forecast_errors
 from tallyloom.session import frozen
 
+#: Rows of one range that a task sorts, about.
+BUCKET_ROWS = 1_000_000
+
 
 def one_hot(categorical: list[str]) -> list:
     """Stages that turn labels into dummies, the alphabetically first label dropped."""
     return [
-        StringIndexer(
-            inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], stringOrderType="alphabetDesc", handleInvalid="keep"
-        ),
+        # Without a slot for unknown labels, the one dropped is the alphabetically first; rare and unseen labels are lumped before.
+        StringIndexer(inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], stringOrderType="alphabetDesc"),
         OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_v" for c in categorical]),
     ]
 
 
-def dummies(df: DataFrame, column: str, levels: list[str] | None = None) -> DataFrame:
-    """0/1 columns for every level but the first in order."""
-    if levels is None:
-        found = df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(1001)
-        levels = [r[0] for r in found.collect()]
-        if len(levels) > 1000:
-            raise ValueError(f"{column} has over 1000 levels; lump it first")
+def dummies(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """0/1 columns for every level but the first of ``levels``."""
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("int") for v in levels[1:]})
 
 
@@ -122,7 +121,8 @@ def _ranked(scored: DataFrame, label: str, score: str, n_buckets: int) -> DataFr
     """
     # Checkpointed: a model score recomputed in another pass may differ in its last bits.
     cells = frozen(_by_score(scored, label, score).withColumn("_o", -F.col("score")))
-    bucketed = cells.withColumn("_b", range_bucket(cells, "_o", n_buckets))
+    buckets = max(n_buckets, math.ceil(cells.count() / BUCKET_ROWS))
+    bucketed = cells.withColumn("_b", range_bucket(cells, "_o", buckets, min(0.005, 0.25 / buckets)))
     keyed = bucketed.withColumn("_g", F.lit(0))
     return running(keyed, keys=["_g"], bucket="_b", order=["_o"], aggs={"tp": ("sum", "pos"), "fp": ("sum", "neg")}).drop("_g", "_b")
 

@@ -152,6 +152,7 @@ def value_at_rank(
     def pick(at: Column) -> Column:
         return F.max(F.when((F.col("_end") - F.col("_m") <= at) & (at < F.col("_end")), F.col("_v")))
 
+    missed = F.raise_error(F.lit("a rank lies outside the sketched bracket"))
     return (
         ranked.groupBy(*keys)
         .agg(
@@ -162,7 +163,8 @@ def value_at_rank(
         )
         .select(
             *keys,
-            F.when(F.col("_w") == 0, F.col("_lo"))
+            F.when((F.col("_n") > 0) & F.col("_w").isNotNull() & (F.col("_lo").isNull() | F.col("_hi").isNull()), missed)
+            .when(F.col("_w") == 0, F.col("_lo"))
             .otherwise(F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo")))
             .alias(out),
             F.col("_n").alias(f"{out}_n"),

@@ -142,7 +142,7 @@ def agg_topn_lump(t: Tables) -> DataFrame:
 
 @query("ml_onehot_drop_first", """SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P" FROM orders""")
 def ml_onehot_drop_first(t: Tables) -> DataFrame:
-    return learning.dummies(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus").drop("o_orderstatus")
+    return learning.dummies(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus")
 
 
 SPLIT_SQL = f"""{LOAN_SQL}, hs AS (SELECT loan_id, "default", CAST('0x' || substr(md5(loan_id || ':42'), 1, 15) AS BIGINT) AS h FROM ln),
@@ -155,17 +155,38 @@ def ml_stratified_split(t: Tables) -> DataFrame:
 
 
 # Term and verification follow from the order status, which also decides the outcome here, so they stay out.
-NUMERIC = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_util", "grade_num", "credit_hist_years", "income_to_loan"]
+NUMERIC = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_util", "grade_num", "emp_length", "credit_hist_years", "income_to_loan"]
+CATEGORICAL = ["home_ownership", "purpose"]
 
 
 def training(t: Tables) -> tuple[DataFrame, DataFrame]:
-    table = loans.lump(prepared(t), "home_ownership", 4).na.fill(0.0)
-    split = learning.stratified_split(table, "default", "loan_id")
-    # Fitting passes over the rows many times; the written copy is read instead of the joins.
-    split = frozen(split.select("loan_id", "default", "is_test", "home_ownership", *NUMERIC))
+    """Imputed and lumped loans, split by outcome class: the training rows, and all rows."""
+    # Every fill value and split point passes over the rows; the written copies are read instead of the joins.
+    typed = frozen(prepared(t).select("loan_id", "default", *[F.col(c).cast("double").alias(c) for c in NUMERIC], *CATEGORICAL))
+    table = loans.lump(loans.lump(loans.impute(typed, NUMERIC, CATEGORICAL), "home_ownership", 4), "purpose", 8)
+    split = frozen(learning.stratified_split(table, "default", "loan_id"))
     return split.filter("not is_test"), split
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted(t: Tables, kind: str):
+    """``(model, all rows)`` of one scale folder; a session fits each model once."""
+    key = (t.spark.sparkContext.applicationId, t.root, kind)
+    if key not in _FITTED:
+        train, table = training(t)
+        fit = {"logistic": learning.fit_logistic, "boosted": learning.fit_boosted}[kind]
+        _FITTED[key] = (fit(train, "default", NUMERIC, CATEGORICAL), table)
+    return _FITTED[key]
+
+
+def held_out_measures(t: Tables, kind: str) -> DataFrame:
+    model, table = fitted(t, kind)
+    scored = learning.score_all(model, table).filter("is_test")
+    return learning.auc(scored, "default", "p").withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+
+
 def model_columns(df: DataFrame) -> DataFrame:
     return df.select("loan_id", "default", "is_test", F.round("p", 6).alias("p"), "predicted")
 
@@ -173,40 +194,52 @@ def model_columns(df: DataFrame) -> DataFrame:
 @query("ml_logistic")
 def ml_logistic(t: Tables) -> DataFrame:
     """Logistic model: exact AUC and accuracy on the held-out loans."""
-    train, table = training(t)
-    scored = learning.score_all(learning.fit_logistic(train, "default", NUMERIC, ["home_ownership"]), table).filter("is_test")
-    area = learning.auc(scored, "default", "p")
-    return area.withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+    return held_out_measures(t, "logistic")
+
+
+@query("ml_calibration", f"""WITH {SPLIT_SQL} SELECT r <= floor(n * 0.2) AS is_test, count(*) AS loans, CAST(sum("default") AS BIGINT) AS defaults,
+  CASE WHEN r <= floor(n * 0.2) THEN NULL ELSE CAST(sum("default") AS DOUBLE) END AS expected FROM rk GROUP BY r <= floor(n * 0.2)""")
+def ml_calibration(t: Tables) -> DataFrame:
+    """Split and label totals; on the training rows an unpenalised logistic fit expects as many defaults as there are."""
+    model, table = fitted(t, "logistic")
+    sums = learning.score_all(model, table).groupBy("is_test").agg(
+        F.count("*").alias("loans"), F.sum("default").alias("defaults"), F.round(F.sum("p"), 2).alias("total")
+    )
+    return sums.select("is_test", "loans", "defaults", F.when(~F.col("is_test"), F.col("total")).alias("expected"))
 
 
 @query("ml_boosted_cls")
 def ml_boosted_cls(t: Tables) -> DataFrame:
-    """Boosted trees: exact AUC and accuracy on the held-out loans (few trees, as a query)."""
-    train, table = training(t)
-    scored = learning.score_all(learning.fit_boosted(train, "default", NUMERIC, ["home_ownership"], trees=10), table).filter("is_test")
-    area = learning.auc(scored, "default", "p")
-    return area.withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+    """Boosted trees: exact AUC and accuracy on the held-out loans."""
+    return held_out_measures(t, "boosted")
 
 
 @query("ml_score_all")
 def ml_score_all(t: Tables) -> DataFrame:
     """Every loan with its probability and thresholded label."""
-    train, table = training(t)
-    return model_columns(learning.score_all(learning.fit_logistic(train, "default", NUMERIC), table))
+    model, table = fitted(t, "logistic")
+    return model_columns(learning.score_all(model, table))
+
+
+@query("ml_score_rows", f'WITH {SPLIT_SQL} SELECT loan_id, "default", r <= floor(n * 0.2) AS is_test, true AS scored FROM rk')
+def ml_score_rows(t: Tables) -> DataFrame:
+    """Keys, labels and split of the scored table: every loan once, with a probability."""
+    model, table = fitted(t, "logistic")
+    return learning.score_all(model, table).select("loan_id", "default", "is_test", F.col("p").between(0, 1).alias("scored"))
 
 
 @query("ml_importance")
 def ml_importance(t: Tables) -> DataFrame:
     """Features by importance in the boosted model."""
-    train, _ = training(t)
-    return learning.importance(learning.fit_boosted(train, "default", NUMERIC, ["home_ownership"], trees=10), train)
+    model, table = fitted(t, "boosted")
+    return learning.importance(model, table)
 
 
 @query("topk_features")
 def topk_features(t: Tables) -> DataFrame:
     """The five most important features."""
-    train, _ = training(t)
-    return learning.importance(learning.fit_boosted(train, "default", NUMERIC, trees=10), train, top=5)
+    model, table = fitted(t, "boosted")
+    return learning.importance(model, table, top=5)
 
 
 def label_scores(t: Tables) -> DataFrame:
@@ -267,18 +300,27 @@ DEMAND = ["hour_of_day", "day_of_week", "is_weekend", "lag_1", "lag_24", "lag_16
 
 
 def demand_split(t: Tables) -> tuple[DataFrame, DataFrame]:
-    table = demand_features(t)
-    cut = F.lit("2024-01-24").cast("timestamp_ntz")
+    """Training rows, and the last week: three months, the default, do not fit thirty days of events."""
+    table = frozen(demand_features(t))
+    cut = table.agg((F.max("ts") - F.expr("interval 7 days")).alias("c")).scalar()
     return table.filter(F.col("ts") < cut), table.filter(F.col("ts") >= cut)
 
 
+def demand_model(t: Tables, train: DataFrame, label: str, features: list[str]):
+    """The boosted regression on some features; a session fits each choice once."""
+    key = (t.spark.sparkContext.applicationId, t.root, *features)
+    if key not in _FITTED:
+        _FITTED[key] = learning.fit_boosted_regression(train, label, features)
+    return _FITTED[key]
+
+
 @query("ml_gbt_reg")
 def ml_gbt_reg(t: Tables) -> DataFrame:
-    """Boosted regression on the hourly series: errors of the held-out week (few trees, as a query)."""
+    """Boosted regression on the hourly series: errors of the held-out week."""
     from tallyloom.operators.series import forecast_errors
 
     train, test = demand_split(t)
-    predicted = learning.fit_boosted_regression(train, "value", DEMAND, trees=8).transform(test)
+    predicted = demand_model(t, train, "value", DEMAND).transform(test)
     return forecast_errors(predicted, "value", "prediction")
 
 
@@ -286,8 +328,4 @@ def ml_gbt_reg(t: Tables) -> DataFrame:
 def ml_ablation(t: Tables) -> DataFrame:
     """Errors with and without the lag features."""
     train, test = demand_split(t)
-
-    def fit(data, label, used):
-        return learning.fit_boosted_regression(data, label, used, trees=5)
-
-    return learning.ablation(train, test, "value", DEMAND, ["lag_1", "lag_24", "lag_168"], fit)
+    return learning.ablation(train, test, "value", DEMAND, ["lag_1", "lag_24", "lag_168"], lambda *args: demand_model(t, *args))
