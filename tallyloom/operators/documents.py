@@ -427,6 +427,12 @@ def score(df: DataFrame, text: str, load: Callable[[], Scorer], version: str = "
 def score_incremental(
     texts: DataFrame, scores: DataFrame, key: str, text: str, newest: str, ticker: str, load: Callable[[], Scorer], version: str = "lexicon-1", limit: int | None = None
 ) -> DataFrame:
-    """Scores for the unscored texts that have a ticker, ready to append."""
-    todo = unscored(texts, scores, key, newest, limit).filter(F.col(ticker).isNotNull())
+    """Scores for the unscored texts that have a ticker, ready to append.
+
+    Texts without ticker do not use up the limit, and the few texts a limit leaves in one
+    partition are dealt out again before they are scored.
+    """
+    todo = unscored(texts.filter(F.col(ticker).isNotNull()), scores, key, newest, limit)
+    if limit is not None:
+        todo = todo.repartition(key)
     return score(todo.select(key, ticker, text), text, load, version).drop(text)

@@ -41,21 +41,20 @@ def with_category_since(wide: DataFrame, current: DataFrame) -> DataFrame:
 LEVELS_PER_ROUND = 4
 
 
-def resolve_roots(edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def resolve_roots(edges: DataFrame) -> DataFrame:
     """``(category_id, parent_category_id)`` edges plus the root each node leads to.
 
     All nodes climb together, a few levels per round. A climb ends at a node without a
-    parent or outside the tree, at the first node met twice, or after ``max_depth``
-    moves. Each round's result is written out, so the plan stays flat, and the rounds
+    parent or outside the tree, or at the first node met twice; there is no limit on the
+    depth, unlike the twenty levels of the original job. Each round's result is written out, so the plan stays flat, and the rounds
     stop as soon as every climb has ended.
     """
     parents = edges.select(F.col("category_id").alias("_at"), F.col("parent_category_id").alias("_up"))
     climb = edges.select(
         "category_id", F.col("category_id").alias("_here"), F.array("category_id").alias("_seen"), F.lit(False).alias("_done")
     )
-    done_moves = 0
-    while done_moves < max_depth:
-        for _ in range(min(LEVELS_PER_ROUND, max_depth - done_moves)):
+    while True:
+        for _ in range(LEVELS_PER_ROUND):
             moved = climb.join(parents, ~F.col("_done") & (F.col("_here") == F.col("_at")), "left")
             ended = F.col("_done") | F.col("_up").isNull() | F.array_contains("_seen", F.col("_up"))
             climb = moved.select(
@@ -64,7 +63,6 @@ def resolve_roots(edges: DataFrame, max_depth: int = 20) -> DataFrame:
                 F.when(ended, F.col("_seen")).otherwise(F.array_append("_seen", F.col("_up"))).alias("_seen"),
                 ended.alias("_done"),
             )
-            done_moves += 1
         climb = frozen(climb, "climb")
         if climb.filter("not _done").isEmpty():
             break
@@ -86,11 +84,11 @@ def with_unknown_member(dim: DataFrame) -> DataFrame:
     return dim.unionByName(dim.sparkSession.createDataFrame([row], dim.schema))
 
 
-def item_dimension(changes: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def item_dimension(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """The full item dimension: latest attributes, hierarchy, unknown member."""
     current = latest_values(wanted_properties(changes))
     wide = with_category_since(pivot_latest(current), current)
-    return with_unknown_member(join_tree(wide, resolve_roots(edges, max_depth)))
+    return with_unknown_member(join_tree(wide, resolve_roots(edges)))
 
 
 def hierarchy_flags(dim: DataFrame) -> DataFrame:

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads an under-partitioned batch input over the cluster's slots before heavy per-row work.
+    """Spreads a batch input over more tasks before heavy per-row work, if the session asks for it.
 
-    A file with few row groups feeds few tasks. If the scan already has at least as many
-    partitions as there are slots, as any large table does, nothing is shuffled.
+    A file with few row groups feeds few tasks. ``spark.tallyloom.spread`` names the number of
+    tasks wanted; unset, as it should be for large tables, nothing is shuffled.
     """
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+    parts = None if df.isStreaming else df.sparkSession.conf.get("spark.tallyloom.spread", None)
+    return df.repartition(int(parts), *keys) if parts else df

@@ -6,6 +6,8 @@ bounded by the trading calendar.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,23 +149,37 @@ def stress_impact(betas: DataFrame, shocks: list[float], beta: str = "beta", ann
     return out.withColumn("impact", F.col(beta) * F.col("shock") * F.col(annual_vol) / F.sqrt(F.lit(TRADING_DAYS)))
 
 
-def correlations(returns: DataFrame, names: list[str], key: str = "ticker") -> DataFrame:
-    """Pearson correlation of every pair of the named series over the dates all of them share.
+def correlations(returns: DataFrame, key: str = "ticker", block: int = 256) -> DataFrame:
+    """Pearson correlation of every pair of series over the dates all of them share.
 
-    The named series become one vector per date; partial K x K sums are added up, so no
-    pair is ever emitted per date. The matrix is bounded by the list of names.
+    Each series becomes one array in date order. Series are dealt into blocks; a task gets two
+    blocks and multiplies them, so there is no matrix on the driver, no pair per date and no limit
+    on the number of series.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    if len(names) > 1_000:
-        raise ValueError("more than a thousand series in one matrix")
-    wide = returns.groupBy("date").pivot(key, names).agg(F.first("ret")).na.drop()
-    columns = [f"_x{i}" for i in range(len(names))]
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(wide.toDF("date", *columns)).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    pairs = sorted((min(x, y), max(x, y), float(matrix[i, j])) for i, x in enumerate(names) for j, y in enumerate(names) if i < j)
-    return returns.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
+    known = returns.filter(F.col("ret").isNotNull())
+    n = known.agg(F.countDistinct(key)).scalar()
+    shared = known.groupBy("date").agg(F.countDistinct(key).alias("_n")).filter(F.col("_n") == n).select("date")
+    entry = F.array_sort(F.collect_list(F.struct("date", "ret")))
+    packed = known.join(shared, "date").groupBy(F.col(key).alias("name")).agg(F.transform(entry, lambda e: e.ret).alias("rets"))
+    blocks = F.ceil(n / F.lit(block)).cast("int")
+    dealt = packed.withColumn("_b", F.pmod(F.hash("name"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_o")
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("name")
+        names, side = group["name"].to_numpy(), group["_b"].to_numpy()
+        x = np.stack(group["rets"].to_numpy()).astype(float)
+        x = x - x.mean(axis=1, keepdims=True)
+        size = np.sqrt((x * x).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = (x @ x.T) / np.outer(size, size)
+        i, j = np.triu_indices(len(names), 1)
+        if group["_i"].iloc[0] != group["_j"].iloc[0]:
+            apart = side[i] != side[j]
+            i, j = i[apart], j[apart]
+        return pd.DataFrame({"a": names[i], "b": names[j], "corr": corr[i, j]})
+
+    return dealt.groupBy("_i", "_j").applyInPandas(multiply, "a string, b string, corr double")
 
 
 def weighted_scores(scores: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0) -> DataFrame:

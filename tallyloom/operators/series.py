@@ -146,22 +146,17 @@ def interpolate_time(df: DataFrame, *, keys: list[str], order: str, value: str)
 def ewm(df: DataFrame, *, keys: list[str], order: str, value: str, span: int, out: str) -> DataFrame:
     """Recursive exponential smoothing, weight ``2 / (span + 1)``, started at the first value.
 
-    One pass over each key's tick-ordered array; the array holds one entry per tick.
+    One key's ticks form one group, which is linear in the ticks. A null carries the smoothed
+    value on, and the weight of what lies before it goes on decaying.
     """
-    alpha = 2.0 / (span + 1)
-    entry = F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_xs"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + f", `{value}` double, `{out}` double"
 
-    def step(acc, x):
-        smooth = F.when(F.size(acc) == 0, x["v"]).otherwise(
-            F.element_at(acc, -1)["s"] * (1 - alpha) + x["v"] * alpha
-        )
-        return F.array_append(acc, F.struct(x["at"].alias("at"), x["v"].alias("v"), smooth.alias("s")))
+    def smooth(ticks: pd.DataFrame) -> pd.DataFrame:
+        ticks = ticks.sort_values(order)
+        return ticks.assign(**{out: ticks[value].ewm(span=span, adjust=False).mean()})
 
-    kind = dict(df.dtypes)[order]
-    start = F.array().cast(f"array<struct<at:{kind},v:double,s:double>>")
-    done = packed.select(*keys, F.explode(F.aggregate("_xs", start, step)).alias("_e"))
-    return done.select(*keys, F.col("_e.at").alias(order), F.col("_e.v").alias(value), F.col("_e.s").alias(out))
+    return df.select(*keys, order, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(smooth, schema)
 
 
 def temporal_split(df: DataFrame, ts: str, months: int = 3) -> tuple[DataFrame, DataFrame]:

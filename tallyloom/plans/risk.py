@@ -16,11 +16,10 @@ from tallyloom.sources.tables import Tables
 
 def prices(t: Tables) -> DataFrame:
     """``(ticker, date, price)``: order value by customer nation and month."""
-    per_customer = t.orders.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("date")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("p")
-    )
+    # Join first: grouping by customer removes next to nothing and would shuffle the orders once more.
+    orders = t.orders.select("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("date"), F.col("o_totalprice").cast("decimal(12,2)").alias("p"))
     owners = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    by_nation = per_customer.join(owners, "o_custkey").groupBy("c_nationkey", "date").agg(F.sum("p").cast("double").alias("price"))
+    by_nation = orders.join(owners, "o_custkey").groupBy("c_nationkey", "date").agg(F.sum("p").cast("double").alias("price"))
     names = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("ticker"))
     return by_nation.join(names, "c_nationkey").select("ticker", "date", "price")
 
@@ -207,8 +206,7 @@ def win_last_n(t: Tables) -> DataFrame:
 @query("agg_corr_matrix", f"""WITH {RET_SQL} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 8) AS corr
 FROM rt a JOIN rt b ON a.date = b.date AND a.ticker < b.ticker GROUP BY 1, 2""")
 def agg_corr_matrix(t: Tables) -> DataFrame:
-    names = [r[0] for r in t.nation.select("n_name").limit(1_001).collect()]
-    return risk.correlations(returns(t), names).select("a", "b", F.round("corr", 8).alias("corr"))
+    return risk.correlations(returns(t)).select("a", "b", F.round("corr", 8).alias("corr"))
 
 
 @query("pf_hist", f"""WITH {RET_SQL}, b AS (SELECT portfolio, min(ret) AS lo, max(ret) AS hi, count(*) AS total FROM pf GROUP BY 1)
@@ -234,11 +232,11 @@ def join_factors(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    """Scored texts ``(date, ticker, source, pos, neg, composite)``; no scores at weekends."""
+    """Scored texts ``(date, ticker, source, pos, neg, composite)``."""
     kinds = {"view": "edgar", "click": "news", "signup": "reddit", "purchase": "twitter"}
     source = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("blog"))
     pos, neg = F.col("value") / 1000, F.get_json_object("props", "$.k").cast("int") / 1000
-    return t.events.filter(F.weekday("ts") < 5).select(
+    return t.events.select(
         F.to_date("ts").alias("date"), F.concat(F.lit("U"), "user_id").alias("ticker"), source.alias("source"), pos.alias("pos"), neg.alias("neg"), (pos - neg).alias("composite")
     )
 
@@ -257,7 +255,7 @@ def user_returns(t: Tables) -> DataFrame:
 
 SCORE_SQL = """sc AS (SELECT CAST(ts AS DATE) AS date, 'U' || user_id AS ticker,
     CASE event_type WHEN 'view' THEN 'edgar' WHEN 'click' THEN 'news' WHEN 'signup' THEN 'reddit' WHEN 'purchase' THEN 'twitter' ELSE 'blog' END AS source,
-    value / 1000 AS pos, CAST(json_extract_string(props, '$.k') AS INTEGER) / 1000 AS neg FROM events WHERE isodow(ts) < 6),
+    value / 1000 AS pos, CAST(json_extract_string(props, '$.k') AS INTEGER) / 1000 AS neg FROM events),
 sw AS (SELECT *, pos - neg AS composite, CASE source WHEN 'edgar' THEN 3.0 WHEN 'news' THEN 2.0 WHEN 'reddit' THEN 1.0 WHEN 'twitter' THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM sc),
 ds AS (SELECT date, ticker, sum(composite * w) / sum(w) AS weighted_sentiment, count(composite) AS n_texts FROM sw GROUP BY 1, 2),
 dz AS (SELECT date, ticker, CASE WHEN stddev_pop(weighted_sentiment) OVER (PARTITION BY date) > 0
@@ -312,7 +310,8 @@ def win_quintile_ls(t: Tables) -> DataFrame:
     return out.select("date", "names", F.round("factor", 7).alias("factor"))
 
 
-ASOF_SQL = f"""{SCORE_SQL}, td AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev_date FROM (SELECT DISTINCT date FROM ur) x),
+# No scores at weekends here, so that the day before may have none.
+ASOF_SQL = f"""{SCORE_SQL.replace(" AS neg FROM events),", " AS neg FROM events WHERE isodow(ts) < 6),")}, td AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev_date FROM (SELECT DISTINCT date FROM ur) x),
 pl AS (SELECT date, prev_date, (SELECT max(s.date) FROM (SELECT DISTINCT date FROM dz) s WHERE s.date <= td.prev_date) AS score_date FROM td WHERE prev_date IS NOT NULL)"""
 
 
@@ -322,7 +321,7 @@ def join_asof_prior(t: Tables) -> DataFrame:
 
     days = user_returns(t).select("date").distinct()
     previous = days.select(F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("prev_date")).filter("prev_date is not null")
-    known = scores(t).select(F.col("date").alias("score_date")).distinct()
+    known = scores(t).filter(F.weekday("date") < 5).select(F.col("date").alias("score_date")).distinct()
     return series.asof_dates(previous, known, "prev_date", "score_date").filter("score_date is not null")
 
 
@@ -332,8 +331,9 @@ fx AS (SELECT date, max(n) AS names, CASE WHEN max(n) < 10 THEN 0 ELSE round(avg
   FROM c GROUP BY 1)
 SELECT pl.date, coalesce(names, 0) AS names, coalesce(factor, 0) AS factor FROM pl LEFT JOIN fx USING (date) WHERE score_date IS NOT NULL""")
 def sentiment_factor(t: Tables) -> DataFrame:
-    z = series.cross_z(daily_scores(t), date="date", value="weighted_sentiment").select("date", "ticker", "z")
-    out = risk.long_short_factor(z, user_returns(t))
+    daily = daily_scores(t).filter(F.weekday("date") < 5)
+    z = series.cross_z(daily, date="date", value="weighted_sentiment").select("date", "ticker", "z")
+    out = risk.long_short_factor(z, t.once("user-returns", user_returns))
     return out.select("date", "names", F.round("factor", 7).alias("factor"))
 
 

@@ -146,9 +146,9 @@ def topk_spikes(t: Tables) -> DataFrame:
 
 def incidents(t: Tables) -> DataFrame:
     """Monthly counts ``(month, line, category, incidents)``: lines are customer nations, categories priorities."""
-    per_customer = t.orders.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"))
+    orders = t.orders.select("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderpriority").alias("category"))
     lines = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("line"))
-    return per_customer.join(lines, "o_custkey").groupBy("month", "line", "category").agg(F.sum("n").alias("incidents"))
+    return orders.join(lines, "o_custkey").groupBy("month", "line", "category").agg(F.count("*").alias("incidents"))
 
 
 INC_SQL = """inc AS (SELECT c_nationkey AS line, o_orderpriority AS category, count(*) AS incidents FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),

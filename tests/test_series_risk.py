@@ -1,6 +1,7 @@
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,26 @@ def test_ewm_is_recursive(spark):
     assert col(out, "s") == pytest.approx(want)
 
 
+def test_ewm_carries_over_nulls_like_pandas(spark):
+    xs = [None, 3.0, None, 4.0, None, None, 5.0]
+    out = series.ewm(hourly(spark, xs), keys=["k"], order="ts", value="v", span=5, out="s")
+    want = pd.Series(xs, dtype=float).ewm(span=5, adjust=False).mean()
+    got = col(out, "s")
+    assert got[0] is None and got[1:] == pytest.approx(want.tolist()[1:])
+
+
+def test_correlations_over_shared_dates_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(7, 20))
+    rows = [(f"s{i}", d, None if (i, d) == (2, 3) else float(values[i, d])) for i in range(7) for d in range(20)]
+    df = spark.createDataFrame(rows, "ticker string, date int, ret double")
+    want = np.corrcoef(np.delete(values, 3, axis=1))
+    for block in (2, 256):
+        got = {(r.a, r.b): r["corr"] for r in risk.correlations(df, block=block).collect()}
+        assert len(got) == 21
+        assert all(got[f"s{i}", f"s{j}"] == pytest.approx(want[i, j]) for i in range(7) for j in range(i + 1, 7))
+
+
 def test_periodogram_finds_planted_cycles(spark):
     n = 24 * 7 * 4
     xs = [10 + 5 * np.sin(2 * np.pi * i / 24 + 0.3) + 2 * np.cos(2 * np.pi * i / 168) for i in range(n)]
