@@ -6,7 +6,7 @@ return the columns of ``documents``; ``run`` writes each result and reads it bac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.decontamination import contamination
@@ -22,15 +22,17 @@ from tallyloom.sources.tables import Tables
 ORACLE_SQL = None
 
 
-def _hash() -> Column:
-    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows packed beside what names a document, so that no column of ``docs`` can clash."""
+    text_hash = F.hash(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), text_hash.alias("_hash"))
 
 
-def _same_document(names: DataFrame) -> DataFrame:
-    return names.select(F.col("doc_id").alias("_rid"), F.col("text_hash").alias("_rhash"))
+def _names(found: DataFrame) -> DataFrame:
+    return found.select(F.col("doc_id").alias("_rid"), F.col("text_hash").alias("_rhash"))
 
 
-_ON_DOCUMENT = "doc_id <=> _rid and _hash = _rhash"
+_ON_DOCUMENT = "_id <=> _rid and _hash = _rhash"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = similarity_classes(docs, words=5, percent=75).filter("group is not null")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    chosen = _same_document(classes.groupBy("group").agg(F.min(order).alias("first")).select("first.*"))
-    hashed = docs.withColumn("_hash", _hash())
-    single = hashed.join(chosen, F.expr(_ON_DOCUMENT), "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    chosen = _names(classes.groupBy("group").agg(F.min(order).alias("first")).select("first.*"))
+    single = _keyed(docs).join(chosen, F.expr(_ON_DOCUMENT), "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
     wordless = docs.filter(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     return single.unionByName(wordless)
 
@@ -57,8 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no ten words of a benchmark item, nor a whole shorter item."""
     found = contamination(docs, Tables(spark, sf_dir).benchmark, span=10)
-    leaks = _same_document(found.filter(F.size("hits") > 0)).distinct()
-    return docs.withColumn("_hash", _hash()).join(leaks, F.expr(_ON_DOCUMENT), "left_anti").drop("_hash")
+    leaks = _names(found.filter(F.size("hits") > 0)).distinct()
+    return _keyed(docs).join(leaks, F.expr(_ON_DOCUMENT), "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
