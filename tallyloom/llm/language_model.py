@@ -207,7 +207,7 @@ def _scored(source: DataFrame, heavy, spark) -> DataFrame:
                     at = _lookup(keys, tables[kind][0])
                     found = at >= 0
                     value = tables[kind][1][at[found]]
-                    sums[kind] = np.bincount(row[found], weights=value * n[found], minlength=rows)
+                    sums[kind] = np.bincount(row[found], weights=value * n[found], minlength=rows).astype(float)
                     if kind == WORD:
                         known = np.bincount(row[found], weights=n[found], minlength=rows).astype(np.int64)
                     rest = np.flatnonzero(~found)
