@@ -6,6 +6,8 @@ window, so no step gathers rows in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +59,21 @@ def revenue_by(lines: DataFrame, *by: Column | str, revenue: str = "item_revenue
 
 
 def growth_drivers(lines: DataFrame, *by: Column | str) -> DataFrame:
-    """Orders, customers, sellers and average order value by period."""
-    return lines.groupBy(*by).agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.countDistinct("seller_id").alias("active_sellers"),
-        F.round(F.try_divide(F.sum("item_revenue").cast("double"), F.countDistinct("order_id")), 2).alias("avg_order_value"),
+    """Orders, customers, sellers and average order value by period.
+
+    Lines are first reduced to orders and to sellers per period; several distinct counts at once
+    would multiply every line.
+    """
+    names = lines.select(*by).columns
+    rows = lines.select(*by, "order_id", "customer_id", "seller_id", "item_revenue")
+    per_order = rows.groupBy(*names, "order_id", "customer_id").agg(F.sum("item_revenue").alias("_revenue"))
+    orders = per_order.groupBy(*names).agg(
+        F.count("order_id").alias("orders"), F.countDistinct("customer_id").alias("unique_customers"), F.sum("_revenue").alias("_revenue")
     )
+    sellers = rows.select(*names, "seller_id").distinct().groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(F.count("seller_id").alias("active_sellers"))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    average = F.round(F.try_divide(F.col("_revenue").cast("double"), F.col("orders")), 2)
+    return orders.join(sellers, same).select(*names, "orders", "unique_customers", "active_sellers", average.alias("avg_order_value"))
 
 
 def day_peaks(lines: DataFrame, day: Column, n: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import valuation as v
 from tallyloom.plans.registry import query
+from tallyloom.session import scratch
+from tallyloom.sources import readers
 from tallyloom.sources.tables import Tables
 
 
@@ -272,7 +274,12 @@ lf AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tic
 
 @query("src_nested_json", f"WITH {CO_SQL} SELECT ticker, CASE WHEN ticker % 2 = 1 THEN 'Revenues' ELSE 'SalesRevenueNet' END AS concept, count(*) + 2 * count(CASE WHEN fiscal_year = 2000 THEN 1 END) AS entries FROM wd GROUP BY 1 UNION ALL SELECT ticker, 'GrossProfit', count(*) FROM wd WHERE ticker % 2 = 1 GROUP BY 1")
 def src_nested_json(t: Tables) -> DataFrame:
-    return v.annual_facts(facts(t)).groupBy("ticker", "concept").agg(F.count("*").alias("entries"))
+    """Fact files as they are landed, one company per line, read with a declared schema."""
+    made = facts(t)
+    path = scratch(t.spark, "facts")
+    made.write.json(path)
+    read = readers.nested_facts(t.spark, path).withColumn("ticker", F.col("ticker").cast(made.schema["ticker"].dataType))
+    return v.annual_facts(read).groupBy("ticker", "concept").agg(F.count("*").alias("entries"))
 
 
 @query("win_latest_filed", f"WITH {CO_SQL}, {FACT_SQL} SELECT ticker, concept, fiscal_year, round(val, 3) AS val FROM lf")

@@ -573,3 +573,16 @@ FROM cells WHERE wet IS NOT NULL AND dry IS NOT NULL GROUP BY 1""")
 def agg_matched_cells_by_state(t: Tables) -> DataFrame:
     out = m.matched_cells(weather_revenue(t), rain_cells(), "is_heavy_rain_day", "rev", by=["customer_state"])
     return out.select("customer_state", "cells", F.round("effect_pct", 4).alias("effect_pct"))
+
+
+@query("dim_sellers", """SELECT s_suppkey AS seller_id, upper(substr(s_name, 1, 1)) || lower(substr(s_name, 2)) AS seller_city, 'N' || s_nationkey AS seller_state,
+  lpad(CAST(s_suppkey * 37 % 100000 AS VARCHAR), 5, '0') AS seller_zip_code_prefix FROM supplier""")
+def dim_sellers(t: Tables) -> DataFrame:
+    """The seller dimension over the suppliers: padded zip, trimmed names."""
+    raw = t.supplier.select(
+        F.col("s_suppkey").alias("seller_id"),
+        F.concat(F.lit(" "), F.lower("s_name"), F.lit(" ")).alias("seller_city"),
+        F.concat(F.lit(" n"), "s_nationkey").alias("seller_state"),
+        (F.col("s_suppkey") * 37 % 100000).cast("string").alias("seller_zip_code_prefix"),
+    )
+    return marts.stg_sellers(raw)
