@@ -38,7 +38,28 @@ def op2(t: Tables) -> DataFrame:
     )
 
 
-@query("op3_jaccard_join")
+JACCARD_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), link as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)
+), side as (
+  select a, b from link union all select b, a from link
+), reach as (
+  select doc_id as a, doc_id as b from d union select reach.a, side.b from reach join side on side.a = reach.b
+)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id)
+join (select a as doc_id, min(b) as component_id from reach group by a) c using (doc_id)
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
 def op3(t: Tables) -> DataFrame:
     return similarity_classes(t.documents, words=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
@@ -135,7 +156,25 @@ def op9(t: Tables) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@query("op10_automaton_dedup")
+EARLIER_SQL = r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+), win as (
+  select doc_id, p, array_to_string(w[p:p + 12], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d where len(w) >= 13)
+), least_id as (
+  select k, min(doc_id) as m from win group by k
+), gone as (
+  select distinct doc_id, q from (select doc_id, unnest(range(p, p + 13)) as q from win join least_id using (k) where m < doc_id)
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as t from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d) x
+  where not exists (select 1 from gone where gone.doc_id = x.doc_id and gone.q = x.i) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, (select count(*) from gone where gone.doc_id = d.doc_id)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
+@query("op10_automaton_dedup", EARLIER_SQL)
 def op10(t: Tables) -> DataFrame:
     return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _n_removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
