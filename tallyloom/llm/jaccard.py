@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.blocks import SPACES, U64, Rolling, Words, fold_table, grams, separators, splitmix, starts_within, text_blocks
 from tallyloom.llm.components import components
+from tallyloom.llm.packed import add_up, from_bytes
 from tallyloom.session import frozen
 
 SEPARATORS = separators(SPACES)
@@ -135,12 +136,23 @@ def _repeats(source: DataFrame, n: int, buckets: int) -> DataFrame:
         found = ref[again & (ref != 0)]
         sure, counts = _from_five(column["sure"]), np.frombuffer(b"".join(column["counts"]), "<u4").astype(np.int64)
         every, weight = np.concatenate([found, sure]), np.concatenate([np.ones(len(found), np.int64), counts])
-        names, inverse = np.unique(every, return_inverse=True)
-        total = np.bincount(inverse, weights=weight, minlength=len(names)).astype(np.int64)
-        return pa.table({"ref": pa.array(names.view(np.int64)), "r": pa.array(total, pa.int64())})
+        names, total = add_up(every, weight)
+        part = (names % U64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        names, total = names[order], total[order]
+        cut = np.searchsorted(part[order], np.arange(buckets + 1)).tolist()
+        rows = [(b, _five(names[i:j]), total[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("part", "refs", "counts"), columns, (pa.int32(), pa.binary(), pa.binary()))})
+
+    def total(table: pa.Table) -> pa.Table:
+        names = _from_five(table.column("refs").to_pylist())
+        names, counts = add_up(names, from_bytes(table.column("counts").to_pylist(), "<u4").astype(np.int64))
+        return pa.table({"ref": pa.array(names.view(np.int64)), "r": pa.array(counts)})
 
     blocks = source.select("_ref", "_text").mapInArrow(deal, "bucket int, tokens binary, refs binary, sure binary, counts binary")
-    return blocks.groupBy("bucket").applyInArrow(gather, "ref bigint, r bigint").groupBy("ref").agg(F.sum("r").alias("r"))
+    parts = blocks.groupBy("bucket").applyInArrow(gather, "part int, refs binary, counts binary")
+    return parts.groupBy("part").applyInArrow(total, "ref bigint, r bigint")
 
 
 def _tokens(source: DataFrame, n: int) -> DataFrame:
@@ -237,7 +249,8 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     classes = ["c1", "c2", "n"]
     reps = frozen(alive.groupBy(*classes).agg(F.min(F.struct("_ref", "_id", "_key")).alias("rep")).select(*classes, "rep.*"), "reps")
     wanted = reps.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"))
-    chosen = source.join(wanted, F.expr("_id <=> _rid and _key = _rkey"), "left_semi").dropDuplicates(["_id", "_key"])
+    # The list grows with the corpus: a shuffle at any size, without sorting the texts.
+    chosen = source.join(wanted.hint("shuffle_hash"), F.expr("_id <=> _rid and _key = _rkey"), "left_semi").dropDuplicates(["_id", "_key"])
     sets = _tokens(chosen, words)
     sets = frozen(_ordered(frozen(sets, "tokens"), percent), "ordered")
     links = frozen(_links(sets, percent, parts), "links")
@@ -284,18 +297,19 @@ def _links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
         sets.filter("prefix > 0").select("ref", "n", "central", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "index"
     )
     leaders = indexed.groupBy("token").agg(F.max(F.struct("central", "ref", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    leaders = leaders.select("token", F.col("lead.ref").alias("lead"), F.col("lead.n").alias("lead_n"))
+    leaders = frozen(leaders.select("token", F.col("lead.ref").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
     joined = indexed.join(leaders, "token")
     fits = (F.col("n") * 100 >= F.col("lead_n") * percent) & (F.col("lead_n") * 100 >= F.col("n") * percent)
     pairs = joined.filter(fits & (F.col("ref") != F.col("lead"))).select(F.col("ref").alias("a"), F.col("lead").alias("b")).distinct()
     # Vertical partitioning: the sets are cut at the same borders of the order, overlaps add up over the fragments.
-    cut = sets.select("ref", "n", F.explode("tokens").alias("token")).groupBy(
-        "ref", "n", F.shiftrightunsigned("token", 65 - FRAGMENTS.bit_length()).alias("fragment")
-    )
-    pieces = frozen(cut.agg(F.collect_list("token").alias("piece")), "pieces")
+    def piece(f: int) -> Column:
+        return F.filter("tokens", lambda x: F.shiftrightunsigned(x, 65 - FRAGMENTS.bit_length()) == f)
+
+    fragments = F.array(*[F.struct(F.lit(f).alias("fragment"), piece(f).alias("piece")) for f in range(FRAGMENTS)])
+    pieces = sets.select("ref", "n", F.inline(fragments)).filter(F.size("piece") > 0)
     left = pieces.select(F.col("ref").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("piece").alias("piece_a"))
     right = pieces.select(F.col("ref").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("piece").alias("piece_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
+    partial = pairs.hint("merge").join(left, "a").join(right.hint("merge"), ["b", "fragment"]).select(
         "a", "b", "n_a", "n_b", F.size(F.array_intersect("piece_a", "piece_b")).alias("part")
     )
     counted = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
@@ -303,9 +317,8 @@ def _links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
     roots = components(stars, "stars")
     rooted = sets.join(roots.withColumnRenamed("node", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    tagged = joined.join(rooted.select("ref", "root"), "ref").join(
-        rooted.select(F.col("ref").alias("lead"), F.col("root").alias("lead_root")), "lead"
-    )
+    led = leaders.join(rooted.select(F.col("ref").alias("lead"), F.col("root").alias("lead_root")), "lead").select("token", "lead_root")
+    tagged = indexed.select("ref", "token").join(led, "token").join(rooted.select("ref", "root"), "ref")
     apart = tagged.filter("root <> lead_root").select("ref", "token").distinct()
     places = indexed.groupBy("token").agg(F.collect_set(F.pmod("ref", F.lit(parts)).cast("int")).alias("at"))
     sent = apart.join(places, "token").groupBy("ref").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"))
