@@ -1,13 +1,12 @@
-"""Near-duplicate vectors by iterative quantisation, multi-index Hamming tables and exact cosines."""
+"""Near-duplicate vectors by iterative quantisation: cells of binary codes, ruled out only by proof, and exact cosines."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.blocks import U64
 from tallyloom.llm.components import components
 from tallyloom.llm.fragments import grouped
 from tallyloom.session import frozen
@@ -15,12 +14,13 @@ from tallyloom.session import frozen
 #: Vectors, at most, on which the rotation is learnt.
 SAMPLE = 20_000
 BITS = 64
-CHUNKS = 5
 ROUNDS = 50
-#: Rows of one bucket or cluster that a task compares at once; larger ones are split into pairs of blocks.
+#: Rows of one label or cell that a task compares at once; larger ones are split into pairs of blocks.
 BLOCK_ROWS = 2_000
 #: Rows handed to one call.
 TASK_ROWS = 20_000
+#: Rows times cells that are looked at together when a vector's cells are listed.
+CELLS_AT_ONCE = 1 << 15
 
 
 class Rotation:
@@ -41,15 +41,26 @@ class Rotation:
             rotation = (left @ right).T
         self.matrix = axes @ rotation
 
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
-        signs = ((vectors - self.centre) @ self.matrix >= 0).astype(U64)
-        return (signs << np.arange(self.bits, dtype=U64)).sum(axis=1, dtype=U64)
+    def project(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.centre) @ self.matrix
 
 
-def chunk_borders(bits: int, chunks: int) -> list[tuple[int, int]]:
-    """``(shift, width)`` of each part of a code."""
-    edges = [bits * i // chunks for i in range(chunks + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _cells(projected: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, cell, home``: the cell of each row's code, and others that may hold a vector within ``sqrt(reach)``.
+
+    Where two codes differ the projections have different signs, so they lie apart by the row's own
+    projection at least. A cell is out of reach if the squares of these, over the differing bits, sum
+    to more than ``reach``. Of two cells one, by parity, receives the other's rows.
+    """
+    own = ((projected >= 0).astype(np.int64) << np.arange(projected.shape[1])).sum(axis=1)
+    apart = np.zeros((len(projected), 1))
+    for bit in range(projected.shape[1]):
+        apart = np.concatenate([apart, apart + projected[:, bit, None] ** 2], axis=1)
+    row, flipped = np.nonzero(apart <= reach)
+    own = own[row]
+    cell = own ^ flipped
+    goes = (flipped == 0) | ((own < cell) == ((own + cell) % 2 == 1))
+    return row[goes], cell[goes], flipped[goes] == 0
 
 
 def _vectors(column) -> np.ndarray:
@@ -59,19 +70,22 @@ def _vectors(column) -> np.ndarray:
 
 
 def paired_blocks(rows: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
-    """Splits large groups so that every two rows of a group meet in exactly one task, or in ``own`` blocks.
+    """Splits groups so that every two rows of a group, not both visitors, meet in exactly one task, or in ``own`` blocks.
 
-    Adds ``_i, _j`` (the pair of blocks a task handles) and ``_b`` (the row's block). A group of up
-    to ``limit`` rows has one block; a larger one is dealt into blocks by a hash, and each row goes
-    to every pair that holds its block.
+    Adds ``_i, _j`` (the pair of blocks a task handles) and ``_b`` (the row's block). Up to ``limit``
+    rows at ``home`` have one block, more are dealt into blocks by a hash; so are the visitors, whose
+    blocks follow. Each row goes to every pair that holds its block and one with rows at home.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    dealt = rows.join(sizes, keys).withColumn("_blocks", F.ceil(F.col("_n") / limit).cast("int"))
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int"))
+    sizes = rows.groupBy(*keys).agg(F.count_if("home").alias("_n"), F.count_if(~F.col("home")).alias("_v")).filter("_n > 0")
+    dealt = rows.join(sizes, keys).withColumns({"_n": F.ceil(F.col("_n") / limit).cast("int"), "_v": F.ceil(F.col("_v") / limit).cast("int")})
+    hashed = F.xxhash64(order)
+    block = F.when(F.col("home"), F.pmod(hashed, "_n")).otherwise(F.col("_n") + F.pmod(hashed, "_v"))
+    met = F.when(F.col("home"), F.col("_n") + F.col("_v")).otherwise(F.col("_n"))
     return (
-        dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        dealt.withColumn("_b", block.cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), met - 1)))
         .withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")})
-        .drop("_n", "_blocks", "_other")
+        .drop("_n", "_v", "_other")
     )
 
 
@@ -80,54 +94,40 @@ def _task_rows(dealt: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return dealt.select(F.xxhash64(*keys, "_i", "_j").alias("key"), *columns, "_b", (F.col("_i") != F.col("_j")).alias("across"))
 
 
-def _near_codes(columns: dict, limit: int) -> dict:
-    """Per row of a bucket its smallest and its nearest partner within ``limit`` differing bits.
+def _roots(hit: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix the first row it can reach, -1 if it has no link."""
+    root = np.full(len(hit), -1)
+    for seed in np.flatnonzero(hit.any(axis=1)).tolist():
+        front = np.array([seed]) if root[seed] < 0 else np.array([], np.int64)
+        while len(front):
+            root[front] = seed
+            front = np.flatnonzero(hit[front].any(axis=0) & (root < 0))
+    return root
+
 
-    Rows are sorted by bucket and node. Row ``i`` is compared with row ``i + step`` for growing
-    steps, all buckets at once, until no bucket is that long.
+def _links(columns: dict, least: float) -> dict:
+    """Per vector that links in a pair of blocks: the copies it links with, and one node of its component there.
+
+    All cosines of the pair of blocks are computed; components stand for the links, which are not listed.
     """
-    key, node = columns["key"].to_numpy(), columns["node"].to_numpy()
-    code, side = columns["code"].to_numpy().view(U64), columns["_b"].to_numpy()
-    across = columns["across"].to_numpy(zero_copy_only=False)
-    n = len(key)
-    smallest, nearest, best = np.full(n, n), np.full(n, n), np.full(n, 255, np.uint8)
-    left, step = np.arange(n), 0
-    while True:
-        step += 1
-        left = left[left + step < n]
-        left = left[key[left] == key[left + step]]
-        if len(left) == 0:
-            break
-        far = np.bitwise_count(code[left] ^ code[left + step])
-        met = (far <= limit) & (node[left] != node[left + step]) & (~across[left] | (side[left] != side[left + step]))
-        i, far = left[met], far[met]
-        for here, there in ((i, i + step), (i + step, i)):
-            smallest[here] = np.minimum(smallest[here], there)
-            closer = far < best[here]
-            best[here[closer]], nearest[here[closer]] = far[closer], there[closer]
-    row = np.flatnonzero(smallest < n)
-    a, b = np.concatenate([row, row]), np.concatenate([smallest[row], nearest[row]])
-    both = np.unique(np.column_stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=0)
-    return {"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}
-
-
-def _count_links(columns: dict, least: float) -> dict:
-    """Per vector of a cluster block pair, the copies on the other side it links with."""
-    x = _vectors(columns["embedding"])
     key, node, copies, side = (columns[c].to_numpy() for c in ("key", "node", "copies", "_b"))
     across = columns["across"].to_numpy(zero_copy_only=False)
-    total = np.zeros(len(node), np.int64)
+    total, root = np.zeros(len(node), np.int64), np.full(len(node), -1)
     border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     for lo, hi in zip(border[:-1].tolist(), border[1:].tolist()):
-        group = slice(lo, hi)
-        for start in range(lo, hi, 512):
-            part = slice(start, min(start + 512, hi))
-            hit = x[part] @ x[group].T >= least
-            hit &= node[part, None] != node[None, group]
-            if across[lo]:
-                hit &= side[part, None] != side[None, group]
-            total[part] = hit @ copies[group]
-    return {"node": columns["node"], "n": pa.array(total)}
+        x = _vectors(columns["embedding"].slice(lo, hi - lo))
+        hit = np.empty((hi - lo, hi - lo), bool)
+        for start in range(0, hi - lo, 512):
+            hit[start : start + 512] = x[start : start + 512] @ x.T >= least
+        # The two products of a pair may differ in the last digit.
+        hit |= hit.T
+        np.fill_diagonal(hit, False)
+        if across[lo]:
+            hit &= side[lo:hi, None] != side[None, lo:hi]
+        total[lo:hi] = [int(copies[lo:hi][row].sum()) for row in hit]
+        root[lo:hi] = np.where((found := _roots(hit)) < 0, -1, found + lo)
+    row = np.flatnonzero(root >= 0)
+    return {"node": pa.array(node[row]), "n": pa.array(total[row]), "root": pa.array(node[root[row]])}
 
 
 def vector_classes(
@@ -139,23 +139,21 @@ def vector_classes(
     cosine: float = 0.93,
     sample: int = SAMPLE,
     bits: int = BITS,
-    chunks: int = CHUNKS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row.
 
     Rows of one label link when their cosine, in double precision, is at least ``cosine``.
-    Equal vectors become one class with a multiplicity. A rotation learnt on at most ``sample``
-    vectors gives each class a balanced binary code; the code is cut into ``chunks``, and classes
-    meet if a chunk agrees but for one bit at most, so every pair within ``2 * chunks - 1``
-    differing bits meets. Of each meeting a class proposes its smallest and its nearest partner;
-    proposals are checked by cosine, and checked links build clusters. Inside a cluster all cosines
-    are then counted exactly, block by block, without listing pairs. What can be missed is a link
-    between two clusters that no proposal found; the tests measure the recall.
-
-    ``chunks`` should be near ``bits / log2(rows per label)``. Vectors that are null, zero, hold
-    null or non-finite numbers, have no label, or are not of the most common length link with
-    nothing and are components of their own. A component is named after its smallest id; null ids
+    Equal vectors become one class with a multiplicity. A label of up to ``block_rows`` classes is
+    compared as a whole. For larger ones a rotation learnt on at most ``sample`` vectors gives each
+    class a balanced binary code, as long as makes about ``block_rows`` classes a cell. A class is
+    compared with its own cell, and with all others but those that its projections prove too far
+    (see ``_cells``). Every cosine is computed, block by block, without listing pairs, so no link is
+    missed. How many cells are ruled out depends on the vectors: where they have no structure the
+    work grows with the square of a label's classes.
+
+    Vectors that are null, zero, hold null or non-finite numbers, have no label, or are not of the
+    most common length link with nothing and are components of their own. A component is named after its smallest id; null ids
     count only where there is no other. Rows with equal ids are separate rows. An empty table gives
     an empty result. Extra columns are ignored. Classes are told apart by 64-bit hashes.
     """
@@ -169,38 +167,36 @@ def vector_classes(
     classes = frozen(
         valid.withColumn("node", node).groupBy("node", "_label", "embedding").agg(F.count("*").alias("copies"), F.min("_id").alias("smallest")), "classes"
     )
-    n = classes.count()
-    drawn = classes.filter(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))).select("embedding").toArrow()
-    if drawn.num_rows < 2:
-        drawn = classes.select("embedding").limit(2).toArrow()
-    rotation = Rotation(_vectors(drawn.column("embedding").combine_chunks()), bits) if drawn.num_rows else None
-    borders = chunk_borders(rotation.bits if rotation else bits, chunks)
-
-    def encode(batches):
-        for batch in batches:
-            codes = rotation.codes(_vectors(batch.column("embedding")))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("_label"), pa.array(codes.view(np.int64))], names=["node", "_label", "code"])
-
-    kind = classes.schema["_label"].dataType.simpleString()
-    coded = classes.select("node", "_label", "embedding").mapInArrow(encode, f"node bigint, _label {kind}, code bigint")
-    # A chunk with one bit masked: two chunks that differ in that bit only, or not at all, share the key.
-    masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(shift + i).alias("bit"), F.lit(_signed((((1 << width) - 1) & ~(1 << i)) << shift)).cast("long").alias("mask")) for t, (shift, width) in enumerate(borders) for i in range(width)])
-    keyed = coded.withColumn("m", F.explode(masks)).select("node", "_label", "code", F.col("m.bit").alias("bit"), F.col("code").bitwiseAND(F.col("m.mask")).alias("part"))
-    bucket = ["_label", "bit", "part"]
-    dealt = paired_blocks(keyed, bucket, "node", block_rows)
-    # Buckets of one row have no partner.
-    crowd = keyed.groupBy(*bucket).agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    limit = BITS * 5 // 16
-    rows_met = _task_rows(dealt.join(crowd, bucket, "left_semi"), bucket, ["node", "code"])
-    met = grouped(rows_met, "key", ["node"], lambda c: _near_codes(c, limit), "a bigint, b bigint", TASK_ROWS).distinct()
-    left = classes.select(F.col("node").alias("a"), F.col("embedding").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("embedding").alias("y"))
-    links = met.join(left, "a").join(right, "b").filter(_cosine("x", "y") >= cosine).select("a", "b")
-    clusters = components(links, "vector-links")
-    members = classes.join(clusters, "node").select("node", "root", "embedding", "copies")
-    blocks = _task_rows(paired_blocks(members, ["root"], "node", block_rows), ["root"], ["node", "embedding", "copies"])
-    links_of = grouped(blocks, "key", ["node"], lambda c: _count_links(c, cosine), "node bigint, n bigint", TASK_ROWS)
-    counted = links_of.groupBy("node").agg(F.sum("n").alias("others"))
+    counts = classes.groupBy("_label").agg(F.count("*").alias("_c"))
+    wanted = F.when(F.col("_c") > block_rows, F.ceil(F.log2(F.col("_c") / block_rows))).otherwise(0).cast("int")
+    total, width = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max(wanted), F.lit(0))).first()
+    cells = classes.select("node", "_label", "embedding", "copies", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"))
+    if width:
+        drawn = classes.filter(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))).select("embedding").toArrow()
+        if drawn.num_rows < 2:
+            drawn = classes.select("embedding").limit(2).toArrow()
+        rotation = Rotation(_vectors(drawn.column("embedding").combine_chunks()), min(bits, width))
+        # Unit vectors: the squared distance is twice what the cosine lacks to one, and some for rounding.
+        reach = 2 - 2 * cosine + 1e-9
+
+        def deal(batches):
+            for batch in batches:
+                projected, widths = rotation.project(_vectors(batch.column("embedding"))), batch.column("_w").to_numpy()
+                for w in np.unique(widths).tolist():
+                    rows_of = np.flatnonzero(widths == w)
+                    step = max(1, CELLS_AT_ONCE >> w)
+                    for start in range(0, len(rows_of), step):
+                        some = rows_of[start : start + step]
+                        row, cell, home = _cells(projected[some, :w], reach)
+                        taken = batch.select(["node", "_label", "embedding", "copies"]).take(pa.array(some[row]))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(home)], names=[*taken.schema.names, "cell", "home"])
+
+        sized = classes.join(counts.select("_label", F.least(wanted, F.lit(rotation.bits)).alias("_w")), "_label")
+        cells = sized.select("node", "_label", "embedding", "copies", "_w").mapInArrow(deal, cells.schema)
+    blocks = _task_rows(paired_blocks(cells, ["_label", "cell"], "node", block_rows), ["_label", "cell"], ["node", "embedding", "copies"])
+    linked = frozen(grouped(blocks, "key", ["node"], lambda c: _links(c, cosine), "node bigint, n bigint, root bigint", TASK_ROWS), "linked")
+    clusters = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-links")
+    counted = linked.groupBy("node").agg(F.sum("n").alias("others"))
     named = classes.select("node", "_label", "embedding", "copies", "smallest").join(clusters, "node", "left").join(counted, "node", "left")
     together = named.filter("root is not null").groupBy("root").agg(F.min("smallest").alias("together"))
     known = named.join(together, "root", "left").select(
@@ -209,14 +205,3 @@ def vector_classes(
     out = rows.join(known, (F.col("_label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     component = F.coalesce("name", "_id")
     return out.select(F.col("_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
-def _cosine(left: str, right: str) -> Column:
-    def dot(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return dot(left, right) / (F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)))

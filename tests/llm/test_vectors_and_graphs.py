@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from tallyloom.llm.components import components  # noqa: E402
-from tallyloom.llm.quantisation import vector_classes  # noqa: E402
+from tallyloom.llm.quantisation import Rotation, _cells, vector_classes  # noqa: E402
 from tallyloom.session import frozen  # noqa: E402
 from tallyloom.sources.tables import Tables  # noqa: E402
 
@@ -71,6 +71,47 @@ def test_vector_classes_against_all_pairs(spark, block_rows):
         assert vector_classes(df.limit(0)).count() == 0
 
 
+def hubs_and_spokes():
+    """Per hub, spokes at cosine 0.935 to it and below 0.93 to each other, among vectors at 0.87 to 0.92."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v)
+    out = []
+    for _ in range(12):
+        hub = unit(rng.normal(size=64))
+        out.append(hub)
+        for c in [0.935] * 25 + rng.uniform(0.87, 0.92, size=50).tolist():
+            side = rng.normal(size=64)
+            out.append(c * hub + np.sqrt(1 - c * c) * unit(side - (side @ hub) * hub))
+    return np.array(out).astype(np.float32)
+
+
+@pytest.mark.parametrize("block_rows", [2000, 100])
+def test_vector_classes_find_every_link_of_a_hub(spark, block_rows):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(hubs_and_spokes())]
+    x = np.array([v for _, v, _ in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = np.triu(x @ x.T >= 0.93, 1)
+    degree, root = hit.sum(axis=0) + hit.sum(axis=1), joined(np.argwhere(hit).tolist())
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=block_rows).collect()}
+    assert got == {i: (degree[i], root.get(i, i)) for i, _, _ in rows}
+
+
+def test_vector_cells_rule_out_only_what_is_too_far():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 16)), 15, axis=0) + rng.normal(scale=0.1, size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    row, cell, home = _cells(Rotation(x, 5).project(x), 2 - 2 * 0.93 + 1e-9)
+    assert len(row) < 600 * 17 / 2
+    met = np.zeros((600, 600), int)
+    for c in np.unique(cell):
+        here = [row[(cell == c) & home], row[(cell == c) & ~home]]
+        met[np.ix_(here[0], here[0])] += 1
+        met[np.ix_(here[0], here[1])] += 1
+        met[np.ix_(here[1], here[0])] += 1
+    assert met.max() == 1 and met[x @ x.T >= 0.93].min() == 1
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     extra = {"_hash": F.lit("h"), "_rid": F.lit(1), "size": F.lit(2)}
     docs = Tables(spark, SMALL).documents.withColumns(extra)
