@@ -143,17 +143,17 @@ def vector_classes(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row.
 
-    Rows of one label link when their cosine, in double precision, is at least ``cosine``.
+    Rows of one label and vector length link when their cosine, in double precision, is at least ``cosine``.
     Equal vectors become one class with a multiplicity. A label of up to ``block_rows`` classes is
-    compared as a whole. For larger ones a rotation learnt on at most ``sample`` vectors gives each
+    compared as a whole. For larger ones a rotation learnt on about ``sample`` vectors of their length gives each
     class a balanced binary code, as long as makes about ``block_rows`` classes a cell. A class is
     compared with its own cell, and with all others but those that its projections prove too far
     (see ``_cells``). Every cosine is computed, block by block, without listing pairs, so no link is
     missed. How many cells are ruled out depends on the vectors: where they have no structure the
     work grows with the square of a label's classes.
 
-    Vectors that are null, zero, hold null or non-finite numbers, have no label, or are not of the
-    most common length link with nothing and are components of their own. A component is named after its smallest id; null ids
+    Vectors that are null, zero, hold null or non-finite numbers, or have no label link with nothing
+    and are components of their own. A component is named after its smallest id; null ids
     count only where there is no other. Rows with equal ids are separate rows. An empty table gives
     an empty result. Extra columns are ignored. Classes are told apart by 64-bit hashes.
     """
@@ -161,39 +161,41 @@ def vector_classes(
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     nonzero = F.exists("embedding", lambda v: v != 0)
     valid = rows.filter(F.col("_label").isNotNull() & F.col("embedding").isNotNull()).filter(finite & nonzero)
-    length = valid.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    valid = valid.filter(F.size("embedding") == (length["size"] if length else 0))
     node = F.xxhash64("_label", "embedding")
     classes = frozen(
-        valid.withColumn("node", node).groupBy("node", "_label", "embedding").agg(F.count("*").alias("copies"), F.min("_id").alias("smallest")), "classes"
+        valid.withColumn("node", node).groupBy("node", "_label", "embedding").agg(F.count("*").alias("copies"), F.min("_id").alias("smallest")).withColumn("_size", F.size("embedding")), "classes"
     )
-    counts = classes.groupBy("_label").agg(F.count("*").alias("_c"))
-    wanted = F.when(F.col("_c") > block_rows, F.ceil(F.log2(F.col("_c") / block_rows))).otherwise(0).cast("int")
-    total, width = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max(wanted), F.lit(0))).first()
-    cells = classes.select("node", "_label", "embedding", "copies", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"))
-    if width:
-        drawn = classes.filter(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))).select("embedding").toArrow()
-        if drawn.num_rows < 2:
-            drawn = classes.select("embedding").limit(2).toArrow()
-        rotation = Rotation(_vectors(drawn.column("embedding").combine_chunks()), min(bits, width))
+    group = ["_label", "_size"]
+    width = F.least(F.ceil(F.log2(F.col("_c") / block_rows)).cast("int"), F.lit(bits), F.col("_size"))
+    counts = classes.groupBy(*group).agg(F.count("*").alias("_c")).withColumn("_w", F.when(F.col("_c") > block_rows, width).otherwise(0))
+    large = counts.filter("_w > 0").groupBy("_size").agg(F.max("_w").alias("width"), F.sum("_c").alias("n")).collect()
+    carried = ["node", "_label", "_size", "embedding", "copies"]
+    cells = classes.select(*carried, F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"))
+    if large:
+        rotations = {}
+        for one in large:
+            alike = classes.join(counts.filter("_w > 0"), group, "left_semi").filter(F.col("_size") == one["_size"]).select("node", "embedding")
+            drawn = alike.filter(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, sample / one["n"]) * (1 << 30))).select("embedding").toArrow()
+            if drawn.num_rows < 2:
+                drawn = alike.select("embedding").limit(2).toArrow()
+            rotations[one["_size"]] = Rotation(_vectors(drawn.column("embedding").combine_chunks()), one["width"])
         # Unit vectors: the squared distance is twice what the cosine lacks to one, and some for rounding.
         reach = 2 - 2 * cosine + 1e-9
 
         def deal(batches):
             for batch in batches:
-                projected, widths = rotation.project(_vectors(batch.column("embedding"))), batch.column("_w").to_numpy()
-                for w in np.unique(widths).tolist():
-                    rows_of = np.flatnonzero(widths == w)
+                kinds = np.column_stack([batch.column("_size").to_numpy(), batch.column("_w").to_numpy()])
+                for size, w in np.unique(kinds, axis=0).tolist():
+                    alike = batch.select(carried).take(pa.array(np.flatnonzero((kinds == (size, w)).all(axis=1))))
+                    projected = rotations[size].project(_vectors(alike.column("embedding"))) if w else np.zeros((alike.num_rows, 0))
                     step = max(1, CELLS_AT_ONCE >> w)
-                    for start in range(0, len(rows_of), step):
-                        some = rows_of[start : start + step]
-                        row, cell, home = _cells(projected[some, :w], reach)
-                        taken = batch.select(["node", "_label", "embedding", "copies"]).take(pa.array(some[row]))
-                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(home)], names=[*taken.schema.names, "cell", "home"])
-
-        sized = classes.join(counts.select("_label", F.least(wanted, F.lit(rotation.bits)).alias("_w")), "_label")
-        cells = sized.select("node", "_label", "embedding", "copies", "_w").mapInArrow(deal, cells.schema)
-    blocks = _task_rows(paired_blocks(cells, ["_label", "cell"], "node", block_rows), ["_label", "cell"], ["node", "embedding", "copies"])
+                    for start in range(0, alike.num_rows, step):
+                        row, cell, home = _cells(projected[start : start + step, :w], reach)
+                        taken = alike.take(pa.array(row + start))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(home)], names=[*carried, "cell", "home"])
+
+        cells = classes.join(counts.drop("_c"), group).select(*carried, "_w").mapInArrow(deal, cells.schema)
+    blocks = _task_rows(paired_blocks(cells, [*group, "cell"], "node", block_rows), [*group, "cell"], ["node", "embedding", "copies"])
     linked = frozen(grouped(blocks, "key", ["node"], lambda c: _links(c, cosine), "node bigint, n bigint, root bigint", TASK_ROWS), "linked")
     clusters = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-links")
     counted = linked.groupBy("node").agg(F.sum("n").alias("others"))

@@ -97,6 +97,22 @@ def test_vector_classes_find_every_link_of_a_hub(spark, block_rows):
     assert got == {i: (degree[i], root.get(i, i)) for i, _, _ in rows}
 
 
+def test_vector_classes_compare_every_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v, i % 2) for i, v in enumerate([[1.0] * 7, [0.5] * 7] * 3)]
+    for size in (24, 33):
+        for centre in rng.normal(size=(30, size)):
+            rows += [(len(rows) + i, (centre + rng.normal(scale=0.2, size=size)).tolist(), 0) for i in range(3)]
+    rows += [(900, [2.0] * 7, 0), (901, [3.0] * 7, 1), (902, [1.0] * 8, 0)]
+    x = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.93]
+    degree = np.bincount(np.ravel(links), minlength=903)
+    root = joined(links)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=30).collect()}
+    assert got == {i: (degree[i], root.get(i, i)) for i, _, _ in rows}
+
+
 def test_vector_cells_rule_out_only_what_is_too_far():
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(40, 16)), 15, axis=0) + rng.normal(scale=0.1, size=(600, 16))
