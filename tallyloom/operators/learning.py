@@ -29,6 +29,11 @@ def one_hot(categorical: list[str]) -> list:
     ]
 
 
+def levels(df: DataFrame, column: str) -> list[str]:
+    """The labels a column holds, alphabetically; nulls are none."""
+    return list(StringIndexer(inputCol=column, outputCol="_i", stringOrderType="alphabetAsc").fit(df.select(column).na.drop()).labels)
+
+
 def dummies(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """0/1 columns for every level but the first of ``levels``."""
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("int") for v in levels[1:]})

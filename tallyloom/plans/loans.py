@@ -142,7 +142,8 @@ def agg_topn_lump(t: Tables) -> DataFrame:
 
 @query("ml_onehot_drop_first", """SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P" FROM orders""")
 def ml_onehot_drop_first(t: Tables) -> DataFrame:
-    return learning.dummies(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus")
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    return learning.dummies(orders, "o_orderstatus", learning.levels(orders, "o_orderstatus")).drop("o_orderstatus")
 
 
 SPLIT_SQL = f"""{LOAN_SQL}, hs AS (SELECT loan_id, "default", CAST('0x' || substr(md5(loan_id || ':42'), 1, 15) AS BIGINT) AS h FROM ln),

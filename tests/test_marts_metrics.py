@@ -110,6 +110,19 @@ def test_impute_and_lump(spark):
     assert {r.c for r in loans.lump(df, "c", 1).collect()} == {"a", "OTHER"}
 
 
+def test_dummies_cover_every_level_of_the_orders(spark):
+    from types import SimpleNamespace
+
+    from tallyloom.plans.loans import ml_onehot_drop_first
+
+    rows = [(1, "F"), (2, "O"), (3, "P"), (4, "X"), (5, "O"), (6, None)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string")
+    got = ml_onehot_drop_first(SimpleNamespace(orders=orders))
+    assert got.columns == ["o_orderkey", "o_orderstatus_O", "o_orderstatus_P", "o_orderstatus_X"]
+    assert [tuple(r) for r in got.orderBy("o_orderkey").limit(5).collect()] == [(1, 0, 0, 0), (2, 1, 0, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, 1, 0, 0)]
+    assert ml_onehot_drop_first(SimpleNamespace(orders=orders.limit(0))).count() == 0
+
+
 def test_date_dimensions(spark):
     rows = calendar.date_dim(spark, "2019-12-30", "2020-01-05").orderBy("date_day").collect()
     assert rows[0].week_of_year == 1 and rows[0].day_of_week == 1 and rows[1].is_month_end and str(rows[4].week_start_date) == "2019-12-30"
