@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.decontamination import contamination, words_covered
+from tallyloom.llm.fill_in_middle import fill_in_middle, restored
 from tallyloom.llm.jaccard import similarity_classes
 from tallyloom.llm.language_model import context_tree_scores
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.quality import learn_quality, quality_score
 from tallyloom.llm.quantisation import vector_classes
 from tallyloom.llm.settings import GOOD, VOCABULARY, fold_of, word_vocabulary
+from tallyloom.llm.stratified_index import index_search
 from tallyloom.llm.suffix_dedup import suffix_dedup
+from tallyloom.llm.threshold_search import top_inner_products
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.token_output import token_output
 from tallyloom.plans.registry import query
@@ -179,6 +182,80 @@ def op10(t: Tables) -> DataFrame:
     return automaton_dedup(t.documents, span=13).select("doc_id", "n_words", _n_removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+TOP_SQL = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+), r as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op11_top_vectors", TOP_SQL)
+def op11(t: Tables) -> DataFrame:
+    return top_inner_products(t.embeddings, queries=F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+MIDDLE_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), x as (
+  select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+         when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form from d
+), c as (
+  select doc_id, n, form, t, least(a, b) as lo, greatest(a, b) as hi from x
+), p as (
+  select *, substr(t, 1, lo) as pre, substr(t, lo + 1, hi - lo) as mid, substr(t, hi + 1) as suf from c
+)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else t end) as output_sha256,
+  sha256(t) as restored_sha256 from p
+"""
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(t: Tables) -> DataFrame:
+    return fill_in_middle(t.documents).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256")
+    )
+
+
+SEARCH_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), size as (
+  select count(*)::bigint as docs, sum(len(w))::bigint as terms from d where len(w) > 0
+), p as (
+  select doc_id, len(w)::bigint as n, unnest(w) as term from d where len(w) > 0
+), tf as (
+  select doc_id, n, term, count(*)::bigint as tf from p group by all
+), weight as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, size group by term, docs
+), q as (
+  select item_id, term, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+  ) group by all
+), s as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+  from q join weight using (term) join tf using (term), size group by item_id, doc_id
+), r as (
+  select *, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from s where score > 0
+)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13(t: Tables) -> DataFrame:
+    return index_search(t.documents, t.benchmark, scratch(t.spark, "strata"), k=10)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(t: Tables) -> DataFrame:
     return corpus_pipeline.run(t.spark, t.root)
