@@ -14,7 +14,7 @@ from tallyloom.plans.shop import SHOP_SQL, Shop, plain
 from tallyloom.session import scratch
 from tallyloom.sources import readers, sinks
 from tallyloom.sources.tables import Tables
-from tallyloom.streaming import jobs
+from tallyloom.streaming import jobs, progress
 
 # --- assertions ----------------------------------------------------------------------------------
 
@@ -284,8 +284,10 @@ def stream_run(t: Tables) -> tuple[jobs.Targets, dict]:
     suffix = "_" + root.rsplit("-", 1)[-1]
     items_path = f"{root}/items"
     dim_items(t).write.parquet(items_path)
-    running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, suffix=suffix)
-    jobs.drain(running)
+    with progress.recorded(t.spark, f"{root}/progress", {f"{name}{suffix}" for name in jobs.SINKS}) as log:
+        running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, suffix=suffix)
+        jobs.drain(running)
+        log.settle(running.values())
     jobs.recover_dropped(readers.landed_batch(t.spark, f"{root}/landed"), targets, suffix)
     return targets, running | {"_suffix": suffix}
 
@@ -361,7 +363,8 @@ def st_late_metrics(t: Tables) -> DataFrame:
     """Rows in and kept per query, and how many dropped behind the watermark had to be recovered."""
     targets, run = stream_run(t)
     suffix = run.pop("_suffix")
-    figures = jobs.late_summary(jobs.progress(t.spark, run))
+    totals = progress.summary(progress.figures(t.spark, f"{targets.root}/progress"))
+    figures = totals.withColumn("query", F.regexp_replace("query", f"{suffix}$", ""))
     kept = [
         jobs.written(t.spark, targets, f"{name}{suffix}").agg(F.count("*").alias("rows_kept")).select(F.lit(name).alias("query"), "rows_kept") for name in run
     ]
@@ -387,21 +390,23 @@ def landed_stream(t: Tables, name: str):
     root = scratch(t.spark, name)
     messages(t).repartitionByRange(4, "offset").write.parquet(f"{root}/landed")
     targets = jobs.Targets(root)
-    run = {"copy": jobs.to_parquet(readers.landed_stream(t.spark, f"{root}/landed", 2), targets, root.rsplit("/", 1)[-1])}
-    jobs.drain(run)
-    return run, t.spark.read.schema(readers.BROKER_SCHEMA).parquet(targets.data(root.rsplit("/", 1)[-1]))
+    with progress.recorded(t.spark, f"{root}/progress", {root.rsplit("/", 1)[-1]}) as log:
+        run = {"copy": jobs.to_parquet(readers.landed_stream(t.spark, f"{root}/landed", 2), targets, root.rsplit("/", 1)[-1])}
+        jobs.drain(run)
+        log.settle(run.values())
+    return targets, run, t.spark.read.schema(readers.BROKER_SCHEMA).parquet(targets.data(root.rsplit("/", 1)[-1]))
 
 
 @query("src_kafka_stream", f"WITH {BASE_SQL} SELECT CAST(user_id % 4 AS INTEGER) AS partition, count(*) AS messages, max(off) AS last_offset FROM msgs GROUP BY 1")
 def src_kafka_stream(t: Tables) -> DataFrame:
     """An unbounded read with bounded micro-batches; landed files stand in for the broker."""
-    _, out = landed_stream(t, "stream-read")
+    _, _, out = landed_stream(t, "stream-read")
     return out.groupBy("partition").agg(F.count("*").alias("messages"), F.max("offset").alias("last_offset"))
 
 
 @query("st_drain_idle", f"WITH {BASE_SQL} SELECT false AS active, count(*) AS rows_in FROM msgs")
 def st_drain_idle(t: Tables) -> DataFrame:
     """A drained query has read everything there was and has stopped by itself."""
-    run, _ = landed_stream(t, "stream-drain")
-    figures = jobs.progress(t.spark, run)
+    targets, run, _ = landed_stream(t, "stream-drain")
+    figures = progress.figures(t.spark, f"{targets.root}/progress")
     return figures.agg(F.sum("rows_in").alias("rows_in")).select(F.lit(run["copy"].isActive).alias("active"), "rows_in")

@@ -18,6 +18,10 @@ from tallyloom.operators.events import cast_valid, classify, clean_events, parse
 from tallyloom.operators.ordered import first_by
 
 
+#: The three sinks of a cleaning run.
+SINKS = ("clean", "quarantine", "late")
+
+
 @dataclass(frozen=True)
 class Targets:
     """Where a cleaning run writes: data and checkpoints below one root."""
@@ -85,7 +89,10 @@ def late_rows(spark: SparkSession, targets: Targets, suffix: str = "") -> DataFr
 
 
 def progress(spark: SparkSession, queries: dict[str, StreamingQuery]) -> DataFrame:
-    """One row per query and micro-batch: rows in, rate, rows dropped behind the watermark."""
+    """A look at the latest batches that each query still remembers: rows in, rate, rows dropped behind the watermark.
+
+    Totals over a whole run come from ``progress.recorded``, which keeps every batch.
+    """
     rows = []
     for name, q in queries.items():
         for p in q.recentProgress:
