@@ -19,6 +19,8 @@ BETWEEN_TERMS = separators([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B,
 _LOWER = fold_table()
 #: Documents and postings of one index row, about.
 ROW_DOCS, ROW_POSTINGS = 1 << 13, 1 << 20
+#: Terms, with repeats, of the documents of a stratum that are indexed in one place.
+PART_TERMS = 1 << 18
 #: Postings that a task holds at once to order the visits to their strata.
 HELD_POSTINGS = 1 << 22
 #: Terms of the items that are asked together; more items go in further blocks.
@@ -76,7 +78,7 @@ def normaliser(n: str, documents: int, terms: int):
 class Stratum:
     """Postings of documents with one normaliser: terms, per term groups of equal count, per group documents in order of id."""
 
-    FIELDS = (("terms", U64), ("term_at", np.uint32), ("tfs", np.uint32), ("group_at", np.uint32), ("docs", np.uint32))
+    FIELDS = (("terms", U64), ("term_at", np.uint32), ("tfs", np.uint32), ("group_at", np.uint32), ("docs", np.uint16))
 
     def __init__(self, m: int, ids: pa.Array, arrays: dict[str, np.ndarray]):
         self.m, self.ids = m, ids
@@ -102,7 +104,7 @@ class Stratum:
             "term_at": np.append(np.searchsorted(group_at, lead), len(group_at)).astype(np.uint32),
             "tfs": tf[group_at].astype(np.uint32),
             "group_at": np.append(group_at, len(term)).astype(np.uint32),
-            "docs": doc[order].astype(np.uint32),
+            "docs": doc[order].astype(np.uint16),
         }
 
     def places(self, vocabulary: np.ndarray) -> np.ndarray:
@@ -134,16 +136,34 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
-def write_index(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", row_docs: int = ROW_DOCS) -> tuple[int, int]:
+def document_lengths(docs: DataFrame, text: str) -> DataFrame:
+    """``n, docs``: how many texts have ``n`` terms; texts without terms are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column("_text")):
+                yield pa.RecordBatch.from_arrays([pa.array(Words(block, BETWEEN_TERMS, hashed=False).counts.astype(np.int64))], names=["n"])
+
+    counts = docs.select(F.col(text).alias("_text")).mapInArrow(work, "n bigint")
+    return counts.filter("n > 0").groupBy("n").agg(F.count("*").alias("docs"))
+
+
+def write_index(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", row_docs: int = ROW_DOCS, part_terms: int = PART_TERMS) -> tuple[int, int]:
     """Writes the strata below ``path``; returns how many documents have a term, and all their terms with repeats.
 
-    Documents are ordered by normaliser with one range shuffle of their term counts; a length that
-    many share is dealt over several tasks and rows.
+    Lengths are counted first, as every normaliser depends on all of them. Then the term counts go to
+    their strata in one shuffle. A stratum of more than ``part_terms`` terms, of long documents or of a
+    length that many share, is dealt over several parts, so parts stay small whatever the texts.
     """
-    counted = frozen(term_counts(docs, doc_id, text), "term-counts")
-    documents, terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lengths = frozen(document_lengths(docs, text), "lengths")
+    documents, terms = lengths.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))).first()
+    stratum = normaliser("n", documents, terms)
+    parts = lengths.groupBy(stratum.alias("m")).agg(F.ceil(F.sum(F.col("n") * F.col("docs")) / part_terms).alias("parts"))
+    counted = term_counts(docs, doc_id, text)
     kind = counted.schema["_id"].dataType.simpleString()
-    ordered = counted.select("_id", normaliser("n", documents, terms).alias("m"), "terms", "tfs", "salt").repartitionByRange("m", "salt").sortWithinPartitions("m", F.col("_id").asc_nulls_last(), "salt")
+    placed = counted.withColumn("m", stratum).join(frozen(parts, "parts"), "m").withColumn("part", F.pmod("salt", "parts"))
+    order = ["m", "part", F.col("_id").asc_nulls_last(), "salt"]
+    ordered = placed.select("_id", "m", "part", "terms", "tfs", "salt").repartition("m", "part").sortWithinPartitions(*order).select("_id", "m", "part", "terms", "tfs")
     names = ["m", "ids", *[f for f, _ in Stratum.FIELDS]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +173,12 @@ def write_index(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
             arrays = Stratum.arrays(held)
             named = pa.chunked_array(ids).combine_chunks()
             whole = [pa.ListArray.from_arrays(pa.array([0, len(named)], pa.int32()), named)]
-            return pa.RecordBatch.from_arrays([pa.array([held_m], pa.int64()), *whole, *[pa.array([arrays[f].tobytes()], pa.binary()) for f, _ in Stratum.FIELDS]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([held_m[0]], pa.int64()), *whole, *[pa.array([arrays[f].tobytes()], pa.binary()) for f, _ in Stratum.FIELDS]], names=names)
 
         for batch in batches:
-            strata, terms_of, tfs_of = batch.column("m").to_pylist(), batch.column("terms"), batch.column("tfs")
+            strata, terms_of, tfs_of = zip(batch.column("m").to_pylist(), batch.column("part").to_pylist()), batch.column("terms"), batch.column("tfs")
             for row, m in enumerate(strata):
-                if held and (m != held_m or len(held) >= row_docs or postings >= ROW_POSTINGS):
+                if held and (m != held_m or len(held) >= min(row_docs, 1 << 16) or postings >= ROW_POSTINGS):
                     yield close()
                     held, ids, postings = [], [], 0
                 term = np.frombuffer(terms_of[row].as_py(), U64)

@@ -157,7 +157,7 @@ def test_ranked_search_against_scoring_everything(spark, small, monkeypatch):
     path = tempfile.mkdtemp(dir="/tmp") + "/index"
     if small:
         monkeypatch.setattr(stratified_index, "ROW_POSTINGS", 60)
-    count, _ = write_index(df, path, row_docs=9 if small else 1 << 13)
+    count, _ = write_index(df, path, row_docs=9 if small else 1 << 13, part_terms=100 if small else 1 << 20)
     options = {"asked_terms": 40, "held_postings": 500} if small else {}
     got = ranked_search(read_index(spark, path), count, asked, k=10, **options).collect()
     different = [r for r in items if r != (55, "T1!")]
