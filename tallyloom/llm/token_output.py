@@ -14,78 +14,137 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bitpacking import bits_for, pack, unpack
-from tallyloom.llm.blocks import text_blocks
+from tallyloom.llm.blocks import SPACES, U64, Block, Words, separators, splitmix, text_blocks
 
-#: Stretches of text whose ids a worker keeps; a full memory is dropped and filled anew.
-REMEMBERED = 500_000
+#: Bytes that a worker remembers, in each of two generations.
+REMEMBERED_BYTES = 64 << 20
+#: Longer stretches, in bytes, are encoded where they stand and not remembered.
+LONGEST = 256
+#: Stretches that one call of the library encodes together.
+TOGETHER = 256
 
+_SPACES = separators(SPACES)
 
-class ChunkIds(dict):
-    """Numbers the stretches between ASCII spaces (no token crosses those) and holds their ids in flat arrays."""
 
-    def __init__(self, path: str):
-        super().__init__()
+class Generation:
+    """Ids of stretches under their 64-bit hashes, in flat arrays."""
+
+    def __init__(self):
+        self.keys, self.start, self.size, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.start, self.size, self.ids))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each of the sorted ``keys``, -1 for unknown ones."""
+        if len(self.keys) == 0:
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Takes up new ``keys``, sorted, whose ids stand one after the other."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(size, ids)`` of the stretches at these places."""
+        size = self.size[at]
+        return size, self.ids[_runs(self.start[at], size)]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class ChunkIds:
+    """Encodes texts by their stretches between ASCII spaces, which no token crosses.
+
+    Stretches are split, hashed and looked up as arrays; only those not known yet reach Python, and
+    the library, many at a time with a special token between them, which splits a text before
+    anything else is done to it. What is known sits in two generations bounded in bytes: when the
+    younger is full it becomes the older, whose place it takes, and what is met again moves into the
+    younger. So a worker's memory does not depend on what texts hold, and frequent stretches stay.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.fresh: list[bytes] = []
-        self.used = 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = number = len(self)
-        self.fresh.append(chunk)
-        return number
-
-    def learn(self) -> None:
-        """Encodes the stretches met since the last call."""
-        if not self.fresh:
-            return
-        texts = [c.decode("utf-8", "replace") for c in self.fresh]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        at = len(self) - len(found)
-        self.start, self.size = _room(self.start, len(self)), _room(self.size, len(self))
-        self.ids = _room(self.ids, self.used + len(flat))
-        self.size[at : len(self)] = sizes
-        self.start[at : len(self)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.fresh = []
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, count per text)``, each text closed by ``end``."""
-        if len(self) > REMEMBERED:
-            self.reset()
-        split = [t.split() for t in texts]
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.__getitem__, (c for s in split for c in s)), np.int64, int(per_text.sum()))
-        self.learn()
-        sizes = self.size[numbers]
+        added = self.tokenizer.get_added_tokens_decoder()
+        # Such tokens are found before a text is normalised and take no space beside them.
+        plain = [(t.content, i) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.between, self.between_id = plain[0] if plain else (None, -1)
+        self.added = [t.content for t in added.values()]
+        self.remembered = remembered
+        self.young, self.old = Generation(), Generation()
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(size, ids)`` of stretches, in their order."""
+        whole = "\n".join(chunks)
+        odd = [a for a in self.added if a in whole]
+        alone = [self.between is None or any(a in c for a in odd) for c in chunks] if odd or self.between is None else [False] * len(chunks)
+        groups: list[list[int]] = []
+        for i in range(len(chunks)):
+            if alone[i] or not groups or len(groups[-1]) >= TOGETHER or alone[groups[-1][0]]:
+                groups.append([])
+            groups[-1].append(i)
+        sizes, found = np.zeros(len(chunks), np.int64), []
+        for lo in range(0, len(groups), 64):
+            part = groups[lo : lo + 64]
+            texts = [(self.between or "").join(chunks[i] for i in g) for g in part]
+            for g, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                if len(g) > 1:
+                    cuts = np.flatnonzero(ids == self.between_id)
+                    sizes[g] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                    ids = ids[ids != self.between_id]
+                else:
+                    sizes[g] = len(ids)
+                found.append(ids)
+        return sizes, np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+    def _keep(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        if len(keys):
+            self.young.add(keys, size, ids)
+        if self.young.nbytes > self.remembered:
+            self.young, self.old = Generation(), self.young
+
+    def encode(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, count per text)`` of a block's texts, each closed by ``end``."""
+        words = Words(block, _SPACES)
+        length = words.end - words.start
+        # The length goes into the hash: stretches are told apart by 64 bits and their size.
+        keys, first, number = np.unique(splitmix(words.hash + length.astype(U64)), return_index=True, return_inverse=True)
+        young = self.young.find(keys)
+        old = np.where(young < 0, self.old.find(keys), -1)
+        here = Generation()
+        for at, source in ((np.flatnonzero(young >= 0), (self.young, young)), (np.flatnonzero(old >= 0), (self.old, old))):
+            here.add(keys[at], *source[0].take(source[1][at]))
+        missing = np.flatnonzero((young < 0) & (old < 0))
+        raw = block.data.tobytes()
+        chunks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[missing]].tolist(), words.end[first[missing]].tolist())]
+        size, ids = self._encoded(chunks)
+        here.add(keys[missing], size, ids)
+        short = length[first[missing]] <= LONGEST
+        again = np.flatnonzero(old >= 0)
+        new = np.concatenate([again, missing[short]])
+        new.sort()
+        self._keep(keys[new], *here.take(new))
+        sizes = here.size[number]
         border = np.concatenate([[0], np.cumsum(sizes)])
-        chunk_end = np.cumsum(per_text)
-        counts = border[chunk_end] - border[chunk_end - per_text]
-        total = int(border[-1])
-        at = np.arange(total) - np.repeat(border[:-1] - self.start[numbers], sizes)
-        out = np.full(total + len(texts), end, np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(len(texts)), counts)] = self.ids[at]
+        counts = border[words.first[1:]] - border[words.first[:-1]]
+        out = np.full(int(border[-1]) + block.rows, end, np.uint32)
+        out[np.arange(int(border[-1])) + np.repeat(np.arange(block.rows), counts)] = here.ids[_runs(here.start[number], sizes)]
         return out, counts + 1
 
 
-def _room(array: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(array):
-        return array
-    return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
-
-
 @lru_cache(maxsize=2)
 def _chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
@@ -114,8 +173,7 @@ def write_blocks(
         shard, base = TaskContext.get().partitionId(), 0
         for batch in batches:
             for block in text_blocks(batch.column("_text"), 1 << 20):
-                raw, offsets = block.data.tobytes(), block.offsets.tolist()
-                ids, counts = coder.encode([raw[a:b] for a, b in zip(offsets, offsets[1:])], end_id)
+                ids, counts = coder.encode(block, end_id)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 row = 0
                 while row < block.rows:

@@ -4,16 +4,19 @@ import collections
 import hashlib
 import math
 import random
+import tempfile
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import jaccard
 from tallyloom.llm.automaton_dedup import automaton_dedup
+from tallyloom.llm.blocks import text_blocks
 from tallyloom.llm.bitpacking import bits_for, pack, unpack
 from tallyloom.llm.decontamination import contamination, words_covered
 from tallyloom.llm.language_model import context_tree_scores
@@ -21,7 +24,7 @@ from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.quality import learn_quality, quality_score
 from tallyloom.llm.suffix_dedup import suffix_dedup
 from tallyloom.llm.token_counts import token_counts
-from tallyloom.llm.token_output import token_output
+from tallyloom.llm.token_output import ChunkIds, token_output
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, _id string, _key string, _text string, row string, size int, n long, source string"
@@ -327,3 +330,27 @@ def test_quality_learns_from_positives_and_unlabelled_texts(spark):
     assert all(0 <= p <= 1 for p in scores.values())
     unknown = learn_quality(frame(spark, []), labels.limit(0), learn=lambda c: F.lit(True))
     assert {r.p for r in df.limit(3).select(quality_score(unknown, "text").alias("p")).collect()} == {0.5}
+
+
+def test_token_memory_is_bounded_by_bytes():
+    """Long texts without spaces, as in Chinese or base64, are encoded and forgotten; frequent stretches outlive a generation."""
+    rng = random.Random(6)
+    coder = ChunkIds(VOCABULARY, remembered=4 << 20)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    for turn in range(40):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)), " ".join(f"w{rng.randrange(10**9)}" for _ in range(3000)) + " frequent <|endoftext|>x"]
+        for block in text_blocks(pa.array(texts)):
+            ids, counts = coder.encode(block, 1)
+            want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[block.row0 : block.row0 + block.rows]]
+            assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+        assert coder.young.nbytes <= 4 << 20 and coder.old.nbytes <= 5 << 20
+    assert 0 < len(coder.old.keys) < 120_000
+
+
+def test_token_output_of_many_long_texts_without_spaces(spark):
+    rng = random.Random(12)
+    texts = [(i, "".join(chr(rng.randrange(0x3040, 0x30FF)) for _ in range(2000)) * 17) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r.n_tokens for r in token_output(df, tempfile.mkdtemp(dir="/tmp") + "/t", tokenizer=VOCABULARY, vocabulary=49_408, end_id=1).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts}
