@@ -7,6 +7,7 @@ on a stream alike. Broker input has the columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -188,14 +189,18 @@ def clean_events(
     watermark: str = "3 days",
     event_types: tuple[str, ...] = EVENT_TYPES,
     quarantined_at: Column | None = None,
+    unique: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Cleaned:
-    """The whole cleaning job; ``late`` is set for streams only."""
+    """The whole cleaning job; ``late`` is set for streams only.
+
+    ``unique`` replaces ``dedupe`` for the typed rows, see ``streaming.dedupe``.
+    """
     valid, rejected = split(classify(parse(messages), event_types))
     typed, late = cast_valid(valid), None
     if messages.isStreaming:
         typed, late = split_late(typed, watermark)
-    unique = dedupe(typed, ["event_id"], ["kafka_partition", "kafka_offset"], watermark)
-    clean = enrich(unique, dim_items).withColumn("event_date", F.to_date("event_time")).select(*CLEAN_COLUMNS)
+    once = unique(typed) if unique else dedupe(typed, ["event_id"], ["kafka_partition", "kafka_offset"], watermark)
+    clean = enrich(once, dim_items).withColumn("event_date", F.to_date("event_time")).select(*CLEAN_COLUMNS)
     return Cleaned(clean, quarantine(rejected, quarantined_at), late)
 
 

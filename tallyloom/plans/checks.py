@@ -275,7 +275,7 @@ def land(t: Tables, root: str) -> None:
 FILES_PER_LANDING = 2
 
 
-def stream_run(t: Tables) -> tuple[jobs.Targets, dict]:
+def stream_run(t: Tables, by_partition: bool = False) -> tuple[jobs.Targets, dict]:
     """Lands the messages with one lagging partition, cleans them as a stream with the default watermark, recovers what it dropped."""
     root = scratch(t.spark, "stream")
     land(t, root)
@@ -285,7 +285,7 @@ def stream_run(t: Tables) -> tuple[jobs.Targets, dict]:
     items_path = f"{root}/items"
     dim_items(t).write.parquet(items_path)
     with progress.recorded(t.spark, f"{root}/progress", {f"{name}{suffix}" for name in jobs.SINKS}) as log:
-        running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, suffix=suffix)
+        running = jobs.start_cleaning(stream, t.spark.read.parquet(items_path), targets, suffix=suffix, by_partition=by_partition)
         jobs.drain(running)
         log.settle(running.values())
     jobs.recover_dropped(readers.landed_batch(t.spark, f"{root}/landed"), targets, suffix)
@@ -338,6 +338,17 @@ def st_watermark_dedupe(t: Tables) -> DataFrame:
     return out.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"))
 
 
+@query("st_partition_dedupe", f"WITH {CLEAN_SQL} SELECT kafka_partition, count(*) AS rows, count(DISTINCT event_id) AS ids, 0 AS rows_recovered FROM clean GROUP BY 1")
+def st_partition_dedupe(t: Tables) -> DataFrame:
+    """A watermark per broker partition: the lagging one keeps all its rows in the stream itself."""
+    targets, run = stream_run(t, by_partition=True)
+    suffix = run["_suffix"]
+    out = jobs.written(t.spark, targets, f"clean{suffix}").groupBy("kafka_partition")
+    lost = jobs.late_rows(t.spark, targets, suffix).groupBy("kafka_partition").agg(F.count("*").cast("int").alias("lost"))
+    kept = out.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids")).join(lost, "kafka_partition", "left")
+    return kept.select("kafka_partition", "rows", "ids", F.coalesce("lost", F.lit(0)).alias("rows_recovered"))
+
+
 @query("st_static_enrich", f"""WITH {CLEAN_SQL} SELECT root_category_id, count(*) AS events FROM clean GROUP BY 1""")
 def st_static_enrich(t: Tables) -> DataFrame:
     targets, run = stream_run(t)

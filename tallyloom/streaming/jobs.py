@@ -8,6 +8,7 @@ get a third.
 from __future__ import annotations
 
 import json
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyloom.operators.events import cast_valid, classify, clean_events, parse, split
 from tallyloom.operators.ordered import first_by
+from tallyloom.streaming.dedupe import dedupe_by_partition, with_state_store
 
 
 #: The three sinks of a cleaning run.
@@ -49,12 +51,18 @@ def to_parquet(df: DataFrame, targets: Targets, name: str, partition: str | None
 
 
 def start_cleaning(
-    messages: DataFrame, dim_items: DataFrame, targets: Targets, watermark: str = "3 days", suffix: str = ""
+    messages: DataFrame, dim_items: DataFrame, targets: Targets, watermark: str = "3 days", suffix: str = "", by_partition: bool = False
 ) -> dict[str, StreamingQuery]:
-    """Starts the clean, quarantine and late queries over one stream of messages."""
-    parts = clean_events(messages, dim_items, watermark=watermark)
+    """Starts the clean, quarantine and late queries over one stream of messages.
+
+    ``by_partition`` gives each broker partition a watermark of its own, so one that lags loses nothing.
+    """
+    unique = (lambda typed: dedupe_by_partition(typed, "event_id", delay=watermark)) if by_partition else None
+    parts = clean_events(messages, dim_items, watermark=watermark, unique=unique)
+    with with_state_store(messages.sparkSession) if by_partition else nullcontext():
+        clean = to_parquet(parts.clean, targets, f"clean{suffix}", "event_date")
     return {
-        "clean": to_parquet(parts.clean, targets, f"clean{suffix}", "event_date"),
+        "clean": clean,
         "quarantine": to_parquet(parts.quarantined, targets, f"quarantine{suffix}"),
         "late": to_parquet(parts.late, targets, f"late{suffix}"),
     }
