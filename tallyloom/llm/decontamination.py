@@ -82,7 +82,7 @@ def _scan(table: DataFrame, span: int, k: int, lengths: list[int], pad: int, who
                     names=["_id", "_key", "n_words", "prints"],
                 )
 
-    return table.mapInArrow(work, f"_id {kind}, _key int, n_words bigint, prints array<{_PRINT}>")
+    return table.mapInArrow(work, f"_id {kind}, _key bigint, n_words bigint, prints array<{_PRINT}>")
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
@@ -129,7 +129,7 @@ def contamination(
     """
 
     def keyed(table: DataFrame, name: str) -> DataFrame:
-        return table.select(F.col(name).alias("_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.col(text).alias("_text"))
+        return table.select(F.col(name).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.col(text).alias("_text"))
 
     reach = span - k
     tests = frozen(_scan(keyed(items, item_id), span, k, list(range(1, span)), 2, True, None), "test-prints")

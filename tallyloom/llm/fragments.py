@@ -8,7 +8,7 @@ representative before any text moves, so a group of copies, however large, ships
 Only distinct fragments around a repeated anchor need a closer look; ``op2`` and ``op10`` give it
 with suffix arrays and suffix automata.
 
-A document is known by its id and a 32-bit hash of its text, so repeated ids stay apart; rows
+A document is known by its id and a 64-bit hash of its text, so repeated ids stay apart; rows
 equal in both are one document. Ids may be of any orderable type.
 """
 
@@ -35,7 +35,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``_id, _key, _text``: all an operator needs; other columns cannot clash."""
     return docs.select(
         F.col(doc_id).alias("_id"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
         F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"),
     )
 
@@ -49,6 +49,7 @@ def _units(block: Block, unit: str) -> tuple[Rolling, np.ndarray, int]:
 
 def anchors(source: DataFrame, unit: str, span: int, k: int) -> DataFrame:
     """``_id, _key, lo, hi, anchor, fragment`` per run of windows of ``keyed`` texts."""
+    k = min(k, span)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +70,7 @@ def anchors(source: DataFrame, unit: str, span: int, k: int) -> DataFrame:
                 )
 
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"_id {kind}, _key int, lo int, hi int, anchor bigint, fragment bigint")
+    return source.mapInArrow(work, f"_id {kind}, _key bigint, lo int, hi int, anchor bigint, fragment bigint")
 
 
 def repeated(runs: DataFrame) -> DataFrame:

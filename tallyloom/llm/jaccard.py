@@ -69,7 +69,7 @@ def _describe(source: DataFrame, n: int) -> DataFrame:
                     names=["_id", "_key", "_ref", "n", "n_first", "c1", "c2"],
                 )
 
-    return source.mapInArrow(work, f"_id {kind}, _key int, _ref bigint, n bigint, n_first bigint, c1 bigint, c2 bigint")
+    return source.mapInArrow(work, f"_id {kind}, _key bigint, _ref bigint, n bigint, n_first bigint, c1 bigint, c2 bigint")
 
 
 def _five(values: np.ndarray) -> bytes:
@@ -235,7 +235,7 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
-        F.col(doc_id).alias("_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.col(text).alias("_text")
+        F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.col(text).alias("_text")
     ).withColumn("_ref", F.xxhash64("_id", "_key"))
     described = frozen(_describe(source, words), "sets")
     repeats = _repeats(source, words, parts)

@@ -233,7 +233,7 @@ def _scored(source: DataFrame, heavy, spark) -> DataFrame:
 
     return source.mapInArrow(
         work,
-        f"_id {kind_of_id}, _key int, _train boolean, n_bytes bigint, n_words bigint, known bigint, base double, score double, "
+        f"_id {kind_of_id}, _key bigint, _train boolean, n_bytes bigint, n_words bigint, known bigint, base double, score double, "
         "tail array<struct<kind: int, key: bigint, n: bigint>>",
     )
 
@@ -265,7 +265,7 @@ def context_tree_scores(
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
         F.col(doc_id).alias("_id"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"),
         F.coalesce(train, F.lit(False)).alias("_train"),
         F.col(text).alias("_text"),
     )

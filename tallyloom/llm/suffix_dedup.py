@@ -108,7 +108,7 @@ def duplicate_spans(
     wanted = distinct.select("rep.*", "anchor", "copies", "around").withColumn("upto", F.col("hi") + span).drop("hi")
     pieces = frozen(fr.cut(source, wanted, "bytes", ["anchor", "copies", "around"]), "pieces")
     cold = pieces.filter(F.col("around") <= group_limit)
-    schema = f"_id {kind}, _key int, start int, stop int"
+    schema = f"_id {kind}, _key bigint, start int, stop int"
     spans = whole.unionByName(
         fr.grouped(cold, "anchor", ["_id", "_key", "lo"], lambda c: _factor_spans(c, span, keep), schema, SORT_BYTES)
     )
@@ -116,7 +116,7 @@ def duplicate_spans(
     if not crowded.isEmpty():
         # Too many different surroundings for one task: their windows are counted one by one, combined before the shuffle.
         rows = crowded.select("_id", "_key", "lo", "bytes")
-        windows = frozen(rows.mapInArrow(_window_rows(span), f"_id {kind}, _key int, start int, window bigint"), "windows")
+        windows = frozen(rows.mapInArrow(_window_rows(span), f"_id {kind}, _key bigint, start int, window bigint"), "windows")
         here = F.struct("_id", "_key", "start")
         seen = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(here).alias("rep")).filter("n > 1")
         hits = windows.join(seen.drop("n"), "window")

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tallyloom.llm import jaccard
 from tallyloom.llm.automaton_dedup import automaton_dedup
 from tallyloom.llm.blocks import text_blocks
@@ -354,3 +355,34 @@ def test_token_output_of_many_long_texts_without_spaces(spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     got = {r.doc_id: r.n_tokens for r in token_output(df, tempfile.mkdtemp(dir="/tmp") + "/t", tokenizer=VOCABULARY, vocabulary=49_408, end_id=1).collect()}
     assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts}
+
+
+@pytest.fixture(scope="module")
+def colliding(spark):
+    """Two different texts of over 200 bytes that a 32-bit hash takes for one."""
+    text = F.concat_ws(" ", *[F.sha2(F.concat(F.lit(f"{j}:"), F.col("id").cast("string")), 256) for j in range(5)])
+    pairs = spark.range(500_000).select(text.alias("text")).groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b")
+    return tuple(pairs.orderBy("h").select("a", "b").first())
+
+
+def test_texts_with_equal_short_hashes_stay_apart(spark, colliding):
+    a, b = colliding
+    other = " ".join(f"word{i}" for i in range(80))
+    docs = [(None, a), (None, b), (None, other), (1, a), (1, b), (2, a)]
+    df = frame(spark, docs)
+    removed = {(r.doc_id, r.kept.decode() if r.kept else ""): len(r.removed) for r in suffix_dedup(df, span=200).collect()}
+    assert removed[None, other] == 0 and (1, "") in removed and sum(n == 0 for n in removed.values()) == 1
+    lone = frame(spark, [(1, a), (1, b), (2, a)])
+    kept = sorted((r.doc_id, bytes(r.kept).decode()) for r in suffix_dedup(lone, span=200).collect())
+    assert kept == [(1, ""), (1, b), (2, "")]
+    gone = sorted((r.doc_id, bytes(r.kept).decode()) for r in automaton_dedup(lone, span=3).collect())
+    assert gone == sorted([(1, a), (1, b), (2, "")])
+    few = frame(spark, [(None, a), (None, b), (None, other)])
+    assert len({r.component_id for r in jaccard.similarity_classes(few.withColumn("doc_id", F.when(F.col("text") == other, 9).otherwise(F.lit(None).cast("long"))), words=5, percent=75).collect()}) == 2
+    docs3 = few.withColumns({"lang": F.lit("en")})
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, docs3, None).collect()) == sorted([a, b, other])
+    bench = spark.createDataFrame([(7, " ".join(other.split()[5:30]))], "item_id long, text string")
+    assert sorted((r.n_words, len(r.hits) > 0) for r in contamination(few, bench, span=10).collect()) == [(5, False), (5, False), (80, True)]
+    assert {r.text for r in corpus_pipeline.decontaminate(spark, docs3, "/root/testdata/sf0.001").collect()} == {a, b, other}
+    scores = context_tree_scores(lone, train=F.lit(True)).collect()
+    assert len(scores) == 3 and len({(r.doc_id, round(r.score, 6)) for r in scores}) == 3
