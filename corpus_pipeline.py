@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Whole rows packed beside what names a document, so that no column of ``docs`` can clash."""
-    text_hash = F.hash(F.coalesce(F.col("text"), F.lit("")))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), text_hash.alias("_hash"))
 
 
