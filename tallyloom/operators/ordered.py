@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 KINDS = ("sum", "max", "min", "last")
 
 
-def _carry_frame(keys: list[str], bucket: str, before: bool = True):
-    spec = Window.partitionBy(*keys).orderBy(bucket)
-    return spec.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+def _carry_frame(keys: list[str], bucket: str, backward: bool = False):
+    spec = Window.partitionBy(*keys).orderBy(F.col(bucket).desc() if backward else F.col(bucket).asc())
+    return spec.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
@@ -30,15 +30,17 @@ def running(
     order: list[str],
     aggs: dict[str, tuple[str, str]],
     inclusive: bool = True,
+    backward: bool = False,
 ) -> DataFrame:
     """Running aggregates per key in ``order``, computed bucket by bucket.
 
     ``bucket`` is a column that grows with ``order`` and bounds the rows a task
     sorts (a day, a block of offsets). ``aggs`` maps an output name to
     ``(kind, column)`` with kind ``sum``, ``max``, ``min`` or ``last`` (the last
-    non-null value). ``inclusive=False`` leaves the current row out.
+    non-null value). ``inclusive=False`` leaves the current row out. ``backward`` runs from the
+    end, so that ``last`` is the next known value.
     """
-    local = Window.partitionBy(*keys, bucket).orderBy(*order)
+    local = Window.partitionBy(*keys, bucket).orderBy(*[F.col(c).desc() if backward else F.col(c).asc() for c in order])
     local = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     position = F.struct(*order)
 
@@ -49,11 +51,11 @@ def running(
 
     def bucket_value(kind: str, name: str) -> Column:
         if kind == "last":
-            return F.max_by(name, F.when(F.col(name).isNotNull(), position))
+            return (F.min_by if backward else F.max_by)(name, F.when(F.col(name).isNotNull(), position))
         return getattr(F, kind)(name)
 
     def carried(kind: str, name: str) -> Column:
-        frame = _carry_frame(keys, bucket)
+        frame = _carry_frame(keys, bucket, backward)
         return F.last(name, ignorenulls=True).over(frame) if kind == "last" else getattr(F, kind)(name).over(frame)
 
     summary = df.groupBy(*keys, bucket).agg(
@@ -78,6 +80,54 @@ def running(
     return done.drop(*[f"_{p}_{out}" for out in aggs for p in "lc"])
 
 
+#: Consecutive rows that one fold goes over.
+FOLD = 64
+
+
+def affine_scan(df: DataFrame, *, keys: list[str], position: str, a: str, b: str, out: str, fold: int = FOLD) -> DataFrame:
+    """Adds ``out``, the state ``y = a * y + b`` after each row of a key, ``y`` being 0 before the first.
+
+    ``position`` counts each key's rows from 0 without gaps. Maps compose: ``fold`` consecutive rows
+    are one map, so many of these one more, and so on; every level is grouped by key and block, never
+    by key alone, and the state before a block comes back down the same way. Nothing is divided, so
+    maps may be zero and may die out. The levels are as many as the longest key asks for.
+    """
+    last = df.agg(F.max(position)).first()[0]
+    rest = [c for c in df.columns if c not in (*keys, position, a, b)]
+    rows = df.select(
+        *keys, F.col(position).cast("long").alias("_i"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"),
+        F.struct(*[F.col(f"`{c}`") for c in (*rest, position, a, b)]).alias("_row"),
+    )
+    done = _scan(rows, keys, int(last or 0), fold)
+    return done.select(*keys, "_row.*", F.col("_after").alias(out)).select(*df.columns, out)
+
+
+def _scan(rows: DataFrame, keys: list[str], last: int, fold: int) -> DataFrame:
+    """``rows`` with ``_before`` and ``_after``, the states around each."""
+    blocks = rows.groupBy(*keys, F.floor(F.col("_i") / fold).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_i", F.struct("_a", "_b", "_row").alias("_m")))).alias("_m"))
+    if last >= fold:
+        one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+        whole = F.aggregate("_m", one, lambda y, x: F.struct((y["a"] * x["_m"]["_a"]).alias("a"), (x["_m"]["_a"] * y["b"] + x["_m"]["_b"]).alias("b")))
+        maps = blocks.select(*keys, "_block", whole.alias("_w"))
+        above = maps.select(*keys, F.col("_block").alias("_i"), F.col("_w.a").alias("_a"), F.col("_w.b").alias("_b"), F.struct(F.lit(0)).alias("_row"))
+        states = _scan(above, keys, last // fold, fold).select(*keys, F.col("_i").alias("_block"), "_before")
+        blocks = blocks.join(states, [*keys, "_block"])
+    else:
+        blocks = blocks.withColumn("_before", F.lit(0.0))
+    start = F.struct(F.col("_before").alias("y"), F.array().cast("array<double>").alias("all"))
+
+    def step(s: Column, x: Column) -> Column:
+        y = x["_m"]["_a"] * s["y"] + x["_m"]["_b"]
+        return F.struct(y.alias("y"), F.concat(s["all"], F.array(y)).alias("all"))
+
+    after = F.aggregate("_m", start, step, lambda s: s["all"])
+    states = blocks.select(*keys, "_before", "_m", after.alias("_y"))
+    each = states.select(*keys, F.concat(F.array("_before"), "_y").alias("_s"), F.posexplode("_m").alias("_at", "_one"))
+    return each.select(
+        *keys, F.col("_one._i").alias("_i"), F.col("_one._m._row").alias("_row"), F.get("_s", F.col("_at")).alias("_before"), F.get("_s", F.col("_at") + 1).alias("_after")
+    )
+
+
 def range_bucket(df: DataFrame, value: str, n_buckets: int = 64, relative_error: float = 0.005) -> Column:
     """A bucket expression that cuts ``value`` into ranges of similar row count.
 

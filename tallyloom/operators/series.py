@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import first_by
+from tallyloom.operators.ordered import affine_scan, first_by, running
 
 
 def to_series(df: DataFrame, keys: list[str], ts: str, grain: str, aggs: dict[str, Column], out: str = "ts") -> DataFrame:
@@ -114,49 +114,70 @@ def every_nth(df: DataFrame, *, keys: list[str], order: str, n: int) -> DataFram
     return df.withColumn("_rn", F.row_number().over(_w(keys, order))).filter(F.col("_rn") % n == 1).drop("_rn")
 
 
-def fill_forward_back(df: DataFrame, *, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """Last known value, else the next known one."""
-    back = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _w(keys, order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns(
-        {v: F.coalesce(F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(ahead)) for v in values}
-    )
+#: Ticks of a series that one task sorts.
+BUCKET_TICKS = 4096
 
 
-def interpolate_time(df: DataFrame, *, keys: list[str], order: str, value: str) -> DataFrame:
-    """Fills inner gaps linearly in time; leading gaps stay, trailing ones carry the last value."""
-    back = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _w(keys, order).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col("_t"))
-    marked = df.withColumn("_t", F.unix_micros(F.col(order).cast("timestamp")))
-    marked = marked.withColumns(
-        {
-            "_v0": F.last(value, ignorenulls=True).over(back),
-            "_t0": F.last(at, ignorenulls=True).over(back),
-            "_v1": F.first(value, ignorenulls=True).over(ahead),
-            "_t1": F.first(at, ignorenulls=True).over(ahead),
-        }
-    )
-    share = F.try_divide(F.col("_t") - F.col("_t0"), F.col("_t1") - F.col("_t0"))
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share
-    filled = F.coalesce(F.col(value), between, F.col("_v0"))
-    return marked.withColumn(value, filled).drop("_t", "_v0", "_t0", "_v1", "_t1")
+def time_bucket(order: str, kind: str, ticks: int = BUCKET_TICKS) -> Column:
+    """Consecutive ranges of a date, timestamp or number: ``ticks`` days, hours or units each."""
+    if kind == "date":
+        return F.floor(F.unix_date(order) / ticks)
+    if kind.startswith("timestamp"):
+        return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / (3600 * ticks))
+    return F.floor(F.col(order) / ticks)
 
 
-def ewm(df: DataFrame, *, keys: list[str], order: str, value: str, span: int, out: str) -> DataFrame:
-    """Recursive exponential smoothing, weight ``2 / (span + 1)``, started at the first value.
+def _bucketed(df: DataFrame, keys: list[str], order: str, ticks: int) -> DataFrame:
+    if not keys:
+        raise ValueError("a time-series operator needs at least one key column")
+    return df.withColumn("_bucket", time_bucket(order, dict(df.dtypes)[order], ticks))
 
-    One key's ticks form one group, which is linear in the ticks. A null carries the smoothed
-    value on, and the weight of what lies before it goes on decaying.
-    """
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + f", `{value}` double, `{out}` double"
 
-    def smooth(ticks: pd.DataFrame) -> pd.DataFrame:
-        ticks = ticks.sort_values(order)
-        return ticks.assign(**{out: ticks[value].ewm(span=span, adjust=False).mean()})
+def fill_forward_back(df: DataFrame, *, keys: list[str], order: str, values: list[str], ticks: int = BUCKET_TICKS) -> DataFrame:
+    """Last known value, else the next known one; a long series is carried bucket by bucket, both ways."""
+    how = {"keys": keys, "bucket": "_bucket", "order": [order]}
+    known = running(_bucketed(df, keys, order, ticks), aggs={f"_f_{v}": ("last", v) for v in values}, **how)
+    known = running(known, aggs={f"_n_{v}": ("last", v) for v in values}, backward=True, **how)
+    return known.select(*[F.coalesce(f"_f_{c}", f"_n_{c}").alias(c) if c in values else F.col(c) for c in df.columns])
 
-    return df.select(*keys, order, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(smooth, schema)
+
+def interpolate_time(df: DataFrame, *, keys: list[str], order: str, value: str, ticks: int = BUCKET_TICKS) -> DataFrame:
+    """Fills inner gaps linearly in time; leading gaps stay, trailing ones carry the last value.
+
+    The known point before each tick is carried forward and the one after it backward, bucket by bucket.
+    """
+    marked = _bucketed(df, keys, order, ticks).withColumn("_t", F.unix_micros(F.col(order).cast("timestamp")))
+    marked = marked.withColumn("_known", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_t").alias("t"))))
+    how = {"keys": keys, "bucket": "_bucket", "order": [order]}
+    marked = running(marked, aggs={"_p": ("last", "_known")}, **how)
+    marked = running(marked, aggs={"_n": ("last", "_known")}, backward=True, **how)
+    share = F.try_divide(F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_p.t"))
+    between = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share
+    filled = F.coalesce(F.col(value), between, F.col("_p.v"))
+    return marked.select(*[filled.alias(c) if c == value else F.col(c) for c in df.columns])
+
+
+def ewm(df: DataFrame, *, keys: list[str], order: str, value: str, span: int, out: str, ticks: int = BUCKET_TICKS) -> DataFrame:
+    """Recursive exponential smoothing, weight ``2 / (span + 1)``, started at the first value.
+
+    A step is an affine map of the smoothed value, and maps compose (``ordered.affine_scan``), so no
+    task holds a whole series. A null carries the smoothed value on, and the weight of what lies
+    before it goes on decaying. Ticks must not repeat within a key.
+    """
+    alpha = 2.0 / (span + 1)
+    how = {"keys": keys, "order": [order]}
+    rows = _bucketed(df.select(*keys, order, F.col(value).cast("double").alias(value)), keys, order, ticks).withColumn("_one", F.lit(1))
+    rows = running(rows, bucket="_bucket", aggs={"_pos": ("sum", "_one")}, **how).withColumn("_bucket", F.floor(F.col("_pos") / ticks))
+    rows = rows.withColumn("_at", F.when(F.col(value).isNotNull(), F.col("_pos")))
+    rows = running(rows, bucket="_bucket", aggs={"_was": ("last", "_at")}, inclusive=False, **how)
+    # What lies before weighs as many steps as have passed since the last known value.
+    before = F.pow(F.lit(1 - alpha), F.col("_pos") - F.col("_was"))
+    known, first = F.col(value).isNotNull(), F.col("_was").isNull()
+    a = F.when(known & ~first, before / (before + alpha)).otherwise(F.lit(1.0))
+    b = F.when(known & first, F.col(value)).when(known, F.col(value) * alpha / (before + alpha)).otherwise(F.lit(0.0))
+    rows = rows.select(*keys, order, value, (F.col("_pos") - 1).alias("_pos"), (~first | known).alias("_begun"), a.alias("_map"), b.alias("_add"))
+    done = affine_scan(rows, keys=keys, position="_pos", a="_map", b="_add", out="_state")
+    return done.select(*keys, order, value, F.when(F.col("_begun"), F.col("_state")).alias(out))
 
 
 def temporal_split(df: DataFrame, ts: str, months: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -228,20 +249,34 @@ def cross_z(df: DataFrame, *, date: str, value: str, out: str = "z") -> DataFram
     return df.join(stats, date).withColumn(out, z).drop("_mu", "_sd")
 
 
+def asof_join(
+    left: DataFrame, right: DataFrame, *, keys: list[str], left_on: str, right_on: str, prefix: str = "asof_", ticks: int = BUCKET_TICKS
+) -> DataFrame:
+    """Every row of ``left`` with the columns of the latest ``right`` row of its key that is not after it.
+
+    Both sides are laid into one order per key and the right row is carried along it, bucket by bucket,
+    so neither a hot key nor a long history is gathered, and rows are never paired. Columns of the right
+    side are prefixed and null where nothing precedes. Of right rows at one time the largest, column by
+    column, counts. Rows whose time is null match nothing; null keys match each other.
+    """
+    kind = dict(left.dtypes)[left_on]
+    columns = [c for c in right.columns if c not in keys]
+    key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    there = right.filter(F.col(right_on).isNotNull())
+    there = there.select(*key, F.col(right_on).cast(kind).alias("_time"), F.lit(0).alias("_side"), F.struct(*columns).alias("_right"), F.lit(None).cast(left.schema.simpleString()).alias("_left"))
+    here = left.select(*key, F.col(left_on).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(there.schema["_right"].dataType).alias("_right"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"))
+    ordered_rows = there.unionByName(here).withColumns({"_bucket": F.coalesce(time_bucket("_time", kind, ticks), F.lit(-1 << 62)), **{f"_k{i}": F.struct(f"_k{i}") for i in range(len(keys))}})
+    carried = running(ordered_rows, keys=[f"_k{i}" for i in range(len(keys))], bucket="_bucket", order=["_time", "_side", "_right"], aggs={"_match": ("last", "_right")})
+    return carried.filter("_side = 1").select("_left.*", *[F.col(f"_match.{c}").alias(f"{prefix}{c}") for c in columns])
+
+
 def asof_dates(dates: DataFrame, known: DataFrame, date: str, known_date: str) -> DataFrame:
     """For each date the latest ``known_date`` not after it.
 
-    Works on distinct calendar dates, of which there are few by nature.
+    Works on distinct calendar dates, carried from month to month.
     """
-    rows = (
-        dates.select(F.col(date).alias("_d"), F.lit(None).cast("date").alias("_k"))
-        .distinct()
-        .unionByName(known.select(F.col(known_date).alias("_d"), F.col(known_date).alias("_k")).distinct())
-    )
-    spec = Window.partitionBy(F.lit(0)).orderBy("_d", F.col("_k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    merged = rows.groupBy("_d").agg(F.max("_k").alias("_k"), F.count_if(F.col("_k").isNull()).alias("_asked"))
-    matched = merged.withColumn("_k", F.last("_k", ignorenulls=True).over(spec)).filter("_asked > 0")
-    return matched.select(F.col("_d").alias(date), F.col("_k").alias(known_date))
+    asked, there = dates.select(date).distinct(), known.select(known_date).distinct()
+    return asof_join(asked, there, keys=[], left_on=date, right_on=known_date, prefix="", ticks=31)
 
 
 def ar1(df: DataFrame, *, keys: list[str], order: str, value: str) -> DataFrame:

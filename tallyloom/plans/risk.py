@@ -325,6 +325,16 @@ def join_asof_prior(t: Tables) -> DataFrame:
     return series.asof_dates(previous, known, "prev_date", "score_date").filter("score_date is not null")
 
 
+@query("join_asof_keyed", """SELECT p.event_id, p.user_id, p.ts, c.ts AS click_ts, c.event_id AS click_id
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (
+  SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def join_asof_keyed(t: Tables) -> DataFrame:
+    """Every purchase with the user's latest click before it."""
+    purchases = t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = t.events.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("id"))
+    return series.asof_join(purchases, clicks, keys=["user_id"], left_on="ts", right_on="ts", prefix="click_")
+
+
 @query("sentiment_factor", f"""WITH {ASOF_SQL}, c AS (SELECT pl.date, ur.ticker, z, ret, row_number() OVER (PARTITION BY pl.date ORDER BY z, ur.ticker) AS r,
   count(*) OVER (PARTITION BY pl.date) AS n FROM pl JOIN dz ON dz.date = pl.score_date JOIN ur ON ur.date = pl.date AND ur.ticker = dz.ticker),
 fx AS (SELECT date, max(n) AS names, CASE WHEN max(n) < 10 THEN 0 ELSE round(avg(CASE WHEN r > n - n // 5 THEN ret END) - avg(CASE WHEN r <= n // 5 THEN ret END), 7) END AS factor

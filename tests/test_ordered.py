@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,3 +80,61 @@ def test_top_and_first_are_limited_before_the_shuffle(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     plan = ordered.first_by(df, ["k"], [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_affine_scan_against_a_loop(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.choice([1.0, 0.5, 0.0, -0.3, 1e-200, 2.0]), rng.choice([0.0, 1.5, -2.0])) for k, n in (("hot", 900), ("b", 64), ("c", 1), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double").withColumn("extra", F.lit("x"))
+    df = df.filter("k is not null")
+    for fold in (4, 64):
+        got = {(r.k, r.i): r.y for r in ordered.affine_scan(df, keys=["k"], position="i", a="a", b="b", out="y", fold=fold).collect()}
+        for k in ("hot", "b", "c"):
+            y = 0.0
+            for _, i, a, b in (r for r in rows if r[0] == k):
+                y = a * y + b
+                assert got[k, i] == pytest.approx(y, rel=1e-12, abs=1e-300)
+    assert ordered.affine_scan(df.limit(0), keys=["k"], position="i", a="a", b="b", out="y").count() == 0
+
+
+def hours(spark, rows):
+    return spark.createDataFrame(rows, "k string, h int, v double").select("k", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "v", "h")
+
+
+def test_series_operators_agree_with_pandas_over_many_buckets(spark):
+    rng = random.Random(8)
+    rows = [(k, h * step, None if rng.random() < 0.4 else rng.uniform(-9, 9)) for k, n, step in (("hot", 400, 1), ("gaps", 60, 7), ("none", 3, 1)) for h in range(n)]
+    rows = [(k, h, None if k == "none" else v) for k, h, v in rows]
+    df = hours(spark, rows)
+    want = pd.DataFrame(rows, columns=["k", "h", "v"]).astype({"v": float})
+    by = want.groupby("k").v
+    want["fill"] = by.transform(lambda v: v.ffill().bfill())
+    want["smooth"] = by.transform(lambda v: v.ewm(span=5, adjust=False).mean())
+    want["line"] = [x for _, g in want.groupby("k", sort=False) for x in pd.Series(g.v.to_numpy(), index=g.h.to_numpy()).interpolate("index").to_numpy()]
+    for ticks in (16, 4096):
+        how = {"keys": ["k"], "order": "ts", "ticks": ticks}
+        got = series.fill_forward_back(df, values=["v"], **how).select("k", "h", F.col("v").alias("fill"))
+        got = got.join(series.interpolate_time(df, value="v", **how).select("k", "h", F.col("v").alias("line")), ["k", "h"])
+        smooth = series.ewm(df, value="v", span=5, out="smooth", **how).select("k", (F.unix_seconds("ts") / 3600).cast("int").alias("h"), "smooth")
+        both = got.join(smooth, ["k", "h"]).toPandas().merge(want, on=["k", "h"], suffixes=("", "_w"))
+        assert len(both) == len(rows)
+        for c in ("fill", "line", "smooth"):
+            np.testing.assert_allclose(both[c].astype(float), both[f"{c}_w"], rtol=1e-9, equal_nan=True)
+    plan = series.ewm(df, keys=["k"], order="ts", value="v", span=5, out="s")._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_asof_join_with_a_hot_key(spark):
+    rng = random.Random(4)
+    quotes = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(200), i) for i in range(150)] + [("a", None, 999)]
+    trades = [(rng.choice(["hot", "hot", "a", "b", None]), rng.randrange(-5, 210), f"t{i}") for i in range(120)] + [("a", None, "t-null")]
+    left = spark.createDataFrame(trades, "k string, at int, name string")
+    right = spark.createDataFrame(quotes, "k string, at int, price int")
+    for ticks in (8, 4096):
+        got = series.asof_join(left, right, keys=["k"], left_on="at", right_on="at", prefix="q_", ticks=ticks)
+        assert got.columns == ["k", "at", "name", "q_at", "q_price"]
+        for r in got.collect():
+            before = [(t, p) for k, t, p in quotes if k == r.k and t is not None and r.at is not None and t <= r.at]
+            assert (r.q_at, r.q_price) == (max(before) if before else (None, None))
+        assert got.count() == len(trades)
+    assert series.asof_join(left, right.limit(0), keys=["k"], left_on="at", right_on="at").filter("asof_at is not null").count() == 0
