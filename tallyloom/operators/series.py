@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordered import affine_scan, first_by, running
+from tallyloom.operators.spectrum import strongest_bins
 
 
 def to_series(df: DataFrame, keys: list[str], ts: str, grain: str, aggs: dict[str, Column], out: str = "ts") -> DataFrame:
@@ -304,22 +305,34 @@ def sequences(df: DataFrame, *, keys: list[str], order: str, value: str, n: int)
     return df.withColumn("sequence", window).filter(F.size("sequence") == n)
 
 
+#: Seconds since the epoch from which listed periods are counted, 2000-01-01.
+ORIGIN = 946_684_800
+
+
 def periodogram(df: DataFrame, *, keys: list[str], order: str, value: str, periods: list[float]) -> DataFrame:
     """Squared one-sided amplitude of a centred regular series at a short list of periods.
 
     Each row adds one cosine and one sine term per listed period to partial sums; the
-    list is literal, so the rows are not multiplied by a join.
+    list is literal, so the rows are not multiplied by a join. The mean comes off the sums:
+    ``sum((x - m) cos) = sum(x cos) - m sum(cos)``. Times are counted from a fixed day and only
+    the phase is turned back to each series' start, so the rows are read once.
     """
-    stats = df.groupBy(*keys).agg(
-        F.min(order).alias("_start"), F.avg(value).alias("_mu"), F.count(value).alias("_n")
-    )
-    hours = (F.unix_seconds(F.col(order).cast("timestamp")) - F.unix_seconds(F.col("_start").cast("timestamp"))) / 3600
-    centred = df.join(stats, keys).withColumns({"_t": hours, "_x": F.col(value) - F.col("_mu")})
+    at = F.unix_seconds(F.col(order).cast("timestamp"))
+    hours = (at - F.lit(ORIGIN)) / 3600
+    x = F.col(value)
     sums = []
     for i, p in enumerate(periods):
-        angle = F.col("_t") * (2 * 3.141592653589793 / p)
-        sums += [F.sum(F.col("_x") * F.cos(angle)).alias(f"_c{i}"), F.sum(F.col("_x") * F.sin(angle)).alias(f"_s{i}")]
-    totals = centred.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums)
+        # Whole turns are left out before the angle is taken, as days since the origin are many.
+        angle = F.pmod(hours, F.lit(float(p))) * (2 * 3.141592653589793 / p)
+        cos, sin = (F.when(x.isNotNull(), f(angle)) for f in (F.cos, F.sin))
+        sums += [F.sum(x * cos).alias(f"_xc{i}"), F.sum(x * sin).alias(f"_xs{i}"), F.sum(cos).alias(f"_1c{i}"), F.sum(sin).alias(f"_1s{i}")]
+    once = df.groupBy(*keys).agg(F.min(at).alias("_start"), F.avg(x).alias("_mu"), F.count(x).alias("_n"), *sums)
+    turned = {}
+    for i, p in enumerate(periods):
+        c0, s0 = (F.col(f"_x{f}{i}") - F.col("_mu") * F.col(f"_1{f}{i}") for f in "cs")
+        back = F.pmod((F.col("_start") - F.lit(ORIGIN)) / 3600, F.lit(float(p))) * (2 * 3.141592653589793 / p)
+        turned[f"_c{i}"], turned[f"_s{i}"] = c0 * F.cos(back) + s0 * F.sin(back), s0 * F.cos(back) - c0 * F.sin(back)
+    totals = once.withColumns(turned)
     parts = [
         F.struct(F.lit(float(p)).alias("period_h"), F.col(f"_c{i}").alias("c"), F.col(f"_s{i}").alias("s"))
         for i, p in enumerate(periods)
@@ -347,46 +360,15 @@ def period_label(period: str) -> Column:
 
 
 def full_periodogram(
-    df: DataFrame, *, keys: list[str], order: str, value: str, shortest: float = 6.0, longest: float = 10_000.0, top: int = 10
+    df: DataFrame, *, keys: list[str], order: str, value: str, shortest: float = 6.0, longest: float = 10_000.0, top: int = 10, ticks: int = BUCKET_TICKS, **dealt
 ) -> DataFrame:
     """The ``top`` strongest bins of each series' Fourier transform between two periods.
 
-    One task transforms one series of ticks; series run in parallel. Gaps must be
+    Residue classes of a series are transformed apart and then across, see ``spectrum``. Gaps must be
     filled before, as the transform assumes regular spacing.
     """
-    import pandas as pd
-
-    key_types = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        n = len(x)
-        spectrum = np.fft.rfft(x - x.mean()) / n
-        amplitude = np.abs(spectrum)
-        amplitude[1 : (n // 2 if n % 2 == 0 else n // 2 + 1)] *= 2
-        bins = np.arange(1, len(spectrum))
-        period = n / bins
-        keep = bins[(period >= shortest) & (period <= longest)]
-        best = keep[np.argsort(-amplitude[keep], kind="stable")][:top]
-        out = pd.DataFrame(
-            {
-                "rank": np.arange(1, len(best) + 1),
-                "period_h": n / best,
-                "power": amplitude[best] ** 2,
-                "amplitude": amplitude[best],
-                "phase": np.angle(spectrum[best]),
-            }
-        )
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    schema = f"{key_types}, rank int, period_h double, power double, amplitude double, phase double"
-    found = df.select(*keys, order, value).groupBy(*keys).applyInPandas(transform, schema)
-    return found.withColumn("label", period_label("period_h"))
+    found = strongest_bins(_bucketed(df, keys, order, ticks), keys=keys, order=order, value=value, bucket="_bucket", shortest=shortest, longest=longest, top=top, **dealt)
+    return found.select(*keys, "rank", "period_h", F.pow("amplitude", 2).alias("power"), "amplitude", "phase", period_label("period_h").alias("label"))
 
 
 def spectral_features(df: DataFrame, components: DataFrame, *, keys: list[str], order: str, top: int = 3) -> DataFrame:

@@ -138,3 +138,27 @@ def test_asof_join_with_a_hot_key(spark):
             assert (r.q_at, r.q_price) == (max(before) if before else (None, None))
         assert got.count() == len(trades)
     assert series.asof_join(left, right.limit(0), keys=["k"], left_on="at", right_on="at").filter("asof_at is not null").count() == 0
+
+
+@pytest.mark.parametrize("n", [720, 1001, 997, 6])
+def test_dealt_fourier_transform_equals_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(k, h, float(10 + 3 * np.sin(2 * np.pi * h / 24) + v)) for k in ("a", "b") for h, v in enumerate(rng.normal(size=n))]
+    df = hours(spark, rows)
+    got = series.full_periodogram(df, keys=["k"], order="ts", value="v", shortest=2.0, longest=10_000.0, top=n, ticks=50, group_values=64)
+    by_key = {k: sorted((r.period_h, r.amplitude, r.phase) for r in got.filter(F.col("k") == k).collect()) for k in ("a", "b")}
+    for k in ("a", "b"):
+        x = np.array([v for key, _, v in rows if key == k])
+        spectrum = np.fft.rfft(x - x.mean()) / n
+        bins = np.arange(1, n // 2 + 1)
+        amplitude = np.abs(spectrum[1:]) * np.where(2 * bins == n, 1, 2)
+        want = sorted(zip(n / bins, amplitude, np.angle(spectrum[1:])))
+        assert len(by_key[k]) == len(want)
+        for (p, a, f), (q, b, g) in zip(by_key[k], want):
+            assert p == pytest.approx(q) and a == pytest.approx(b, abs=1e-9)
+            assert b < 1e-9 or abs(np.exp(1j * f) - np.exp(1j * g)) < 1e-6
+    if n == 1001:
+        parts = series.full_periodogram(df, keys=["k"], order="ts", value="v", group_values=64)
+        assert parts.filter("rank = 1").select("label").distinct().collect()[0].label == "daily"
+        gap = df.withColumn("v", F.when(F.col("h") != 5, F.col("v")))
+        assert series.full_periodogram(gap, keys=["k"], order="ts", value="v").count() == 0
