@@ -1,8 +1,8 @@
 """Text analysis over document tables: one row per document in, rows or columns out.
 
 All of it is column expressions inside the row, so a corpus needs no shuffle until
-something is aggregated. Python sees text in Arrow batches in three places: HTML
-entities, anchor positions and model scoring.
+something is aggregated. Python sees text in Arrow batches in four places: HTML
+entities, keyword lists, anchor positions and model scoring.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import lexicons as lx
+from tallyloom.functions.keywords import keyword_counts
 from tallyloom.operators.layout import spread
 from tallyloom.operators.ordered import top_by
 from tallyloom.session import frozen
@@ -165,14 +166,19 @@ def hit_count(low: Column | str, words: tuple[str, ...]) -> Column:
     return total
 
 
+def _at(hits: str, i: int) -> Column:
+    return F.get(F.col(hits), F.lit(i)).cast("bigint")
+
+
 def with_tone(
     df: DataFrame, text: str = "text", positive: tuple[str, ...] = lx.POSITIVE_WORDS, negative: tuple[str, ...] = lx.NEGATIVE_WORDS
 ) -> DataFrame:
     """Word counts, share of positive words (null without any) and label."""
     share = F.try_divide(F.col("positive_count"), F.col("positive_count") + F.col("negative_count"))
     label = F.when(F.col("tone") > 0.6, "positive").when(F.col("tone") < 0.4, "negative").otherwise("neutral")
-    counts = {"positive_count": hit_count(LOW, positive), "negative_count": hit_count(LOW, negative)}
-    return lowered(df, text).withColumns(counts).withColumn("tone", share).withColumn("tone_label", label).drop(LOW)
+    counts = {"positive_count": _at("_hits", 0), "negative_count": _at("_hits", 1)}
+    scanned = lowered(df, text).withColumn("_hits", keyword_counts(LOW, positive, negative))
+    return scanned.withColumns(counts).withColumn("tone", share).withColumn("tone_label", label).drop(LOW, "_hits")
 
 
 def analyze(
@@ -182,12 +188,17 @@ def analyze(
     negative: tuple[str, ...] = lx.NEGATIVE_WORDS,
     keywords: dict[str, tuple[str, ...]] = lx.TOPICS,
 ) -> DataFrame:
-    """All paragraph attributes, the relevance score included."""
-    flags = {"temporality": temporality(), "topics": topics(LOW, keywords), "is_boilerplate": is_boilerplate()}
-    counts = {"positive_count": hit_count(LOW, positive), "negative_count": hit_count(LOW, negative)}
+    """All paragraph attributes, the relevance score included.
+
+    Keyword lists are counted in one pass over a paragraph; whole-word patterns stay expressions.
+    """
+    scanned = lowered(paras, text).withColumn("_hits", keyword_counts(LOW, positive, negative, lx.BOILERPLATE, *keywords.values()))
+    labels = [F.when(_at("_hits", 3 + i) > 0, label) for i, label in enumerate(keywords)]
+    flags = {"temporality": temporality(), "topics": F.array_compact(F.array(*labels)), "is_boilerplate": _at("_hits", 2) > 0}
+    counts = {"positive_count": _at("_hits", 0), "negative_count": _at("_hits", 1)}
     # One generator row carries all flags: whatever reads them later, each pattern runs once per paragraph.
     packed = F.struct(*[c.alias(n) for n, c in (flags | counts | amount_flags()).items()])
-    flagged = lowered(paras, text).select("*", F.inline_outer(F.array(packed))).drop(LOW)
+    flagged = scanned.select("*", F.inline_outer(F.array(packed))).drop(LOW, "_hits")
     share = F.try_divide(F.col("positive_count"), F.col("positive_count") + F.col("negative_count"))
     label = F.when(F.col("tone") > 0.6, "positive").when(F.col("tone") < 0.4, "negative").otherwise("neutral")
     return flagged.withColumn("tone", share).withColumns({"tone_label": label, "relevance": relevance()})
@@ -214,7 +225,7 @@ def relevance() -> Column:
 def guidance(paras: DataFrame, text: str = "text", keywords: tuple[str, ...] = lx.GUIDANCE_KEYWORDS, longest: int = 2000) -> DataFrame:
     """Non-heading paragraphs of moderate length that mention any guidance keyword."""
     short = lowered(paras.filter(~F.col("is_heading") & (F.length(text) <= longest)), text)
-    return short.filter(_any_of(F.col(LOW), keywords)).drop(LOW)
+    return short.filter(F.get(keyword_counts(LOW, keywords), F.lit(0)) > 0).drop(LOW)
 
 
 def document_tone(analyzed: DataFrame, key: str = "doc_id") -> DataFrame:

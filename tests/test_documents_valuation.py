@@ -164,3 +164,17 @@ def test_facts_priority_amendment_and_reconcile(spark):
     b = spark.createDataFrame([("t", "Total Revenue", 2020, 112.0), ("t", "Total Revenue", 2021, 3.0)], "ticker string, item string, fiscal_year int, value double")
     out = {(r.field, r.fiscal_year): (r.status, r.pct_diff) for r in v.reconcile(best.drop("concept"), b, raw.select("ticker")).collect()}
     assert out[("Revenues", 2020)][0] == "MATCH" and out[("Revenues", 2021)] == ("MISMATCH", float("inf")) and out[("Cash", None)][0] == "A_MISSING"
+
+
+def test_keywords_are_counted_in_one_pass(spark):
+    import random
+
+    from tallyloom.functions.keywords import keyword_counts
+
+    rng = random.Random(3)
+    lists = (("aa", "ab", "aab", "é"), ("a", "aa", "xyz"), (), ("b b",))
+    texts = ["", "aaaa", "aabab", "é aé", "b b b b", None, *["".join(rng.choices("aab xé", k=rng.randrange(60))) for _ in range(200)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.c for r in df.select("id", keyword_counts("t", *lists).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else [sum(t.count(w) for w in dict.fromkeys(words)) for words in lists])
