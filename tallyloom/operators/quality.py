@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -119,3 +120,37 @@ def report(checks: list[Check]) -> DataFrame:
     for more in rows[1:]:
         out = out.unionAll(more)
     return out
+
+
+@dataclass(frozen=True)
+class RowRule:
+    """A rule on single rows: ``fails`` is true for a row that breaks it; null is not judged."""
+
+    name: str
+    fails: Column
+    severity: str = "error"
+    warn_above: int = 0
+    error_above: int = 0
+
+
+def null_rules(columns: list[str], severity: str = "error") -> list[RowRule]:
+    return [RowRule(f"{c} is present", F.col(c).isNull(), severity) for c in columns]
+
+
+def write_observed(df: DataFrame, write: Callable[[DataFrame], None], rules: list[RowRule]) -> DataFrame:
+    """Writes ``df`` by ``write`` and returns ``(check, severity, rows, failing, outcome)`` per rule.
+
+    The counts ride on the write itself, so any number of row-level rules costs no pass of its own.
+    ``write`` runs one action over the frame it is given. What spans rows (uniqueness, references)
+    stays with the assertions above. An empty frame has 0 rows and passes.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(r.fails, F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)]
+    write(df.observe(seen, F.count("*").alias("rows"), *counts))
+    found = seen.get
+    rows = []
+    for i, r in enumerate(rules):
+        n = found[f"r{i}"]
+        outcome = "pass" if n <= r.warn_above else "warn" if r.severity == "warn" or n <= r.error_above else "error"
+        rows.append((r.name, r.severity, found["rows"], n, outcome))
+    return df.sparkSession.createDataFrame(rows, "check string, severity string, rows long, failing long, outcome string")

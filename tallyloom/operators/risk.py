@@ -149,18 +149,24 @@ def stress_impact(betas: DataFrame, shocks: list[float], beta: str = "beta", ann
     return out.withColumn("impact", F.col(beta) * F.col("shock") * F.col(annual_vol) / F.sqrt(F.lit(TRADING_DAYS)))
 
 
-def correlations(returns: DataFrame, key: str = "ticker", block: int = 256) -> DataFrame:
+def correlations(returns: DataFrame, key: str = "ticker", block: int = 256, span: int = 1024) -> DataFrame:
     """Pearson correlation of every pair of series over the dates all of them share.
 
-    Each series becomes one array in date order. Series are dealt into blocks; a task gets two
-    blocks and multiplies them, so there is no matrix on the driver, no pair per date and no limit
-    on the number of series.
+    Series are standardised, so a correlation is a plain sum of products over dates, and sums over
+    parts of the dates add up. Series are dealt into blocks and dates into parts of about ``span``; a
+    task multiplies two blocks over one part. No row or task grows with the dates or the number of series.
     """
     known = returns.filter(F.col("ret").isNotNull())
     n = known.agg(F.countDistinct(key)).scalar()
     shared = known.groupBy("date").agg(F.countDistinct(key).alias("_n")).filter(F.col("_n") == n).select("date")
-    entry = F.array_sort(F.collect_list(F.struct("date", "ret")))
-    packed = known.join(shared, "date").groupBy(F.col(key).alias("name")).agg(F.transform(entry, lambda e: e.ret).alias("rets"))
+    # Three passes read these rows; they are computed once.
+    rows = frozen(known.join(shared, "date").select(F.col(key).alias("name"), "date", "ret"), "aligned")
+    parts = F.greatest(F.ceil(rows.agg(F.countDistinct("date")).scalar() / F.lit(span)), F.lit(1)).cast("int")
+    stats = rows.groupBy("name").agg(F.avg("ret").alias("_mean"), F.sqrt(F.var_pop("ret") * F.count("ret")).alias("_size"))
+    z = F.when(F.col("_size") > 0, (F.col("ret") - F.col("_mean")) / F.col("_size")).otherwise(F.lit(float("nan")))
+    standard = rows.join(stats, "name").select("name", "date", z.alias("z"), F.pmod(F.xxhash64("date"), parts).alias("_part"))
+    entry = F.array_sort(F.collect_list(F.struct("date", "z")))
+    packed = standard.groupBy("name", "_part").agg(F.transform(entry, lambda e: e.z).alias("z"))
     blocks = F.ceil(n / F.lit(block)).cast("int")
     dealt = packed.withColumn("_b", F.pmod(F.hash("name"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_o")
@@ -168,18 +174,16 @@ def correlations(returns: DataFrame, key: str = "ticker", block: int = 256) -> D
     def multiply(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("name")
         names, side = group["name"].to_numpy(), group["_b"].to_numpy()
-        x = np.stack(group["rets"].to_numpy()).astype(float)
-        x = x - x.mean(axis=1, keepdims=True)
-        size = np.sqrt((x * x).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            corr = (x @ x.T) / np.outer(size, size)
+        x = np.stack(group["z"].to_numpy()).astype(float)
+        product = x @ x.T
         i, j = np.triu_indices(len(names), 1)
         if group["_i"].iloc[0] != group["_j"].iloc[0]:
             apart = side[i] != side[j]
             i, j = i[apart], j[apart]
-        return pd.DataFrame({"a": names[i], "b": names[j], "corr": corr[i, j]})
+        return pd.DataFrame({"a": names[i], "b": names[j], "part": product[i, j]})
 
-    return dealt.groupBy("_i", "_j").applyInPandas(multiply, "a string, b string, corr double")
+    sums = dealt.groupBy("_i", "_j", "_part").applyInPandas(multiply, "a string, b string, part double")
+    return sums.groupBy("a", "b").agg(F.sum("part").alias("corr"))
 
 
 def weighted_scores(scores: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0) -> DataFrame:

@@ -102,6 +102,22 @@ def dq_overlap(t: Tables) -> DataFrame:
     return quality.overlap(orders, t.events.select(F.to_date("ts").alias("d")), "d", "d")
 
 
+@query("dq_observed_write", """WITH q AS (SELECT 1 AS i, 'l_partkey is present' AS "check", 'error' AS severity, count(CASE WHEN l_partkey IS NULL THEN 1 END) AS failing, 0 AS w, 0 AS e FROM lineitem
+UNION ALL SELECT 2, 'flag is known', 'error', count(CASE WHEN l_returnflag NOT IN ('N', 'R') THEN 1 END), 0, 100 FROM lineitem
+UNION ALL SELECT 3, 'quantity is plausible', 'warn', count(CASE WHEN l_quantity NOT BETWEEN 1 AND 45 THEN 1 END), 0, 0 FROM lineitem
+UNION ALL SELECT 4, 'discount is moderate', 'error', count(CASE WHEN l_discount > 0.09 THEN 1 END), 10, 1000000000 FROM lineitem)
+SELECT "check", severity, (SELECT count(*) FROM lineitem) AS rows, failing, CASE WHEN failing <= w THEN 'pass' WHEN severity = 'warn' OR failing <= e THEN 'warn' ELSE 'error' END AS outcome FROM q""")
+def dq_observed_write(t: Tables) -> DataFrame:
+    """Row-level rules counted while the order lines are written, without a pass of their own."""
+    rules = [
+        *quality.null_rules(["l_partkey"]),
+        quality.RowRule("flag is known", ~F.col("l_returnflag").isin("N", "R"), error_above=100),
+        quality.RowRule("quantity is plausible", ~F.col("l_quantity").between(1, 45), "warn"),
+        quality.RowRule("discount is moderate", F.col("l_discount") > 0.09, warn_above=10, error_above=1_000_000_000),
+    ]
+    return quality.write_observed(t.lineitem, lambda df: df.write.parquet(scratch(t.spark, "observed")), rules)
+
+
 @query("dq_all", f"""WITH {SHOP_SQL}, a AS (SELECT order_id, sum(item_revenue) AS lt FROM f WHERE order_status NOT IN ('canceled', 'unavailable') GROUP BY 1),
 b AS (SELECT order_id, sum(payment_value) AS pt FROM pay GROUP BY 1), q AS (
 SELECT 'line key unique' AS "check", 'warn' AS severity, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) z) AS failing, 0 AS w, 0 AS e

@@ -168,3 +168,21 @@ def test_csv_null_empty_and_union(spark, scratch_dir):
     with open(f"{scratch_dir}/b.csv", "w") as f:
         f.write("other\n1\n")
     assert readers.csv_union(spark, [f"{scratch_dir}/a.csv", f"{scratch_dir}/b.csv"], ["id"]).columns == ["id", "note"]
+
+
+def test_row_rules_ride_on_the_write(spark, scratch_dir):
+    from tallyloom.operators import quality
+
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None), (40, "z")], "n int, s string")
+    rules = [*quality.null_rules(["n", "s"], "warn"), quality.RowRule("small", F.col("n") > 10), quality.RowRule("known", ~F.col("s").isin("a", "b", "z"))]
+    writes = []
+
+    def write(frame):
+        writes.append(1)
+        frame.write.parquet(f"{scratch_dir}/out")
+
+    got = [tuple(r) for r in quality.write_observed(df, write, rules).collect()]
+    assert got == [("n is present", "warn", 4, 1, "warn"), ("s is present", "warn", 4, 1, "warn"), ("small", "error", 4, 1, "error"), ("known", "error", 4, 0, "pass")]
+    assert writes == [1] and spark.read.parquet(f"{scratch_dir}/out").count() == 4
+    empty = quality.write_observed(df.limit(0), lambda frame: frame.write.parquet(f"{scratch_dir}/none"), rules)
+    assert {(r.rows, r.failing, r.outcome) for r in empty.collect()} == {(0, 0, "pass")}

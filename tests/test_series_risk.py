@@ -57,8 +57,8 @@ def test_correlations_over_shared_dates_in_blocks(spark):
     rows = [(f"s{i}", d, None if (i, d) == (2, 3) else float(values[i, d])) for i in range(7) for d in range(20)]
     df = spark.createDataFrame(rows, "ticker string, date int, ret double")
     want = np.corrcoef(np.delete(values, 3, axis=1))
-    for block in (2, 256):
-        got = {(r.a, r.b): r["corr"] for r in risk.correlations(df, block=block).collect()}
+    for block, span in ((2, 1024), (256, 1024), (2, 3)):
+        got = {(r.a, r.b): r["corr"] for r in risk.correlations(df, block=block, span=span).collect()}
         assert len(got) == 21
         assert all(got[f"s{i}", f"s{j}"] == pytest.approx(want[i, j]) for i in range(7) for j in range(i + 1, 7))
 
