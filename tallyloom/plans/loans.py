@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import bands
 from tallyloom.operators import learning, loans
 from tallyloom.plans.registry import query
+from tallyloom.plans.series import HOURLY_SQL
 from tallyloom.session import frozen
 from tallyloom.sources.tables import Tables
 
@@ -325,8 +326,47 @@ def ml_gbt_reg(t: Tables) -> DataFrame:
     return forecast_errors(predicted, "value", "prediction")
 
 
-@query("ml_ablation")
-def ml_ablation(t: Tables) -> DataFrame:
+@query("ml_ablation_lags")
+def ml_ablation_lags(t: Tables) -> DataFrame:
     """Errors with and without the lag features."""
     train, test = demand_split(t)
     return learning.ablation(train, test, "value", DEMAND, ["lag_1", "lag_24", "lag_168"], lambda *args: demand_model(t, *args))
+
+
+SPECTRAL = [f"spectral_{r}_{f}" for r in (1, 2, 3) for f in ("sin", "cos")]
+
+
+def spectral_split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The demand rows with the spectral features of their series, the components read from the training rows alone.
+
+    Every series keeps its rows: one without components has features of 0.
+    """
+    from tallyloom.operators import series as ops
+    from tallyloom.plans import series
+
+    train, test = demand_split(t)
+    cut = test.agg(F.min("ts")).scalar()
+    base = series.filled(t)
+    parts = ops.full_periodogram(base.filter(F.col("ts") < cut), keys=series.KEY, order=series.TS, value="value", top=3)
+    waves = ops.spectral_features(base.select(*series.KEY, series.TS), parts, keys=series.KEY, order=series.TS, top=3)
+    both = frozen(train.unionByName(test).join(waves, [*series.KEY, series.TS], "left").na.fill(0.0, subset=SPECTRAL), "spectral")
+    return both.filter(F.col("ts") < cut), both.filter(F.col("ts") >= cut)
+
+
+@query("ml_ablation")
+def ml_ablation(t: Tables) -> DataFrame:
+    """Errors with all features and without the spectral group."""
+    train, test = spectral_split(t)
+    out = learning.ablation(train, test, "value", [*DEMAND, *SPECTRAL], SPECTRAL, lambda *args: demand_model(t, *args))
+    return out.withColumn("variant", F.concat("variant", F.lit(" spectral features")))
+
+
+@query("ml_spectral_rows", f"""WITH {HOURLY_SQL}, lg AS (SELECT event_type, ts, value, lag(value, 168) OVER (PARTITION BY event_type ORDER BY ts) AS l FROM filled), k AS (SELECT * FROM lg WHERE l IS NOT NULL)
+SELECT event_type, ts >= (SELECT max(ts) FROM k) - INTERVAL 7 DAYS AS is_test, count(*) AS hours, count(DISTINCT ts) AS ticks, count(*) AS with_waves FROM k GROUP BY 1, 2""")
+def ml_spectral_rows(t: Tables) -> DataFrame:
+    """The rows that the spectral ablation learns from and is measured on: nothing lost, nothing doubled by the join."""
+    parts = [df.withColumn("is_test", F.lit(held)) for df, held in zip(spectral_split(t), (False, True))]
+    waves = F.expr(" + ".join(f"abs({c})" for c in SPECTRAL))
+    return parts[0].unionByName(parts[1]).groupBy("event_type", "is_test").agg(
+        F.count("*").alias("hours"), F.countDistinct("ts").alias("ticks"), F.count_if(waves > 0).alias("with_waves")
+    )
