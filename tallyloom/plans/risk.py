@@ -394,10 +394,66 @@ def ols_capm(t: Tables) -> DataFrame:
     )
 
 
-@query("ols_ff")
+def ols_sql(data: str, key: str, k: int, lags: int = 5) -> str:
+    """Least squares on ``c1 .. ck`` and a constant in plain SQL, as tables up to ``fit``, from ``data`` with ``key, date, y, c1 ..``.
+
+    Every column is made orthogonal to all the others, one after the other. A coefficient is then one quotient, and its
+    autocorrelation-robust variance a weighted sum of lagged products; no matrix is inverted.
+    """
+    parts = [f"d AS (SELECT *, 1.0::DOUBLE AS c0 FROM ({data}) z)"]
+
+    def less(column: str, upto: int) -> str:
+        return column + "".join(f" - q{m} * (sum({column} * q{m}) OVER p / sum(q{m} * q{m}) OVER p)" for m in range(upto))
+
+    for j in range(k + 1):
+        before, others = "d", [i for i in range(k + 1) if i != j]
+        for m, o in enumerate(others):
+            parts.append(f"g{j}_{m} AS (SELECT *, {less(f'c{o}', m)} AS q{m} FROM {before} WINDOW p AS (PARTITION BY {key}))")
+            before = f"g{j}_{m}"
+        parts.append(f"x{j} AS (SELECT {key}, date, y, {less(f'c{j}', k)} AS x FROM {before} WINDOW p AS (PARTITION BY {key}))")
+        parts.append(f"b{j} AS (SELECT {key}, sum(y * x) / sum(x * x) AS b{j}, sum(x * x) AS xx{j} FROM x{j} GROUP BY 1)")
+    joined = " ".join(f"JOIN b{j} USING ({key})" for j in range(k + 1))
+    parts.append(f"e AS (SELECT {key}, date, y, y - ({' + '.join(f'b{j} * c{j}' for j in range(k + 1))}) AS e FROM d {joined})")
+    for j in range(k + 1):
+        lagged = ", ".join(f"lag(u, {l}) OVER w AS l{l}" for l in range(1, lags + 1))
+        pairs = " + ".join(f"2 * (1 - {l} / {lags + 1}.0) * u * coalesce(l{l}, 0)" for l in range(1, lags + 1))
+        parts.append(f"u{j} AS (SELECT {key}, date, x * e AS u FROM x{j} JOIN e USING ({key}, date))")
+        parts.append(f"l{j} AS (SELECT *, {lagged} FROM u{j} WINDOW w AS (PARTITION BY {key} ORDER BY date))")
+        parts.append(f"s{j} AS (SELECT {key}, sum(u * u + {pairs}) AS s{j} FROM l{j} GROUP BY 1)")
+    sums = " ".join(f"JOIN s{j} USING ({key})" for j in range(k + 1))
+    robust = ", ".join(f"b{j} * xx{j} / sqrt(s{j}) AS t{j}" for j in range(k + 1))
+    parts.append(f"r AS (SELECT {key}, count(*) AS n, sum(e * e) AS ssr, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1)")
+    parts.append(f"fit AS (SELECT *, {robust} FROM r {joined} {sums})")
+    return ", ".join(parts)
+
+
+def tail_sql(t: str, density: str) -> str:
+    """Two-sided tail of a density, given as a function of ``v``, by Simpson's rule between 0 and ``t``."""
+    weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    at = density.replace("v", f"(i * abs({t}) / 1000)")
+    return f"(1 - 2 * abs({t}) / 3000 * list_sum(list_transform(range(0, 1001), lambda i: ({weight}) * {at})))"
+
+
+NORMAL = "exp(-0.5 * pow(v, 2)) / sqrt(2 * pi())"
+FACTORS_SQL = f"""{RET_SQL}, {ols_sql("SELECT portfolio, date, ret - rf AS y, mkt_rf AS c1, smb AS c2, hml AS c3 FROM pf JOIN fc USING (date) WHERE smb IS NOT NULL AND hml IS NOT NULL", "portfolio", 3)}"""
+
+
+def estimates(df: DataFrame) -> DataFrame:
+    """Coefficients and R2 to 6 digits, t to 5 and p to 6."""
+    return df.select(*[F.round(c, 5 if c.endswith("_t") else 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def terms_sql(names: list[str]) -> str:
+    cells = ["round(b0 * 252, 6) AS alpha", "round(t0, 5) AS alpha_t", f"round({tail_sql('t0', NORMAL)}, 6) AS alpha_p"]
+    for j, name in enumerate(names, 1):
+        cells += [f"round(b{j}, 6) AS {name}_beta", f"round(t{j}, 5) AS {name}_t", f"round({tail_sql(f't{j}', NORMAL)}, 6) AS {name}_p"]
+    return ", ".join(cells)
+
+
+@query("ols_ff", f"WITH {FACTORS_SQL} SELECT portfolio, {terms_sql(['mkt_rf', 'smb', 'hml'])}, round(r2, 6) AS r2, n FROM fit")
 def ols_ff(t: Tables) -> DataFrame:
-    """Three-factor model with robust errors; checked against numpy in the tests."""
-    return regression.factor_model(with_factors(t), keys=["portfolio"], order="date", excess="excess", factors=["mkt_rf", "smb", "hml"])
+    """Three-factor model with robust errors."""
+    return estimates(regression.factor_model(with_factors(t), keys=["portfolio"], order="date", excess="excess", factors=["mkt_rf", "smb", "hml"]))
 
 
 @query("ols_rolling", f"""WITH {RET_SQL}, d AS (SELECT portfolio, date, ret - rf AS y, mkt_rf AS x FROM pf JOIN fc USING (date) WHERE smb IS NOT NULL AND hml IS NOT NULL)
@@ -409,21 +465,29 @@ def ols_rolling(t: Tables) -> DataFrame:
     return out.select("portfolio", "date", F.round("alpha", 5).alias("alpha"), F.round("mkt_rf_beta", 6).alias("mkt_rf_beta"))
 
 
-@query("ols_incremental_f")
+BASE_SQL = ols_sql("SELECT portfolio, date, ret - rf AS y, mkt_rf AS c1, smb AS c2 FROM pf JOIN fc USING (date) WHERE smb IS NOT NULL AND hml IS NOT NULL", "portfolio", 2)
+STUDENT = "exp(lgamma((n - 3) / 2.0) - lgamma((n - 4) / 2.0)) / sqrt((n - 4) * pi()) * pow(1 + pow(v, 2) / (n - 4), -(n - 3) / 2.0)"
+
+
+@query("ols_incremental_f", f"""WITH {FACTORS_SQL}, small AS (WITH {BASE_SQL} SELECT portfolio, r2 AS r2_base FROM fit),
+duo AS (SELECT portfolio, r2_base, r2, n, b3 * b3 * xx3 / (ssr / (n - 4)) AS f FROM fit JOIN small USING (portfolio))
+SELECT portfolio, round(r2_base, 6) AS r2_base, round(r2, 6) AS r2_with, round(f, 5) AS f_stat, round({tail_sql("sqrt(f)", STUDENT)}, 6) AS f_p, round(r2 - r2_base, 6) AS delta_r2 FROM duo""")
 def ols_incremental_f(t: Tables) -> DataFrame:
-    """R2 gain and F-test of the third factor; checked against numpy in the tests."""
-    return regression.incremental_f(with_factors(t), keys=["portfolio"], y="excess", base=["mkt_rf", "smb"], added="hml")
+    """R2 gain and F-test of the third factor."""
+    out = estimates(regression.incremental_f(with_factors(t), keys=["portfolio"], y="excess", base=["mkt_rf", "smb"], added="hml").withColumnRenamed("f_stat", "f_stat_t"))
+    return out.withColumnRenamed("f_stat_t", "f_stat")
 
 
-@query("ols_orthogonality")
+@query("ols_orthogonality", f"""WITH {RET_SQL}, {ols_sql("SELECT 'all' AS g, date, hml AS y, mkt_rf AS c1, smb AS c2 FROM fc WHERE smb IS NOT NULL AND hml IS NOT NULL", "g", 2)}
+SELECT g, {terms_sql(['mkt_rf', 'smb'])}, round(r2, 6) AS r2, n FROM fit""")
 def ols_orthogonality(t: Tables) -> DataFrame:
     """One factor regressed on the others with robust errors."""
     frame = factors(t).na.drop().withColumn("g", F.lit("all"))
-    return regression.factor_model(frame, keys=["g"], order="date", excess="hml", factors=["mkt_rf", "smb"])
+    return estimates(regression.factor_model(frame, keys=["g"], order="date", excess="hml", factors=["mkt_rf", "smb"]))
 
 
-@query("ols_significance")
+@query("ols_significance", f"WITH {FACTORS_SQL} SELECT portfolio, round(b3, 6) AS hml_beta, round(t3, 5) AS hml_t, round({tail_sql('t3', NORMAL)}, 6) AS hml_p, round(r2, 6) AS r2 FROM fit")
 def ols_significance(t: Tables) -> DataFrame:
     """The tested factor's beta, t and p for every portfolio, one grouped fit."""
     out = regression.factor_model(with_factors(t), keys=["portfolio"], order="date", excess="excess", factors=["mkt_rf", "smb", "hml"])
-    return out.select("portfolio", "hml_beta", "hml_t", "hml_p", "r2")
+    return estimates(out.select("portfolio", "hml_beta", "hml_t", "hml_p", "r2"))
