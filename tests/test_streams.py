@@ -42,7 +42,6 @@ def test_progress_keeps_every_batch_and_the_late_rows(spark, scratch_dir, few_re
     assert total.most_state_rows > 0 and rows.filter("watermark > timestamp'2001-01-01'").count() > 0
     assert jobs.progress(spark, {"kept": run["kept"]}).count() <= 3
 
-    assert sorted(drained(spark, scratch_dir, "dealt", buckets=5)) == sorted(got)
     # A second run goes on from the checkpoint and in the same files.
     land_files(spark, f"{scratch_dir}/in", 2)
     with progress.recorded(spark, f"{scratch_dir}/progress", {"kept"}) as log:
