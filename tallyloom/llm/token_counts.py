@@ -17,6 +17,8 @@ from tallyloom.llm.blocks import text_blocks
 
 #: Chunks and words whose counts a worker keeps; a full memory is dropped and filled anew.
 REMEMBERED = 500_000
+#: Longer ones, in bytes or characters, are counted where they stand, so a memory has a bound in bytes too.
+LONGEST = 256
 
 
 def byte_symbols() -> list[str]:
@@ -99,7 +101,9 @@ class MergeTable:
         for word in self.pattern.findall(text):
             known = words.get(word)
             if known is None:
-                known = words[word] = self.count_word(word.encode())
+                known = self.count_word(word.encode())
+                if len(word) <= LONGEST:
+                    words[word] = known
             total += known
         return total
 
@@ -121,7 +125,8 @@ class ChunkCounts(dict):
             n = sum(1 if p in table.special else table.count_piece(p, self.words) for p in pieces if p)
         else:
             n = table.count_piece(text, self.words)
-        self[chunk] = n
+        if len(chunk) <= LONGEST:
+            self[chunk] = n
         return n
 
 

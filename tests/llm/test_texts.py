@@ -24,7 +24,7 @@ from tallyloom.llm.language_model import context_tree_scores
 from tallyloom.llm.mixing import mix_sources, word_count
 from tallyloom.llm.quality import learn_quality, quality_score
 from tallyloom.llm.suffix_dedup import suffix_dedup
-from tallyloom.llm.token_counts import token_counts
+from tallyloom.llm.token_counts import ChunkCounts, MergeTable, token_counts
 from tallyloom.llm.token_output import ChunkIds, token_output
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -386,3 +386,14 @@ def test_texts_with_equal_short_hashes_stay_apart(spark, colliding):
     assert {r.text for r in corpus_pipeline.decontaminate(spark, docs3, "/root/testdata/sf0.001").collect()} == {a, b, other}
     scores = context_tree_scores(lone, train=F.lit(True)).collect()
     assert len(scores) == 3 and len({(r.doc_id, round(r.score, 6)) for r in scores}) == 3
+
+
+def test_counts_of_long_stretches_are_not_remembered():
+    counts = ChunkCounts(MergeTable(VOCABULARY))
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(5)
+    for _ in range(20):
+        chunk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) + "a" * 300 + "1,"
+        assert counts[chunk.encode()] == len(tokenizer.encode(chunk, add_special_tokens=False).ids)
+    assert counts[b"short"] == 1 and set(counts) == {b"short"}
+    assert max(map(len, counts.words)) <= 256
