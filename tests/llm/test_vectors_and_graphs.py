@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from tallyloom.llm.components import components  # noqa: E402
-from tallyloom.llm.quantisation import Rotation, _cells, vector_classes  # noqa: E402
+from tallyloom.llm.quantisation import Rotation, _cells, _codes, _masks, vector_classes  # noqa: E402
 from tallyloom.session import frozen  # noqa: E402
 from tallyloom.sources.tables import Tables  # noqa: E402
 
@@ -62,13 +62,14 @@ def test_vector_classes_against_all_pairs(spark, block_rows):
         degree[b] += 1
     root = joined(links)
     want = {i: (degree[i], root.get(i, i), root.get(i, i) == i) for i in degree}
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_classes(df, block_rows=block_rows).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_classes(df, block_rows=block_rows, exact=True).collect()}
     assert set(got) == set(want)
     found, there = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
     assert 0.98 * there <= found <= there
     assert np.mean([got[i] == want[i] for i in want]) > 0.97
     if block_rows == 20:
         assert vector_classes(df.limit(0)).count() == 0
+        assert vector_classes(df.limit(0), exact=True).count() == 0
 
 
 def hubs_and_spokes():
@@ -93,10 +94,79 @@ def test_vector_classes_find_every_link_of_a_hub(spark, block_rows):
     hit = np.triu(x @ x.T >= 0.93, 1)
     degree, root = hit.sum(axis=0) + hit.sum(axis=1), joined(np.argwhere(hit).tolist())
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=block_rows).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=block_rows, exact=True).collect()}
     assert got == {i: (degree[i], root.get(i, i)) for i, _, _ in rows}
 
 
+def all_links(rows, cosine=0.93):
+    x = np.array([v for _, v, _ in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([g for _, _, g in rows])
+    return np.argwhere(np.triu((x @ x.T >= cosine) & (label[:, None] == label[None, :]), 1))
+
+
+def pairs_of(tables, codes):
+    """The pairs of rows that share the masked code of some table, and in how many of them they are owned."""
+    met, owned = np.zeros((len(codes), len(codes)), bool), np.zeros((len(codes), len(codes)), int)
+    for mask in tables:
+        same = (codes & mask)[:, None] == (codes & mask)[None, :]
+        owned += same & ~met
+        met |= same
+    return met, owned
+
+
+@pytest.mark.parametrize("block_rows", [2000, 20])
+def test_tables_find_the_links_of_hubs_and_link_no_other(spark, block_rows):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(hubs_and_spokes())]
+    rows += [(len(rows) + i, rows[i][1], 0) for i in range(3)]
+    links = all_links(rows)
+    degree = np.bincount(links.ravel(), minlength=len(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vector_classes(df, block_rows=block_rows).collect()}
+    assert all(got[i].n_links <= degree[i] for i in got) and len(got) == len(rows)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * 2 * len(links)
+    root = joined(links.tolist())
+    assert all(got[i].component_id >= root.get(i, i) and got[i].kept == (got[i].component_id == i) for i in got)
+    # Rows linked to anything are in one of the true components, never across two.
+    assert all(root.get(i, i) == root.get(r.component_id, r.component_id) for i, r in got.items())
+
+
+def test_tables_count_each_link_once_whatever_the_block(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for centre in rng.normal(size=(30, 48)):
+        for _ in range(int(rng.integers(2, 20))):
+            rows.append((len(rows), (centre + rng.normal(scale=0.15, size=48)).tolist(), len(rows) % 3))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    answers = [sorted(tuple(r) for r in vector_classes(df, block_rows=n).collect()) for n in (2000, 3)]
+    assert answers[0] == answers[1]
+    assert sum(r[1] for r in answers[0]) >= 0.95 * 2 * len(all_links(rows)) > 0
+
+
+def test_tables_serve_every_length_and_directions_that_no_vector_takes(spark):
+    rows = [(i, v, i % 2) for i, v in enumerate([[1.0] * 7, [0.5] * 7, [3.0] * 7] * 4)]
+    rows += [(100, [2.0], 0), (101, [5.0], 0), (102, [-1.0], 0), (103, [1.0] * 300, 0), (104, [2.0] * 300, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df).collect()}
+    assert all(got[i] == (5, i % 2) for i in range(12))
+    assert got[100] == got[101] == (1, 100) and got[102] == (0, 102) and got[103] == got[104] == (1, 103)
+
+
+def test_tables_compare_a_small_part_of_the_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = 0.94 * x[:400] + np.sqrt(1 - 0.94**2) * (side := rng.normal(size=(400, 64))) / np.linalg.norm(side, axis=1)[:, None]
+    x = np.vstack([x, near / np.linalg.norm(near, axis=1)[:, None]])
+    codes = _codes(Rotation(x, 64, rounds=10).project(x))
+    assert abs(np.unpackbits(codes.view(np.uint8)).mean() - 0.5) < 0.05
+    for width, share in ((8, 0.05), (12, 0.01)):
+        met, owned = pairs_of(_masks(64, width, 0.93), codes)
+        assert owned.max() == 1 and np.triu(met, 1).sum() < share * len(x) ** 2 / 2
+        links = np.triu(x @ x.T >= 0.93, 1)
+        assert links.sum() > 300 and met[links].mean() >= 0.9
+
+
 def test_vector_classes_compare_every_length(spark):
     rng = np.random.default_rng(8)
     rows = [(i, v, i % 2) for i, v in enumerate([[1.0] * 7, [0.5] * 7] * 3)]
@@ -109,7 +179,7 @@ def test_vector_classes_compare_every_length(spark):
     degree = np.bincount(np.ravel(links), minlength=903)
     root = joined(links)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=30).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_classes(df, block_rows=30, exact=True).collect()}
     assert got == {i: (degree[i], root.get(i, i)) for i, _, _ in rows}
 
 
