@@ -186,18 +186,33 @@ def correlations(returns: DataFrame, key: str = "ticker", block: int = 256, span
     return sums.groupBy("a", "b").agg(F.sum("part").alias("corr"))
 
 
-def weighted_scores(scores: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0) -> DataFrame:
-    """Source-weighted mean score and text count per (date, ticker)."""
+#: Consecutive ``order`` values whose texts are added up one after the other.
+SCORE_BLOCK = 1 << 22
+
+
+def weighted_scores(scores: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, order: str | None = None) -> DataFrame:
+    """Source-weighted mean score and text count per (date, ticker).
+
+    ``order``, a whole number that numbers the texts, fixes the order of the floating-point sums, so that scores
+    which tie do so however the rows are dealt. A group holds ``SCORE_BLOCK`` numbers at most; the blocks of one
+    cell are added in order too.
+    """
     weights = SOURCE_WEIGHTS if weights is None else weights
     w = F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in weights.items()], F.lit(default))
-    return (
-        scores.withColumn("_w", w)
-        .groupBy("date", "ticker")
-        .agg(
-            (F.sum(F.col("composite") * F.col("_w")) / F.sum("_w")).alias("weighted_sentiment"),
-            F.count("composite").alias("n_texts"),
-        )
-    )
+    rows = scores.withColumn("_w", w).withColumn("_x", F.col("composite") * F.col("_w"))
+    if order is None:
+        mean = F.sum("_x") / F.sum("_w")
+        return rows.groupBy("date", "ticker").agg(mean.alias("weighted_sentiment"), F.count("composite").alias("n_texts"))
+
+    def folded(items: Column, name: str) -> Column:
+        return F.aggregate(items, F.lit(None).cast("double"), lambda s, i: F.coalesce(s + i[name], s, i[name]))
+
+    listed = F.sort_array(F.collect_list(F.struct("_at", "_x", "_w")))
+    blocks = rows.withColumn("_at", F.col(order).cast("long")).groupBy("date", "ticker", F.floor(F.col("_at") / SCORE_BLOCK).alias("_block"))
+    sums = blocks.agg(listed.alias("_i"), F.count("composite").alias("_n"))
+    parts = sums.select("date", "ticker", F.struct("_block", folded(F.col("_i"), "_x").alias("_x"), folded(F.col("_i"), "_w").alias("_w")).alias("_p"), "_n")
+    cells = parts.groupBy("date", "ticker").agg(F.sort_array(F.collect_list("_p")).alias("_i"), F.sum("_n").alias("n_texts"))
+    return cells.select("date", "ticker", (folded(F.col("_i"), "_x") / folded(F.col("_i"), "_w")).alias("weighted_sentiment"), "n_texts")
 
 
 def daily_sentiment_stats(daily: DataFrame) -> DataFrame:

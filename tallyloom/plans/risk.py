@@ -232,17 +232,17 @@ def join_factors(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    """Scored texts ``(date, ticker, source, pos, neg, composite)``."""
+    """Scored texts ``(event_id, date, ticker, source, pos, neg, composite)``."""
     kinds = {"view": "edgar", "click": "news", "signup": "reddit", "purchase": "twitter"}
     source = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("blog"))
     pos, neg = F.col("value") / 1000, F.get_json_object("props", "$.k").cast("int") / 1000
     return t.events.select(
-        F.to_date("ts").alias("date"), F.concat(F.lit("U"), "user_id").alias("ticker"), source.alias("source"), pos.alias("pos"), neg.alias("neg"), (pos - neg).alias("composite")
+        "event_id", F.to_date("ts").alias("date"), F.concat(F.lit("U"), "user_id").alias("ticker"), source.alias("source"), pos.alias("pos"), neg.alias("neg"), (pos - neg).alias("composite")
     )
 
 
 def daily_scores(t: Tables) -> DataFrame:
-    return t.once("scores", lambda t: risk.weighted_scores(scores(t)))
+    return t.once("scores", lambda t: risk.weighted_scores(scores(t), order="event_id"))
 
 
 def user_returns(t: Tables) -> DataFrame:

@@ -128,6 +128,26 @@ def test_portfolio_needs_every_member(spark):
     assert len(out) == 1 and out[0].ret == pytest.approx(0.2)
 
 
+def test_daily_scores_do_not_depend_on_how_the_events_are_dealt(spark, scratch_dir, monkeypatch):
+    from tallyloom.plans import risk as plans
+    from tallyloom.sources.tables import Tables
+
+    rng = np.random.default_rng(5)
+    kinds = {"view": 3.0, "click": 2.0, "signup": 1.0, "purchase": 0.5, "error": 1.0}
+    rows = [(i, T0 + timedelta(minutes=i), i % 7, list(kinds)[rng.integers(5)], round(float(rng.exponential(50)), 2), '{"k": %d}' % rng.integers(100)) for i in range(420)]
+    want = {}
+    for _, _, user, kind, value, props in rows:
+        x, w, n = want.get(f"U{user}", (0.0, 0.0, 0))
+        want[f"U{user}"] = x + (value / 1000 - int(props[6:-1]) / 1000) * kinds[kind], w + kinds[kind], n + 1
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.orderBy(F.xxhash64("event_id")).repartition(3).write.parquet(f"{scratch_dir}/sf/events.parquet")
+    got = {r.ticker: (r.weighted_sentiment, r.n_texts) for r in plans.daily_scores(Tables(spark, f"{scratch_dir}/sf")).collect()}
+    assert got == {k: (x / w, n) for k, (x, w, n) in want.items()}
+    monkeypatch.setattr(risk, "SCORE_BLOCK", 50)
+    cut = {r.ticker: (r.weighted_sentiment, r.n_texts) for r in plans.daily_scores(Tables(spark, f"{scratch_dir}/sf")).collect()}
+    assert cut == {k: (pytest.approx(x / w), n) for k, (x, w, n) in want.items()}
+
+
 def test_weighted_scores_and_cross_section(spark):
     s = spark.createDataFrame([(date(2024, 1, 1), "AAPL", "edgar", 0.8), (date(2024, 1, 1), "AAPL", "news", 0.6), (date(2024, 1, 1), "AAPL", "blog", 0.72)], "date date, ticker string, source string, composite double")
     row = risk.weighted_scores(s).first()
