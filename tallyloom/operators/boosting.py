@@ -7,14 +7,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.session import frozen
 
-#: Trees whose margins are added in passing before they are written beside the rows.
+#: Trees whose margins live in executors' storage before they are written beside the rows.
 PENDING = 20
 
+#: Rows of one block, and parts whose sums the driver adds up itself.
+BLOCK_ROWS = 1 << 16
+PARTS = 32
+
 
 @dataclass
 class Tree:
@@ -35,6 +40,8 @@ class Tree:
         at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
         for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
             inner = self.feature[at] >= 0
+            if not inner.any():
+                break
             here = bins[row, np.maximum(self.feature[at], 0)]
             left = np.where(here == 0, self.missing_left[at], here <= self.cut[at])
             at = np.where(inner, 2 * at + 2 - left, at)
@@ -48,6 +55,7 @@ class Boosted:
     loss: str
     base: float
     trees: list[Tree] = field(default_factory=list)
+    gains: np.ndarray | None = None
 
     def bins(self, values: np.ndarray) -> np.ndarray:
         """0 for a missing value, else one more than the number of cuts that the value reaches."""
@@ -61,6 +69,11 @@ class Boosted:
         used = np.concatenate([t.feature[t.feature >= 0] for t in self.trees] or [np.array([], np.int64)])
         return dict(zip(self.features, np.bincount(used.astype(np.int64), minlength=len(self.features)).tolist()))
 
+    def gain_importance(self) -> dict[str, float]:
+        """Each feature's share of what all splits gained."""
+        gains = np.zeros(len(self.features)) if self.gains is None else self.gains
+        return dict(zip(self.features, (gains / (gains.sum() or 1.0)).tolist()))
+
 
 def quantile_cuts(df: DataFrame, features: list[str], bins: int = 64) -> list[np.ndarray]:
     """Per feature at most ``bins - 1`` distinct approximate quantiles, by one mergeable aggregation."""
@@ -82,9 +95,12 @@ def _drawn(key: np.ndarray, tree: int, share: float) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))).astype(float) < share * 2.0**64
 
 
-def _slopes(loss: str, margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slopes(loss: str, margin: np.ndarray, label: np.ndarray, weight: np.ndarray, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
     if loss == "squared":
         return weight * (margin - label), weight
+    if loss == "residual":
+        side = 2 * label - 1
+        return -weight * (side if first else 4 * side / (1 + np.exp(2 * side * margin))), weight
     p = 1 / (1 + np.exp(-margin))
     return weight * (p - label), weight * p * (1 - p)
 
@@ -133,7 +149,7 @@ def best_split(g: np.ndarray, h: np.ndarray, penalty: float, least: float) -> tu
         for missing_left in (False, True):
             left = below + (np.array([[g[f][0]], [h[f][0]]]) if missing_left else 0)
             right = whole[:, None] - left
-            score = lambda s: s[0] ** 2 / (s[1] + penalty)
+            score = lambda s: s[0] ** 2 / np.maximum(s[1] + penalty, 1e-300)
             gain = np.where((left[1] >= least) & (right[1] >= least), score(left) + score(right) - score(whole), -np.inf)
             if len(gain) and gain.max() > 1e-9 and (best is None or gain.max() > best[0] + 1e-9):
                 c = int(gain.argmax())
@@ -148,6 +164,77 @@ def prepared_rows(df: DataFrame, label: str, features: list[str], key: str, weig
     return known.select(*named, F.col(label).cast("double").alias("_y"), w.alias("_weight"), F.lit(base).alias("_margin"), F.xxhash64(key).alias("_key"))
 
 
+def _blocks(rows: DataFrame, model: Boosted) -> DataFrame:
+    """The rows as blocks of bins (one byte where that is enough, features first), labels, weights, margins and keys."""
+    kind = np.dtype(np.uint8 if max((len(c) for c in model.cuts), default=0) < 254 else np.int32)
+    names = ["_y", "_weight", "_margin", "_key"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            parts = [np.concatenate(p, axis=-1) for p in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["_bins", *names])
+
+        for batch in batches:
+            bins = model.bins(_matrix(batch, model.features)).T.astype(kind)
+            held.append([bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in names]])
+            if sum(h[0].shape[1] for h in held) >= BLOCK_ROWS:
+                yield block()
+                held = []
+        if held:
+            yield block()
+
+    return frozen(rows.mapInArrow(pack, "_bins binary, _y binary, _weight binary, _margin binary, _key binary"), "boosting")
+
+
+def _opened(width: int, kind: np.dtype):
+    """A packed block as arrays; ``width`` features of ``kind``."""
+
+    def work(row) -> tuple[np.ndarray, ...]:
+        y = np.frombuffer(row[1])
+        bins = np.frombuffer(row[0], kind).reshape(width, len(y))
+        return bins, y, np.frombuffer(row[2]), np.frombuffer(row[3]), np.frombuffer(row[4], np.int64)
+
+    return work
+
+
+def _added(trees: list[Tree]):
+    def work(block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        bins, y, weight, margin, key = block
+        return bins, y, weight, margin + sum(t.value[t.node(bins.T)] for t in trees), key
+
+    return work
+
+
+def _level_sums(state, loss: str, shape: tuple[int, int], tree: Tree, nodes: list[int], draw: tuple[int, float]) -> np.ndarray:
+    """``[g or h, node, feature, bin]`` over the blocks: one sum per part, and of many parts the driver gets few."""
+    features, width = shape
+    slot = np.full(len(tree.feature), -1)
+    slot[nodes] = np.arange(len(nodes))
+
+    def work(blocks):
+        total = np.zeros((2, len(nodes), features, width))
+        for bins, y, weight, margin, key in blocks:
+            here = slot[tree.node(bins.T)]
+            row = here >= 0
+            if draw[1] < 1.0:
+                row &= _drawn(key, *draw)
+            row = np.flatnonzero(row)
+            first = here[row] * width
+            slopes = _slopes(loss, margin[row], y[row], weight[row], draw[0] == 0)
+            for f in range(features):
+                cell = first + bins[f][row]
+                for k, what in enumerate(slopes):
+                    total[k, :, f] += np.bincount(cell, what, minlength=len(nodes) * width).reshape(len(nodes), width)
+        yield total
+
+    parts = state.mapPartitions(work)
+    if state.getNumPartitions() > PARTS:
+        return parts.treeReduce(np.add)
+    return sum(parts.collect(), np.zeros((2, len(nodes), features, width)))
+
+
 def fit_boosted_trees(
     df: DataFrame,
     label: str,
@@ -166,35 +253,41 @@ def fit_boosted_trees(
 ) -> Boosted:
     """Gradient boosting by first and second derivatives of the ``logistic`` or ``squared`` loss.
 
-    A level of a tree is one pass over the rows and one aggregation; what reaches the driver are the sums
-    per node, feature and bin, at most ``2**(depth - 1)`` times features times 65. A leaf is
-    ``-rate * g / (h + penalty)``; a split keeps a hessian sum of ``least`` on both sides. ``key`` draws
-    the share ``subsample`` of the rows anew for each tree. Rows without a label are left out; null and
-    NaN features are missing, a null weight is 1. Without rows the model has no trees.
+    The rows are binned once, into blocks that stay in the executors' storage with their margins. A level
+    of a tree is one pass over the blocks; what reaches the driver are the sums per part, node, feature
+    and bin, at most ``2**(depth - 1)`` times features times 65, added up between executors above ``PARTS``
+    parts. A leaf is ``-rate * g / (h + penalty)``; a split keeps a hessian sum of ``least`` on both sides.
+    ``key`` draws the share ``subsample`` of the rows anew for each tree. Rows without a label are left
+    out; null and NaN features are missing, a null weight is 1. Without rows the model has no trees.
+
+    ``residual`` is gradient boosting as MLlib does it: the first tree, at a rate of 1, learns labels of
+    -1 and 1, the others the gradients of ``2 * log(1 + exp(-2 * y * margin))``, every leaf being a mean.
     """
     base = 0.0
     if loss == "squared":
         base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
     rows = frozen(prepared_rows(df, label, features, key, weight, base), "boosting")
-    model = Boosted(features, cuts or quantile_cuts(rows, features), loss, base)
+    model = Boosted(features, cuts or quantile_cuts(rows, features), loss, base, gains=np.zeros(len(features)))
     width = max((len(c) for c in model.cuts), default=0) + 2
-    pending: list[Tree] = []
+    opened = _opened(len(features), np.dtype(np.uint8 if width < 256 else np.int32))
+    blocks, pending = _blocks(rows, model), []
+    state, before = blocks.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK), None
     for number in range(trees):
         tree, active = Tree.empty(depth), [0]
+        step = 1.0 if loss == "residual" and number == 0 else rate
         for _ in range(depth):
-            sums = split_sums(rows, model, pending, tree, active, (number, subsample)).toArrow()
-            place = [sums.column(c).to_numpy() for c in ("node", "feature", "bin")]
+            sums = _level_sums(state, loss, (len(features), width), tree, active, (number, subsample))
+            if before is not None:
+                before.unpersist()
+                before = None
             following = []
-            for node in active:
-                here = place[0] == node
-                g, h = (np.zeros((len(features), width)) for _ in range(2))
-                for table, name in ((g, "g"), (h, "h")):
-                    table[place[1][here], place[2][here]] = sums.column(name).to_numpy()[here]
+            for node, g, h in zip(active, *sums):
                 found = best_split(g, h, penalty, least)
                 if found:
-                    _, tree.feature[node], tree.cut[node], tree.missing_left[node], *sides = found
+                    gain, tree.feature[node], tree.cut[node], tree.missing_left[node], *sides = found
+                    model.gains[tree.feature[node]] += gain
                     for child, side in zip((2 * node + 1, 2 * node + 2), sides):
-                        tree.value[child] = -rate * side[0] / (side[1] + penalty)
+                        tree.value[child] = -step * side[0] / (side[1] + penalty)
                         following.append(child)
             active = following
             if not active:
@@ -205,11 +298,31 @@ def fit_boosted_trees(
             continue
         model.trees.append(tree)
         pending.append(tree)
+        before = state
         if len(pending) == PENDING:
-            rows, pending = frozen(_with_margin(rows, model, pending, "_margin"), "boosting"), []
+            blocks, pending = frozen(_blocks_with_margin(blocks, opened, pending), "boosting"), []
+            state = blocks.rdd.map(opened)
+        else:
+            state = state.map(_added([tree]))
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+    for kept in (state, before):
+        if kept is not None:
+            kept.unpersist()
     return model
 
 
+def _blocks_with_margin(blocks: DataFrame, opened, trees: list[Tree]) -> DataFrame:
+    add = _added(trees)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)])
+            margin = pa.array([add(opened(row))[3].tobytes() for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], margin, *batch.columns[4:]], names=batch.schema.names)
+
+    return blocks.mapInArrow(work, blocks.schema)
+
+
 def _with_margin(df: DataFrame, model: Boosted, trees: list[Tree], out: str) -> DataFrame:
     """``out`` (added where it is absent, as the base) plus what ``trees`` give."""
     if out not in df.columns:
@@ -228,4 +341,6 @@ def _with_margin(df: DataFrame, model: Boosted, trees: list[Tree], out: str) ->
 def boosted_scores(model: Boosted, df: DataFrame, out: str = "p") -> DataFrame:
     """Every row with ``out``: the probability of label 1, or the predicted value of a squared loss."""
     scored = _with_margin(df.drop(out), model, model.trees, out)
-    return scored if model.loss == "squared" else scored.withColumn(out, 1 / (1 + F.exp(-F.col(out))))
+    if model.loss == "squared":
+        return scored
+    return scored.withColumn(out, 1 / (1 + F.exp(F.col(out) * (-2 if model.loss == "residual" else -1))))

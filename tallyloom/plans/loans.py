@@ -179,15 +179,46 @@ def fitted(t: Tables, kind: str):
     key = (t.spark.sparkContext.applicationId, t.root, kind)
     if key not in _FITTED:
         train, table = training(t)
-        fit = {"logistic": learning.fit_logistic, "boosted": learning.fit_boosted}[kind]
+        fit = {"logistic": learning.fit_logistic, "boosted": fit_boosted}[kind]
         _FITTED[key] = (fit(train, "default", NUMERIC, CATEGORICAL), table)
     return _FITTED[key]
 
 
+def with_dummies(df: DataFrame, features: list[str]) -> DataFrame:
+    """The 0/1 columns among ``features``, named ``label_v_level``."""
+    parted = [(f, *f.split("_v_", 1)) for f in features if "_v_" in f]
+    return df.withColumns({f: (F.col(c) == level).cast("double") for f, c, level in parted})
+
+
+def fit_boosted(train: DataFrame, label: str, numeric: list[str], categorical: list[str], trees: int = 200, depth: int = 5) -> boosting.Boosted:
+    """``learning.fit_boosted`` over binned blocks: the same trees up to where cuts lie, without a row of features per loan."""
+    flags = [f"{c}_v_{level}" for c in categorical for level in learning.levels(train, c)[1:]]
+    cuts = [*boosting.quantile_cuts(train, numeric, 32), *[np.array([0.5])] * len(flags)]
+    rows = with_dummies(learning.class_weights(train, label), flags)
+    return boosting.fit_boosted_trees(
+        rows, label, [*numeric, *flags], key="loan_id", loss="residual", trees=trees, depth=depth, penalty=0.0, least=1e-9, weight="weight", cuts=cuts
+    )
+
+
+def measures(scored: DataFrame) -> DataFrame:
+    return learning.auc(scored, "default", "p").withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+
+
 def held_out_measures(t: Tables, kind: str) -> DataFrame:
     model, table = fitted(t, kind)
-    scored = learning.score_all(model, table).filter("is_test")
-    return learning.auc(scored, "default", "p").withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+    return measures(learning.score_all(model, table).filter("is_test"))
+
+
+def boosted_measures(model: boosting.Boosted, table: DataFrame) -> DataFrame:
+    held_out = with_dummies(table.filter("is_test"), model.features)
+    scored = boosting.boosted_scores(model, held_out).withColumn("predicted", (F.col("p") >= 0.5).cast("int"))
+    return measures(frozen(scored.select("default", "p", "predicted"), "boosted"))
+
+
+def feature_importance(t: Tables, top: int | None = None) -> DataFrame:
+    model, _ = fitted(t, "boosted")
+    rows = sorted(model.gain_importance().items(), key=lambda r: (-r[1], r[0]))
+    return t.spark.createDataFrame(rows[:top] if top else rows, "feature string, importance double")
 
 
 def model_columns(df: DataFrame) -> DataFrame:
@@ -214,7 +245,7 @@ def ml_calibration(t: Tables) -> DataFrame:
 @query("ml_boosted_cls")
 def ml_boosted_cls(t: Tables) -> DataFrame:
     """Boosted trees: exact AUC and accuracy on the held-out loans."""
-    return held_out_measures(t, "boosted")
+    return boosted_measures(*fitted(t, "boosted"))
 
 
 @query("ml_boosted_newton")
@@ -223,9 +254,7 @@ def ml_boosted_newton(t: Tables) -> DataFrame:
     train, table = training(t)
     weighted = learning.class_weights(train, "default")
     model = boosting.fit_boosted_trees(weighted, "default", NUMERIC, key="loan_id", trees=60, subsample=0.8, weight="weight")
-    scored = boosting.boosted_scores(model, table.filter("is_test")).withColumn("predicted", (F.col("p") >= 0.5).cast("int"))
-    scored = frozen(scored, "newton")
-    return learning.auc(scored, "default", "p").withColumn("accuracy", learning.accuracy(scored, "default", "predicted").select("accuracy").scalar())
+    return boosted_measures(model, table)
 
 
 SPLIT_CUTS = {"loan_amnt": [50_000.0, 100_000.0, 150_000.0, 200_000.0, 250_000.0], "dti": [5.0, 10.0, 20.0, 30.0], "revol_util": [25.0, 50.0, 75.0]}
@@ -262,15 +291,13 @@ def ml_score_rows(t: Tables) -> DataFrame:
 @query("ml_importance")
 def ml_importance(t: Tables) -> DataFrame:
     """Features by importance in the boosted model."""
-    model, table = fitted(t, "boosted")
-    return learning.importance(model, table)
+    return feature_importance(t)
 
 
 @query("topk_features")
 def topk_features(t: Tables) -> DataFrame:
     """The five most important features."""
-    model, table = fitted(t, "boosted")
-    return learning.importance(model, table, top=5)
+    return feature_importance(t, top=5)
 
 
 def label_scores(t: Tables) -> DataFrame:

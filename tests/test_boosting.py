@@ -70,3 +70,42 @@ def test_boosting_without_rows_labels_or_differences(spark):
     assert model.trees == [] and [r.p for r in bo.boosted_scores(model, df).collect()] == [0.5, 0.5]
     same = df.withColumn("y", F.lit(1))
     assert bo.fit_boosted_trees(same, "y", ["a"], key="id", trees=3, least=10.0).trees == []
+
+
+def test_residual_boosting_equals_mllib_where_all_values_are_cuts(spark):
+    from tallyloom.operators import learning
+    from tallyloom.plans import loans
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 12, 600), rng.integers(0, 9, 600)
+    kind = np.array(["u", "v", "w"])[rng.integers(0, 3, 600)]
+    chance = 1 / (1 + np.exp(-(0.5 * a - 0.7 * b + 2 * (kind == "w") - 2)))
+    rows = [(i, float(x), float(z), k, int(y)) for i, (x, z, k, y) in enumerate(zip(a, b, kind.tolist(), rng.random(600) < chance))]
+    df = spark.createDataFrame(rows, "loan_id long, a double, b double, kind string, y int").repartition(3)
+    model = loans.fit_boosted(df, "y", ["a", "b"], ["kind"], trees=4, depth=2)
+    got = {r.loan_id: r.p for r in bo.boosted_scores(model, loans.with_dummies(df, model.features)).collect()}
+    plainer = learning.fit_boosted(df, "y", ["a", "b"], ["kind"], trees=4, depth=2)
+    want = {r.loan_id: r.p for r in learning.score_all(plainer, df).collect()}
+    assert got == {k: pytest.approx(p, abs=1e-9) for k, p in want.items()}
+    shares = {r.feature: r.importance for r in learning.importance(plainer, df).collect()}
+    assert model.gain_importance() == {k: pytest.approx(v, abs=1e-9) for k, v in shares.items()}
+
+
+def test_a_level_is_one_job_without_a_shuffle_and_blocks_leave_the_storage(spark, monkeypatch):
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 50)
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 20 >= 10).cast("int").alias("y")).repartition(3)
+    status, calls = spark.sparkContext.statusTracker(), []
+    before = bo._level_sums
+
+    def counted(state, *args):
+        spark.sparkContext.setJobGroup("level", "level")
+        done = len(status.getJobIdsForGroup("level"))
+        out = before(state, *args)
+        calls.append([len(status.getJobInfo(j).stageIds) for j in sorted(status.getJobIdsForGroup("level"))[done:]])
+        spark.sparkContext.setJobGroup("other", "other")
+        return out
+
+    monkeypatch.setattr(bo, "_level_sums", counted)
+    bo.fit_boosted_trees(df, "y", ["a"], key="id", trees=3, depth=2)
+    assert calls and all(len(stages) == 1 for stages in calls)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
