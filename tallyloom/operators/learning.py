@@ -53,8 +53,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
     """
     hashed = df.withColumn("_h", _hash60(key, seed))
     take = F.floor(F.col("n") * F.lit(test_share))
-    cut = value_at_rank(hashed.select(label, "_h"), keys=[label], value="_h", rank=take, near=test_share, out="_cut")
-    joined = hashed.join(cut.select(label, "_cut"), label, "left")
+    cut = value_at_rank(hashed.select(label, "_h"), keys=[label], value="_h", rank=take, near=test_share, out="_cut", few_keys=True)
+    # One row per class; a shuffle by class would bring a whole class to one task.
+    joined = hashed.join(F.broadcast(cut.select(label, "_cut")), label, "left")
     return joined.withColumn("is_test", F.coalesce(F.col("_h") < F.col("_cut"), F.lit(False))).drop("_h", "_cut")
 
 

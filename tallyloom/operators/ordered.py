@@ -155,6 +155,7 @@ def value_at_rank(
     near: float,
     out: str,
     accuracy: int = 10_000,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Per key, ``value`` interpolated at a fractional 0-based ``rank``.
 
@@ -162,7 +163,8 @@ def value_at_rank(
     the fraction of ``n`` it stands for. A mergeable quantile sketch brackets the
     wanted rank; values outside the bracket only count, so the rows sorted per key
     are the few inside it, after equal values have been collapsed. The sketch only
-    steers the work: ranks are counted exactly.
+    steers the work: ranks are counted exactly. ``few_keys`` says that the keys are
+    classes: their sketches go to the rows, not the rows to one task per class.
     """
     eps = 2.5 / accuracy
     # Below this size a rank may sit outside the bracket by rounding alone; such groups are small enough to keep whole.
@@ -173,7 +175,7 @@ def value_at_rank(
         sketch = present.groupBy(*keys).agg(
             F.percentile_approx(value, band, F.lit(accuracy)).alias("_band"), F.count("*").alias("_size")
         )
-        tagged = present.join(sketch, keys)
+        tagged = present.join(F.broadcast(sketch) if few_keys else sketch, keys)
         low, high = (F.when(F.col("_size") >= small, F.col("_band")[i]) for i in (0, 1))
     else:
         tagged = present

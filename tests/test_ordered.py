@@ -162,3 +162,14 @@ def test_dealt_fourier_transform_equals_numpy(spark, n):
         assert parts.filter("rank = 1").select("label").distinct().collect()[0].label == "daily"
         gap = df.withColumn("v", F.when(F.col("h") != 5, F.col("v")))
         assert series.full_periodogram(gap, keys=["k"], order="ts", value="v").count() == 0
+
+
+def test_a_stratified_split_brings_no_class_to_one_task(spark):
+    from tallyloom.operators import learning
+
+    def split(n):
+        return learning.stratified_split(spark.range(n).select("id", (F.col("id") % 9 == 0).cast("int").alias("y")), "y", "id")
+
+    plan = split(10**9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert {(r.y, r.is_test): r["count"] for r in split(900).groupBy("y", "is_test").count().collect()} == {(0, False): 640, (0, True): 160, (1, False): 80, (1, True): 20}
