@@ -180,6 +180,17 @@ def test_sentiment_factor_counts_the_names_after_a_price_of_zero(spark, scratch_
     assert [n for n, _ in want.values()] == [12, 12] and not np.isfinite([f for _, f in want.values()]).all()
 
 
+def test_returns_after_a_price_of_zero(spark):
+    rows = [("a", 1, 2.0), ("a", 2, 0.0), ("a", 3, 0.0), ("a", 4, 5.0), ("a", 5, None), ("a", 6, 1.0)]
+    out = series.pct_return(spark.createDataFrame(rows, "k string, i int, p double"), keys=["k"], order="i", price="p")
+    assert [repr(r.ret) for r in out.orderBy("i").collect()] == ["None", "-1.0", "nan", "inf", "None", "None"]
+
+
+def test_win_quintile_ls_counts_the_names_after_a_price_of_zero(spark, scratch_dir):
+    want = equals_its_sql(spark, f"{scratch_dir}/sf", "win_quintile_ls")
+    assert [n for n, _ in want.values()] == [12, 12, 12] and not np.isfinite([f for _, f in want.values()]).all()
+
+
 def test_weighted_scores_and_cross_section(spark):
     s = spark.createDataFrame([(date(2024, 1, 1), "AAPL", "edgar", 0.8), (date(2024, 1, 1), "AAPL", "news", 0.6), (date(2024, 1, 1), "AAPL", "blog", 0.72)], "date date, ticker string, source string, composite double")
     row = risk.weighted_scores(s).first()
