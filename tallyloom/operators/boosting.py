@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,15 +12,20 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import frozen
+from tallyloom.session import frozen, scratch
 
 #: Trees whose margins live in executors' storage before they are written beside the rows.
-PENDING = 20
+PENDING = 40
 
-#: Rows of one block, and parts whose sums the driver adds up itself.
+#: Rows of one block, blocks of one part (on more cores fewer), and parts whose sums the driver adds up itself.
 BLOCK_ROWS = 1 << 16
+PART_BLOCKS = 64
 PARTS = 32
 
+#: Cells of the histogram that a group of features shares; distinct labels times weights whose rows are counted.
+CELLS = 1024
+KINDS = 4
+
 
 @dataclass
 class Tree:
@@ -47,6 +53,26 @@ class Tree:
             at = np.where(inner, 2 * at + 2 - left, at)
         return at
 
+    def rests(self, left: Callable[[int, np.ndarray], np.ndarray], n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``node, rows`` of ``n`` rows where they come to rest; ``left(node, rows)`` tells which of the rows go left."""
+        todo = [(0, np.arange(n))]
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                yield node, rows
+                continue
+            goes = left(node, rows)
+            todo += [(2 * node + 1, rows.take(np.flatnonzero(goes))), (2 * node + 2, rows.take(np.flatnonzero(~goes)))]
+
+    def added(self, out: np.ndarray, left: Callable[[int, np.ndarray], np.ndarray]) -> None:
+        """Adds to ``out`` the value of the node where each row rests."""
+        for node, rows in self.rests(left, len(out)):
+            out[rows] += self.value[node]
+
+    def goes_left(self, node: int, bins: np.ndarray) -> np.ndarray:
+        """Whether a bin of the node's feature goes left."""
+        return np.where(bins == 0, self.missing_left[node], bins <= self.cut[node])
+
 
 @dataclass
 class Boosted:
@@ -105,6 +131,18 @@ def _slopes(loss: str, margin: np.ndarray, label: np.ndarray, weight: np.ndarray
     return weight * (p - label), weight * p * (1 - p)
 
 
+def _kind_slopes(loss: str, margin: np.ndarray, kind: np.ndarray, kinds: np.ndarray, first: bool) -> np.ndarray:
+    """The gradients of ``_slopes`` for rows whose labels and weights are those of their kind."""
+    label, weight = kinds.T
+    if loss != "residual" or first:
+        return _slopes(loss, margin, label.take(kind), weight.take(kind), first)[0]
+    power = (4 * label - 2).take(kind)
+    power *= margin
+    np.exp(power, out=power)
+    power += 1
+    return np.divide((-4 * weight * (2 * label - 1)).take(kind), power, out=power)
+
+
 def split_sums(rows: DataFrame, model: Boosted, pending: list[Tree], tree: Tree, nodes: list[int], draw: tuple[int, float]) -> DataFrame:
     """``node, feature, bin, g, h, n`` over the rows (``_y, _weight, _margin, _key`` and features) that rest at ``nodes``.
 
@@ -142,19 +180,26 @@ def best_split(g: np.ndarray, h: np.ndarray, penalty: float, least: float) -> tu
 
     Bin 0 (missing) goes to the side that gains more. Equal gains go to the first feature, then the lowest cut.
     """
-    best = None
+    if not g.size or g.shape[1] < 3:
+        return None
+    sums, missing = np.stack([g, h])[..., 1:], np.stack([g, h])[..., :1]
+    upto = np.cumsum(sums, axis=-1)
+    # Taken from the running sum itself: a side without rows is exactly 0.
+    below, above = upto[..., :-1], upto[..., -1:] - upto[..., :-1]
+    left, right = np.stack([below, below + missing], axis=1), np.stack([above + missing, above], axis=1)
+    score = lambda s: s[0] ** 2 / np.maximum(s[1] + penalty, 1e-300)
+    gain = score(left) + score(right) - score(upto[..., -1:] + missing)
+    gain = np.where((left[1] >= least) & (right[1] >= least), gain, -np.inf)
+    best, at, most = None, gain.argmax(axis=-1), gain.max(axis=-1)
     for f in range(len(g)):
-        whole = np.array([g[f].sum(), h[f].sum()])
-        below = np.cumsum([g[f][1:-1], h[f][1:-1]], axis=1)
-        for missing_left in (False, True):
-            left = below + (np.array([[g[f][0]], [h[f][0]]]) if missing_left else 0)
-            right = whole[:, None] - left
-            score = lambda s: s[0] ** 2 / np.maximum(s[1] + penalty, 1e-300)
-            gain = np.where((left[1] >= least) & (right[1] >= least), score(left) + score(right) - score(whole), -np.inf)
-            if len(gain) and gain.max() > 1e-9 and (best is None or gain.max() > best[0] + 1e-9):
-                c = int(gain.argmax())
-                best = (float(gain[c]), f, c + 1, missing_left, left[:, c], right[:, c])
-    return best
+        for side in (0, 1):
+            if most[side, f] > 1e-9 and (best is None or most[side, f] > best[0] + 1e-9):
+                best = (float(most[side, f]), f, side)
+    if best is None:
+        return None
+    top, f, side = best
+    c = int(at[side, f])
+    return top, f, c + 1, bool(side), left[:, side, f, c], right[:, side, f, c]
 
 
 def prepared_rows(df: DataFrame, label: str, features: list[str], key: str, weight: str | None, base: float) -> DataFrame:
@@ -164,75 +209,207 @@ def prepared_rows(df: DataFrame, label: str, features: list[str], key: str, weig
     return known.select(*named, F.col(label).cast("double").alias("_y"), w.alias("_weight"), F.lit(base).alias("_margin"), F.xxhash64(key).alias("_key"))
 
 
-def _blocks(rows: DataFrame, model: Boosted) -> DataFrame:
-    """The rows as blocks of bins (one byte where that is enough, features first), labels, weights, margins and keys."""
-    kind = np.dtype(np.uint8 if max((len(c) for c in model.cuts), default=0) < 254 else np.int32)
-    names = ["_y", "_weight", "_margin", "_key"]
+@dataclass
+class Layout:
+    """How blocks hold rows: groups of features whose bins make one cell number, and the labels and weights that occur.
+
+    A feature of ``first`` 1 has no missing values. Without ``kinds`` (pairs of label and weight) both are held row by row.
+    """
+
+    width: int
+    first: list[int]
+    sizes: list[int]
+    groups: list[list[int]]
+    kinds: np.ndarray | None
+    keyed: bool
+
+    @classmethod
+    def of(cls, cuts: list[np.ndarray], missing: list[bool], kinds: np.ndarray | None, keyed: bool) -> Layout:
+        first = [0 if m else 1 for m in missing]
+        sizes = [len(c) + 2 - at for c, at in zip(cuts, first)]
+        groups: list[list[int]] = []
+        for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+            room = next((g for g in groups if math.prod(sizes[i] for i in g) * sizes[f] <= CELLS), None)
+            room.append(f) if room else groups.append([f])
+        return cls(max((len(c) for c in cuts), default=0) + 2, first, sizes, groups, kinds, keyed)
+
+    def dims(self, group: list[int]) -> tuple[int, ...]:
+        return tuple(self.sizes[f] for f in group)
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(np.uint16 if all(self.size(g) <= 1 << 16 for g in self.groups) else np.int64)
+
+    def size(self, group: list[int]) -> int:
+        """Cell numbers of a group: those of a kind follow those of the kind before."""
+        return math.prod(self.dims(group)) * (1 if self.kinds is None else len(self.kinds))
+
+    def cells(self, bins: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+        """The cell number of each row, ``[group, row]``."""
+        out = np.zeros((len(self.groups), len(bins)), self.kind)
+        for row, group in zip(out, self.groups):
+            dims = self.dims(group)
+            row[:] = np.ravel_multi_index([bins[:, f] - self.first[f] for f in group], dims) + kind * np.intp(math.prod(dims))
+        return out
+
+    def at_rest(self, tree: Tree, cells: np.ndarray, give: np.ndarray) -> np.ndarray:
+        """``give`` (a value per node) of the node where each row rests."""
+        place = {f: (g, i) for g, group in enumerate(self.groups) for i, f in enumerate(group)}
+        tables: dict[int, dict[int, np.ndarray]] = {}
+        for node in np.flatnonzero(tree.feature >= 0).tolist():
+            g, i = place[int(tree.feature[node])]
+            dims = self.dims(self.groups[g])
+            side = tree.goes_left(node, np.arange(dims[i]) + self.first[tree.feature[node]])
+            side = np.broadcast_to(side.reshape([-1 if d == i else 1 for d in range(len(dims))]), dims).ravel()
+            tables.setdefault(g, {})[node] = np.tile(side, self.size(self.groups[g]) // len(side))
+        levels = max((node + 1).bit_length() for t in tables.values() for node in t) if tables else 0
+        if levels > 6:
+            sides = {node: (g, side) for g, t in tables.items() for node, side in t.items()}
+            out = np.empty(cells.shape[1], give.dtype)
+            for node, rows in tree.rests(lambda node, rows: sides[node][1].take(cells[sides[node][0]].take(rows)), len(out)):
+                out[rows] = give[node]
+            return out
+        # All nodes' answers as bits of one word, looked up once per group; a row below a leaf goes on to anywhere.
+        word = np.uint32 if levels < 6 else np.uint64
+        bits, at = np.zeros(cells.shape[1], word), np.zeros(cells.shape[1], word)
+        for g, sides in tables.items():
+            bits |= sum(side.astype(word) << word(node) for node, side in sides.items()).take(cells[g])
+        for _ in range(levels):
+            goes = bits >> at
+            goes &= word(1)
+            at *= word(2)
+            at += word(2)
+            at -= goes
+        rest = np.arange(2 ** (levels + 1) - 1)
+        for node in range(1, len(rest)):
+            above = rest[(node - 1) // 2]
+            rest[node] = above if tree.feature[above] < 0 else node
+        return give[rest].take(at)
+
+    def by_feature(self, totals: list[np.ndarray]) -> np.ndarray:
+        """``[..., feature, bin]`` from the sums per cell of each group."""
+        out = np.zeros((*totals[0].shape[:-1], len(self.sizes), self.width))
+        for total, group in zip(totals, self.groups):
+            lead = total.ndim - 1
+            whole = total.reshape(*total.shape[:-1], *self.dims(group))
+            for i, f in enumerate(group):
+                others = tuple(lead + j for j in range(len(group)) if j != i)
+                out[..., f, self.first[f] : self.first[f] + self.sizes[f]] = whole.sum(axis=others)
+        return out
+
+
+#: A block: cell numbers, kinds (or labels and weights), margins, keys; what a layout does not hold is None.
+COLUMNS = ["_cells", "_kind", "_y", "_weight", "_margin", "_key"]
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Like ``frozen``, with a file for every two blocks, so that readers divide the blocks evenly."""
+    path = scratch(df.sparkSession, "boosting")
+    df.write.option("maxRecordsPerFile", 2).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def _blocks(rows: DataFrame, model: Boosted, layout: Layout) -> DataFrame:
+    """The rows as blocks of up to about ``BLOCK_ROWS``, every column as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list[np.ndarray | None]] = []
 
         def block() -> pa.RecordBatch:
-            parts = [np.concatenate(p, axis=-1) for p in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["_bins", *names])
+            parts = [None if p[0] is None else np.concatenate(p, axis=-1).tobytes() for p in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=COLUMNS)
 
         for batch in batches:
-            bins = model.bins(_matrix(batch, model.features)).T.astype(kind)
-            held.append([bins, *[batch.column(c).to_numpy(zero_copy_only=False) for c in names]])
-            if sum(h[0].shape[1] for h in held) >= BLOCK_ROWS:
+            y, weight, margin, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_weight", "_margin", "_key"))
+            kind = None
+            if layout.kinds is not None:
+                kind = np.argmax((layout.kinds[:, :1] == y) & (layout.kinds[:, 1:] == weight), axis=0).astype(np.uint8)
+                y = weight = None
+            held.append([layout.cells(model.bins(_matrix(batch, model.features)), 0 if kind is None else kind), kind, y, weight, margin, key if layout.keyed else None])
+            if sum(h[4].size for h in held) >= BLOCK_ROWS:
                 yield block()
                 held = []
         if held:
             yield block()
 
-    return frozen(rows.mapInArrow(pack, "_bins binary, _y binary, _weight binary, _margin binary, _key binary"), "boosting")
+    return _written(rows.mapInArrow(pack, SCHEMA))
 
 
-def _opened(width: int, kind: np.dtype):
-    """A packed block as arrays; ``width`` features of ``kind``."""
+def _opened(layout: Layout):
+    """A packed block as arrays."""
 
-    def work(row) -> tuple[np.ndarray, ...]:
-        y = np.frombuffer(row[1])
-        bins = np.frombuffer(row[0], kind).reshape(width, len(y))
-        return bins, y, np.frombuffer(row[2]), np.frombuffer(row[3]), np.frombuffer(row[4], np.int64)
+    def work(row) -> tuple[np.ndarray | None, ...]:
+        margin = np.frombuffer(row[4])
+        kinds = [layout.kind, np.dtype(np.uint8), *[np.dtype(float)] * 3, np.dtype(np.int64)]
+        cells, *others = (None if b is None else np.frombuffer(b, k) for b, k in zip(row, kinds))
+        return cells.reshape(len(layout.groups), len(margin)), *others
 
     return work
 
 
-def _added(trees: list[Tree]):
-    def work(block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        bins, y, weight, margin, key = block
-        return bins, y, weight, margin + sum(t.value[t.node(bins.T)] for t in trees), key
+def _added(tree: Tree, layout: Layout):
+    def work(block: tuple[np.ndarray | None, ...]) -> tuple[np.ndarray | None, ...]:
+        return *block[:4], block[4] + layout.at_rest(tree, block[0], tree.value), block[5]
 
     return work
 
 
-def _level_sums(state, loss: str, shape: tuple[int, int], tree: Tree, nodes: list[int], draw: tuple[int, float]) -> np.ndarray:
-    """``[g or h, node, feature, bin]`` over the blocks: one sum per part, and of many parts the driver gets few."""
-    features, width = shape
+def _packed(block: tuple[np.ndarray | None, ...]) -> tuple[bytes | None, ...]:
+    return tuple(None if part is None else np.ascontiguousarray(part).tobytes() for part in block)
+
+
+def _level_sums(state, loss: str, layout: Layout, tree: Tree, nodes: list[int], draw: tuple[int, float]) -> np.ndarray:
+    """``[what, node, feature, bin]`` over the blocks: one sum per part, and of many parts the driver gets few.
+
+    ``what`` is g and h; of a layout with kinds it is g and the number of rows of each kind.
+    """
+    kinds = layout.kinds
+    shape = (2 if kinds is None else 1 + len(kinds), len(nodes))
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = np.arange(len(nodes))
 
     def work(blocks):
-        total = np.zeros((2, len(nodes), features, width))
-        for bins, y, weight, margin, key in blocks:
-            here = slot[tree.node(bins.T)]
+        totals = [np.zeros((2, len(nodes) * layout.size(g))) for g in layout.groups]
+        for cells, kind, y, weight, margin, key in blocks:
+            here = layout.at_rest(tree, cells, slot)
             row = here >= 0
             if draw[1] < 1.0:
                 row &= _drawn(key, *draw)
             row = np.flatnonzero(row)
-            first = here[row] * width
-            slopes = _slopes(loss, margin[row], y[row], weight[row], draw[0] == 0)
-            for f in range(features):
-                cell = first + bins[f][row]
-                for k, what in enumerate(slopes):
-                    total[k, :, f] += np.bincount(cell, what, minlength=len(nodes) * width).reshape(len(nodes), width)
-        yield total
+            of = (lambda part: part) if len(row) == len(margin) else (lambda part: part.take(row))  # noqa: B023
+            if kinds is None:
+                g, h = _slopes(loss, of(margin), of(y), of(weight), draw[0] == 0)
+            else:
+                g, h = _kind_slopes(loss, of(margin), of(kind), kinds, draw[0] == 0), None
+            node = of(here)
+            for total, cell, group in zip(totals, cells, layout.groups):
+                cell = node * layout.size(group) + of(cell) if len(nodes) > 1 else of(cell)
+                total[0] += np.bincount(cell, g, minlength=total.shape[1])
+                total[1] += np.bincount(cell, h, minlength=total.shape[1])
+        if not totals:
+            yield np.zeros((*shape, 0, layout.width))
+        elif kinds is None:
+            yield layout.by_feature([t.reshape(*shape, -1) for t in totals])
+        else:
+            parts = [t.reshape(2, len(nodes), len(kinds), -1) for t in totals]
+            yield layout.by_feature([np.concatenate([t[0].sum(axis=1)[None], t[1].swapaxes(0, 1)]) for t in parts])
 
     parts = state.mapPartitions(work)
     if state.getNumPartitions() > PARTS:
         return parts.treeReduce(np.add)
-    return sum(parts.collect(), np.zeros((2, len(nodes), features, width)))
+    return sum(parts.collect(), np.zeros((*shape, len(layout.sizes), layout.width)))
+
+
+def _kinds(rows: DataFrame, loss: str) -> np.ndarray | None:
+    """The pairs of label and weight where there are few and a row's second derivative is its weight, else None."""
+    few = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in ("_y", "_weight")]).first()
+    if loss == "logistic" or max(few) > KINDS:
+        return None
+    pairs = np.array([tuple(r) for r in rows.groupBy("_y", "_weight").count().select("_y", "_weight").collect()], float)
+    return pairs.reshape(-1, 2) if len(pairs) <= KINDS and not np.isnan(pairs).any() else None
 
 
 def fit_boosted_trees(
@@ -253,10 +430,11 @@ def fit_boosted_trees(
 ) -> Boosted:
     """Gradient boosting by first and second derivatives of the ``logistic`` or ``squared`` loss.
 
-    The rows are binned once, into blocks that stay in the executors' storage with their margins. A level
-    of a tree is one pass over the blocks; what reaches the driver are the sums per part, node, feature
-    and bin, at most ``2**(depth - 1)`` times features times 65, added up between executors above ``PARTS``
-    parts. A leaf is ``-rate * g / (h + penalty)``; a split keeps a hessian sum of ``least`` on both sides.
+    The rows are binned once, into blocks that stay in the executors' storage with their margins. Features
+    share histograms of up to ``CELLS`` cells. A level of a tree is one pass over the blocks; what reaches the
+    driver are the sums per part, node, feature and bin, at most ``2**(depth - 1)`` times features times 65,
+    added up between executors above ``PARTS`` parts. If labels and weights are few and the loss has them as
+    second derivatives (``squared``, ``residual``), only the smaller child of each node is added up. A leaf is ``-rate * g / (h + penalty)``; a split keeps a hessian sum of ``least`` on both sides.
     ``key`` draws the share ``subsample`` of the rows anew for each tree. Rows without a label are left
     out; null and NaN features are missing, a null weight is 1. Without rows the model has no trees.
 
@@ -268,28 +446,39 @@ def fit_boosted_trees(
         base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
     rows = frozen(prepared_rows(df, label, features, key, weight, base), "boosting")
     model = Boosted(features, cuts or quantile_cuts(rows, features), loss, base, gains=np.zeros(len(features)))
-    width = max((len(c) for c in model.cuts), default=0) + 2
-    opened = _opened(len(features), np.dtype(np.uint8 if width < 256 else np.int32))
-    blocks, pending = _blocks(rows, model), []
-    state, before = blocks.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK), None
+    known = rows.agg(F.count("*").alias("_n"), *[F.bool_or(F.isnull(c) | F.isnan(c)).alias(f"_{i}") for i, c in enumerate(features)]).first()
+    layout = Layout.of(model.cuts, [bool(m) for m in known[1:]], _kinds(rows, loss), subsample < 1.0)
+    held = math.ceil(known["_n"] / BLOCK_ROWS)
+    parts = max(1, min(held, rows.sparkSession.sparkContext.defaultParallelism), held // PART_BLOCKS)
+    # Few rows are packed by few tasks, as every block costs a level something.
+    blocks, pending = _blocks(rows.coalesce(parts) if parts == held or held == 0 else rows, model, layout), 0
+    opened = lambda packed: packed.rdd.map(_opened(layout)).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    state, before = opened(blocks), None
     for number in range(trees):
-        tree, active = Tree.empty(depth), [0]
+        tree, active, wanted, above = Tree.empty(depth), [0], [0], {}
         step = 1.0 if loss == "residual" and number == 0 else rate
         for _ in range(depth):
-            sums = _level_sums(state, loss, (len(features), width), tree, active, (number, subsample))
+            sums = dict(zip(wanted, _level_sums(state, loss, layout, tree, wanted, (number, subsample)).swapaxes(0, 1)))
             if before is not None:
                 before.unpersist()
                 before = None
-            following = []
-            for node, g, h in zip(active, *sums):
+            for node in active:
+                if node not in sums:
+                    sums[node] = _rest(above[(node - 1) // 2], sums[node + 1 if node % 2 else node - 1])
+            following, wanted = [], []
+            for node in active:
+                g, h = sums[node] if layout.kinds is None else (sums[node][0], np.tensordot(layout.kinds[:, 1], sums[node][1:], 1))
                 found = best_split(g, h, penalty, least)
                 if found:
                     gain, tree.feature[node], tree.cut[node], tree.missing_left[node], *sides = found
                     model.gains[tree.feature[node]] += gain
-                    for child, side in zip((2 * node + 1, 2 * node + 2), sides):
+                    children = [2 * node + 1, 2 * node + 2]
+                    for child, side in zip(children, sides):
                         tree.value[child] = -step * side[0] / (side[1] + penalty)
-                        following.append(child)
-            active = following
+                    following += children
+                    # Where rows are counted, the larger child is what the smaller one leaves of its parent.
+                    wanted += children if layout.kinds is None else [children[int(_fewer_right(tree, node, sums[node]))]]
+            active, above = following, sums
             if not active:
                 break
         if tree.feature[0] < 0:
@@ -297,30 +486,30 @@ def fit_boosted_trees(
                 break
             continue
         model.trees.append(tree)
-        pending.append(tree)
-        before = state
-        if len(pending) == PENDING:
-            blocks, pending = frozen(_blocks_with_margin(blocks, opened, pending), "boosting"), []
-            state = blocks.rdd.map(opened)
-        else:
-            state = state.map(_added([tree]))
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        pending, before = pending + 1, state
+        state = state.map(_added(tree, layout)).persist(StorageLevel.MEMORY_AND_DISK)
+        if pending == PENDING and number + 1 < trees:
+            passed, pending = state, 0
+            state = opened(_written(rows.sparkSession.createDataFrame(passed.map(_packed), SCHEMA, verifySchema=False)))
+            passed.unpersist()
     for kept in (state, before):
         if kept is not None:
             kept.unpersist()
     return model
 
 
-def _blocks_with_margin(blocks: DataFrame, opened, trees: list[Tree]) -> DataFrame:
-    add = _added(trees)
+def _rest(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The other child's sums. Counts are exact; a cell without rows has no gradients either."""
+    other = parent - child
+    other[0] = np.where(other[1:].any(axis=0), other[0], 0.0)
+    return other
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)])
-            margin = pa.array([add(opened(row))[3].tobytes() for row in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], margin, *batch.columns[4:]], names=batch.schema.names)
 
-    return blocks.mapInArrow(work, blocks.schema)
+def _fewer_right(tree: Tree, node: int, sums: np.ndarray) -> bool:
+    """Whether fewer rows of a node go right than left."""
+    rows = sums[1:, tree.feature[node]].sum(axis=0)
+    left = tree.goes_left(node, np.arange(len(rows)))
+    return rows[~left].sum() < rows[left].sum()
 
 
 def _with_margin(df: DataFrame, model: Boosted, trees: list[Tree], out: str) -> DataFrame:
@@ -331,7 +520,10 @@ def _with_margin(df: DataFrame, model: Boosted, trees: list[Tree], out: str) ->
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = model.bins(_matrix(batch, model.features))
-            margin = batch.column(out).to_numpy(zero_copy_only=False) + sum(t.value[t.node(bins)] for t in trees)
+            margin = batch.column(out).to_numpy(zero_copy_only=False).copy()
+            by_feature = np.ascontiguousarray(bins.T)
+            for t in trees:
+                t.added(margin, lambda node, at: t.goes_left(node, by_feature[t.feature[node]].take(at)))  # noqa: B023
             at = batch.schema.get_field_index(out)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(margin), *batch.columns[at + 1 :]], names=batch.schema.names)
 

@@ -109,3 +109,51 @@ def test_a_level_is_one_job_without_a_shuffle_and_blocks_leave_the_storage(spark
     bo.fit_boosted_trees(df, "y", ["a"], key="id", trees=3, depth=2)
     assert calls and all(len(stages) == 1 for stages in calls)
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def mixed(spark, n=500):
+    """Rows with two weights, missing values in one feature, and flags that share a histogram."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 9, n), rng.normal(size=n), rng.integers(0, 2, n), rng.integers(0, 2, n)]).astype(float)
+    y = (x[:, 0] - 3 * x[:, 2] + 2 * x[:, 1] * x[:, 3] + rng.normal(size=n) > 3).astype(int)
+    rows = [(i, *[None if f == 1 and i % 7 == 0 else float(v) for f, v in enumerate(r)], int(t), 2.5 if t else 1.0) for i, (r, t) in enumerate(zip(x, y))]
+    cuts = [np.arange(1, 9.0), np.linspace(-1, 1, 5), np.array([0.5]), np.array([0.5])]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, d double, y int, w double").repartition(3), cuts
+
+
+@pytest.mark.parametrize("loss, depth", [("residual", 3), ("squared", 4), ("residual", 8)])
+def test_counted_kinds_give_the_trees_of_rows_added_up_one_by_one(spark, monkeypatch, loss, depth):
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 100)
+    df, cuts = mixed(spark)
+    sums, nodes = bo._level_sums, []
+
+    def counted(state, name, layout, tree, wanted, draw):
+        nodes.append((len(wanted), layout.kinds is not None, len(layout.groups)))
+        return sums(state, name, layout, tree, wanted, draw)
+
+    def fit():
+        nodes.clear()
+        return bo.fit_boosted_trees(df, "y", ["a", "b", "c", "d"], key="id", loss=loss, trees=3, depth=depth, penalty=0.0, least=1e-9, weight="w", cuts=cuts)
+
+    monkeypatch.setattr(bo, "_level_sums", counted)
+    few, seen = fit(), list(nodes)
+    monkeypatch.setattr(bo, "KINDS", 0)
+    all_rows, plainly = fit(), list(nodes)
+    assert [n for n, _, _ in plainly[1:depth]] == [2 * n for n, _, _ in seen[1:depth]]
+    assert all(k and g == 1 for _, k, g in seen) and not any(k for _, k, _ in plainly)
+    for a, b in zip(few.trees, all_rows.trees, strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert a.missing_left.tolist() == b.missing_left.tolist() and np.allclose(a.value, b.value, atol=1e-9)
+    scores = {r.id: r.p for r in bo.boosted_scores(few, df).collect()}
+    margin = {}
+    for r in df.collect():
+        bins = few.bins(np.array([[np.nan if r[c] is None else r[c] for c in "abcd"]]))
+        margin[r.id] = few.base + sum(t.value[t.node(bins)][0] for t in few.trees)
+    assert scores == {i: pytest.approx(m if loss == "squared" else 1 / (1 + np.exp(-2 * m)), abs=1e-12) for i, m in margin.items()}
+
+
+def test_a_side_without_rows_is_no_split():
+    h = np.array([[0.0, 0.1, 0.2, 0.7, 0.0, 0.0]]) * 3.3e7
+    found = bo.best_split(np.array([[0.0, 1.0, 2.0, 7.0, 0.0, 0.0]]) / 3, h, 0.0, 1e-9)
+    assert found is None or found[2] < 3
+    assert bo.best_split(np.zeros((0, 5)), np.zeros((0, 5)), 0.0, 1e-9) is None
