@@ -64,11 +64,6 @@ class Tree:
             goes = left(node, rows)
             todo += [(2 * node + 1, rows.take(np.flatnonzero(goes))), (2 * node + 2, rows.take(np.flatnonzero(~goes)))]
 
-    def added(self, out: np.ndarray, left: Callable[[int, np.ndarray], np.ndarray]) -> None:
-        """Adds to ``out`` the value of the node where each row rests."""
-        for node, rows in self.rests(left, len(out)):
-            out[rows] += self.value[node]
-
     def goes_left(self, node: int, bins: np.ndarray) -> np.ndarray:
         """Whether a bin of the node's feature goes left."""
         return np.where(bins == 0, self.missing_left[node], bins <= self.cut[node])
@@ -252,8 +247,8 @@ class Layout:
             row[:] = np.ravel_multi_index([bins[:, f] - self.first[f] for f in group], dims) + kind * np.intp(math.prod(dims))
         return out
 
-    def at_rest(self, tree: Tree, cells: np.ndarray, give: np.ndarray) -> np.ndarray:
-        """``give`` (a value per node) of the node where each row rests."""
+    def rester(self, tree: Tree, give: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """What gives the rows of ``cells`` ``give`` (a value per node) of the node where each rests."""
         place = {f: (g, i) for g, group in enumerate(self.groups) for i, f in enumerate(group)}
         tables: dict[int, dict[int, np.ndarray]] = {}
         for node in np.flatnonzero(tree.feature >= 0).tolist():
@@ -265,26 +260,36 @@ class Layout:
         levels = max((node + 1).bit_length() for t in tables.values() for node in t) if tables else 0
         if levels > 6:
             sides = {node: (g, side) for g, t in tables.items() for node, side in t.items()}
-            out = np.empty(cells.shape[1], give.dtype)
-            for node, rows in tree.rests(lambda node, rows: sides[node][1].take(cells[sides[node][0]].take(rows)), len(out)):
-                out[rows] = give[node]
-            return out
+
+            def by_rows(cells: np.ndarray) -> np.ndarray:
+                out = np.empty(cells.shape[1], give.dtype)
+                for node, rows in tree.rests(lambda node, rows: sides[node][1].take(cells[sides[node][0]].take(rows)), len(out)):
+                    out[rows] = give[node]
+                return out
+
+            return by_rows
         # All nodes' answers as bits of one word, looked up once per group; a row below a leaf goes on to anywhere.
         word = np.uint32 if levels < 6 else np.uint64
-        bits, at = np.zeros(cells.shape[1], word), np.zeros(cells.shape[1], word)
-        for g, sides in tables.items():
-            bits |= sum(side.astype(word) << word(node) for node, side in sides.items()).take(cells[g])
-        for _ in range(levels):
-            goes = bits >> at
-            goes &= word(1)
-            at *= word(2)
-            at += word(2)
-            at -= goes
+        words = {g: sum(side.astype(word) << word(node) for node, side in t.items()) for g, t in tables.items()}
         rest = np.arange(2 ** (levels + 1) - 1)
         for node in range(1, len(rest)):
             above = rest[(node - 1) // 2]
             rest[node] = above if tree.feature[above] < 0 else node
-        return give[rest].take(at)
+        given = give[rest]
+
+        def by_bits(cells: np.ndarray) -> np.ndarray:
+            bits, at = np.zeros(cells.shape[1], word), np.zeros(cells.shape[1], word)
+            for g, table in words.items():
+                bits |= table.take(cells[g])
+            for _ in range(levels):
+                goes = bits >> at
+                goes &= word(1)
+                at *= word(2)
+                at += word(2)
+                at -= goes
+            return given.take(at)
+
+        return by_bits
 
     def by_feature(self, totals: list[np.ndarray]) -> np.ndarray:
         """``[..., feature, bin]`` from the sums per cell of each group."""
@@ -351,8 +356,10 @@ def _opened(layout: Layout):
 
 
 def _added(tree: Tree, layout: Layout):
-    def work(block: tuple[np.ndarray | None, ...]) -> tuple[np.ndarray | None, ...]:
-        return *block[:4], block[4] + layout.at_rest(tree, block[0], tree.value), block[5]
+    def work(blocks):
+        values = layout.rester(tree, tree.value)
+        for block in blocks:
+            yield *block[:4], block[4] + values(block[0]), block[5]
 
     return work
 
@@ -373,8 +380,9 @@ def _level_sums(state, loss: str, layout: Layout, tree: Tree, nodes: list[int],
 
     def work(blocks):
         totals = [np.zeros((2, len(nodes) * layout.size(g))) for g in layout.groups]
+        slots = layout.rester(tree, slot)
         for cells, kind, y, weight, margin, key in blocks:
-            here = layout.at_rest(tree, cells, slot)
+            here = slots(cells)
             row = here >= 0
             if draw[1] < 1.0:
                 row &= _drawn(key, *draw)
@@ -487,7 +495,7 @@ def fit_boosted_trees(
             continue
         model.trees.append(tree)
         pending, before = pending + 1, state
-        state = state.map(_added(tree, layout)).persist(StorageLevel.MEMORY_AND_DISK)
+        state = state.mapPartitions(_added(tree, layout)).persist(StorageLevel.MEMORY_AND_DISK)
         if pending == PENDING and number + 1 < trees:
             passed, pending = state, 0
             state = opened(_written(rows.sparkSession.createDataFrame(passed.map(_packed), SCHEMA, verifySchema=False)))
@@ -517,13 +525,13 @@ def _with_margin(df: DataFrame, model: Boosted, trees: list[Tree], out: str) ->
     if out not in df.columns:
         df = df.withColumn(out, F.lit(model.base))
 
+    layout = Layout.of(model.cuts, [True] * len(model.cuts), None, False)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [layout.rester(t, t.value) for t in trees]
         for batch in batches:
-            bins = model.bins(_matrix(batch, model.features))
-            margin = batch.column(out).to_numpy(zero_copy_only=False).copy()
-            by_feature = np.ascontiguousarray(bins.T)
-            for t in trees:
-                t.added(margin, lambda node, at: t.goes_left(node, by_feature[t.feature[node]].take(at)))  # noqa: B023
+            cells = layout.cells(model.bins(_matrix(batch, model.features)), 0)
+            margin = batch.column(out).to_numpy(zero_copy_only=False) + sum(value(cells) for value in values)
             at = batch.schema.get_field_index(out)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(margin), *batch.columns[at + 1 :]], names=batch.schema.names)
 
