@@ -157,3 +157,16 @@ def test_a_side_without_rows_is_no_split():
     found = bo.best_split(np.array([[0.0, 1.0, 2.0, 7.0, 0.0, 0.0]]) / 3, h, 0.0, 1e-9)
     assert found is None or found[2] < 3
     assert bo.best_split(np.zeros((0, 5)), np.zeros((0, 5)), 0.0, 1e-9) is None
+
+
+def test_shared_histograms_add_up_to_those_of_each_feature():
+    rng = np.random.default_rng(6)
+    cuts = [np.arange(31.0)] * 9 + [np.array([0.5])] * 12
+    kinds = np.array([[0.0, 1.0], [1.0, 2.5]])
+    bins = np.column_stack([rng.integers(0 if f == 4 else 1, len(c) + 2, 3000) for f, c in enumerate(cuts)])
+    layout = bo.Layout.of(cuts, [f == 4 for f in range(21)], kinds, False)
+    kind, g = rng.integers(0, 2, 3000), rng.normal(size=3000)
+    assert len(layout.groups) <= 7 and sorted(f for group in layout.groups for f in group) == list(range(21))
+    totals = [np.bincount(c, g, layout.size(group)).reshape(2, -1).sum(axis=0) for c, group in zip(layout.cells(bins, kind), layout.groups)]
+    want = [np.bincount(bins[:, f], g, layout.width) for f in range(21)]
+    assert np.allclose(layout.by_feature(totals), want)
