@@ -170,3 +170,18 @@ def test_shared_histograms_add_up_to_those_of_each_feature():
     totals = [np.bincount(c, g, layout.size(group)).reshape(2, -1).sum(axis=0) for c, group in zip(layout.cells(bins, kind), layout.groups)]
     want = [np.bincount(bins[:, f], g, layout.width) for f in range(21)]
     assert np.allclose(layout.by_feature(totals), want)
+
+
+def test_top_features_are_the_first_of_all_and_share_one_fit(spark, monkeypatch):
+    from tallyloom.plans import loans
+    from tallyloom.sources.tables import Tables
+
+    df, cuts = mixed(spark)
+    model, fits = bo.fit_boosted_trees(df, "y", ["a", "b", "c", "d"], key="id", loss="residual", trees=3, depth=3, penalty=0.0, least=1e-9, weight="w", cuts=cuts), []
+    monkeypatch.setattr(loans, "_FITTED", {})
+    monkeypatch.setattr(loans, "training", lambda t: (df, df))
+    monkeypatch.setattr(loans, "fit_boosted", lambda *args: fits.append(args) or model)
+    t = Tables(spark, "/nowhere")
+    ranked = [(r.feature, r.importance) for r in loans.ml_importance(t).collect()]
+    assert [(r.feature, r.importance) for r in loans.feature_importance(t, top=2).collect()] == ranked[:2] and len(fits) == 1
+    assert [v for _, v in ranked] == sorted((v for _, v in ranked), reverse=True) and sum(v for _, v in ranked) == pytest.approx(1.0)
